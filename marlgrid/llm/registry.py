@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlgrid.llm import bpe, chat, packing, secret_scan, url_filter
+from marlgrid.llm import bpe, chat, packing, secret_scan, suffix_dedup, url_filter
 from marlgrid.llm.common import load
 
 
@@ -15,6 +15,10 @@ def op4_concat_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_digests(pieces)
 
 
+def op5_bucket_refine_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_digests(suffix_dedup.remove_repeats(load(spark, sf_dir, "documents"), 100))
+
+
 def op6_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.range(2).selectExpr("-7L as conv_id", "id as turn", "if(id = 0, 'user', 'assistant') as role", r"r'\### Assistant: </turn> ok' as text")
     rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
@@ -39,6 +43,6 @@ def op10_url_digest_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(load(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op4_concat_pack, op6_prefix_target_chat, op7_blob_ledger_secrets, op9_bpe_roundtrip, op10_url_digest_filter)}
+QUERIES = {f.__name__: f for f in (op4_concat_pack, op5_bucket_refine_dedup, op6_prefix_target_chat, op7_blob_ledger_secrets, op9_bpe_roundtrip, op10_url_digest_filter)}
 
 SQL: dict[str, str] = {}
