@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlgrid.llm import bpe, chat, packing, secret_scan, suffix_dedup, url_filter
+from marlgrid.llm import bpe, chat, near_dup, packing, secret_scan, suffix_dedup, url_filter
 from marlgrid.llm.common import load
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(load(spark, sf_dir, "documents"))
+
+
 def op4_concat_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokenizers
 
@@ -43,6 +47,6 @@ def op10_url_digest_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(load(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op4_concat_pack, op5_bucket_refine_dedup, op6_prefix_target_chat, op7_blob_ledger_secrets, op9_bpe_roundtrip, op10_url_digest_filter)}
+QUERIES = {f.__name__: f for f in (op2_order_minhash, op4_concat_pack, op5_bucket_refine_dedup, op6_prefix_target_chat, op7_blob_ledger_secrets, op9_bpe_roundtrip, op10_url_digest_filter)}
 
 SQL: dict[str, str] = {}
