@@ -3,15 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marlgrid.llm import bpe, chat, near_dup, packing, secret_scan, suffix_dedup, url_filter
+from marlgrid.llm import bpe, chat, near_dup, packing, secret_scan, suffix_dedup, url_filter, vectors
 from marlgrid.llm.common import load
 
 
+def op1_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.exact_top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op3_multi_index_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(load(spark, sf_dir, "embeddings"), 0.95)
+
+
 def op4_concat_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokenizers
 
@@ -47,6 +56,6 @@ def op10_url_digest_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(load(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op2_order_minhash, op4_concat_pack, op5_bucket_refine_dedup, op6_prefix_target_chat, op7_blob_ledger_secrets, op9_bpe_roundtrip, op10_url_digest_filter)}
+QUERIES = {f.__name__: f for f in (op1_segment_topk, op2_order_minhash, op3_multi_index_links, op4_concat_pack, op5_bucket_refine_dedup, op6_prefix_target_chat, op7_blob_ledger_secrets, op9_bpe_roundtrip, op10_url_digest_filter)}
 
 SQL: dict[str, str] = {}
