@@ -12,8 +12,8 @@ move many times the corpus; three refinements of the buckets move a small part o
    the identifiers at offsets p and p+37 make that of 74 bytes, this with the one at p+63 that of 100 bytes, and each name
    is used again by the step above.  All but the first string in a bucket of equal names repeat.
 
-Identifiers are 128-bit (two independent 64-bit hashes over random byte values), so that two different strings share one
-with a chance below 1e-13 over 100 TB.  Buckets travel as packed arrays, reduced within each task before the shuffle: equal
+Names of strings are 128-bit (two independent 64-bit hashes over random byte values), so that two different ones share a name
+with a chance below 1e-10 over 100 TB; a context has a 64-bit name within its q-gram's bucket.  Buckets travel as packed arrays, reduced within each task before the shuffle: equal
 contexts in a task leave one member, and a q-gram with many different contexts in a task is not sent to its bucket, which
 gets a mark in its place; its strings go straight to the third step, spread by their names.
 """
@@ -33,7 +33,7 @@ U = np.uint64
 #: Bytes of text hashed at a time; texts longer than this are hashed whole.
 CHUNK = 1 << 19
 #: Bytes of text whose anchors are reduced together before the shuffle.
-BATCH = 24 << 20
+BATCH = 12 << 20
 #: Different contexts of a q-gram in one batch above which its strings are named one by one.
 SPREAD = 8
 
@@ -126,8 +126,8 @@ def _chunks(texts: list[bytes], least: int):
         yield own, np.frombuffer(b"".join(texts[k] for k in own), np.uint8), np.cumsum([len(texts[k]) for k in own])
 
 
-#: A member of a bucket: q-gram, two context names, document (id and text hash), first and last string, anchor's offset
-MEMBER = np.dtype([("gram", "<u8"), ("n0", "<u8"), ("n1", "<u8"), ("doc", "<i8"), ("tie", "<u8"), ("lo", "<i4"), ("span", "<u2"), ("mark", "u1")])
+#: A member of a bucket: q-gram (48 bits), the context's name within it, document (id and text hash), first string, how many more
+MEMBER = np.dtype([("gram", "<u8"), ("name", "<u8"), ("doc", "<i8"), ("tie", "<u8"), ("lo", "<i4"), ("span", "<u2"), ("mark", "u1")])
 STRING = np.dtype([("n0", "<u8"), ("n1", "<u8"), ("doc", "<i8"), ("tie", "<u8"), ("at", "<i4")])
 RANGE = np.dtype([("doc", "<i8"), ("tie", "<u8"), ("lo", "<i4"), ("hi", "<i4")])
 
@@ -145,19 +145,32 @@ def _new(a: np.ndarray, *by: str) -> np.ndarray:
 
 
 def _pack(a: np.ndarray) -> bytes:
-    """Column by column, which the shuffle's codec handles better than rows."""
-    return b"".join(a[k].tobytes() for k in a.dtype.names)
+    """Column by column and in each byte by byte, which the shuffle's codec handles better than rows; bytes that are always zero are left out."""
+    flags, planes = [], []
+    for k in a.dtype.names:
+        size = a.dtype[k].itemsize
+        for plane in np.ascontiguousarray(a[k]).view(np.uint8).reshape(len(a), size).T:
+            flags.append(bool(plane.any()))
+            if flags[-1]:
+                planes.append(plane.tobytes())
+    return np.packbits(flags).tobytes() + b"".join(planes)
 
 
 def _unpack(blobs: list[bytes], dtype: np.dtype) -> np.ndarray:
-    sizes = [len(b) // dtype.itemsize for b in blobs]
+    head = (dtype.itemsize + 7) // 8
+    flags = [np.unpackbits(np.frombuffer(b, np.uint8, head))[: dtype.itemsize] for b in blobs]
+    sizes = [(len(b) - head) // max(1, int(f.sum())) for b, f in zip(blobs, flags, strict=True)]
     out, at = np.empty(sum(sizes), dtype), 0
-    for b, n in zip(blobs, sizes, strict=True):
-        off = 0
+    for b, f, n in zip(blobs, flags, sizes, strict=True):
+        off, i = head, 0
         for k in dtype.names:
-            kind = dtype[k]
-            out[k][at : at + n] = np.frombuffer(b, kind, n, off)
-            off += kind.itemsize * n
+            planes = np.zeros((n, dtype[k].itemsize), np.uint8)
+            for p in range(dtype[k].itemsize):
+                if f[i]:
+                    planes[:, p] = np.frombuffer(b, np.uint8, n, off)
+                    off += n
+                i += 1
+            out[k][at : at + n] = planes.view(dtype[k])[:, 0]
         at += n
     return out
 
@@ -182,9 +195,8 @@ def _members(texts: list[bytes], docs: np.ndarray, ties: np.ndarray, length: int
         m = np.zeros(len(at), MEMBER)
         size = hi - lo + length
         tag = (size.astype(U) << U(20)) ^ (at - lo).astype(U)
-        m["gram"] = gram
-        m["n0"] = _mix(names.raw(0, lo, size) + tag * U(0xA24BAED4963EE407))
-        m["n1"] = _mix(names.raw(1, lo, size) ^ (tag * U(0x9FB21C651E98DF25)))
+        m["gram"] = gram >> U(16)
+        m["name"] = _mix(names.raw(1, lo, size) ^ (tag * U(0x9FB21C651E98DF25)))
         own = np.array(own)
         m["doc"], m["tie"], m["lo"], m["span"] = docs[own][text], ties[own][text], lo - begin, hi - lo
         found.append(m)
@@ -193,10 +205,10 @@ def _members(texts: list[bytes], docs: np.ndarray, ties: np.ndarray, length: int
 
 def _reduced(m: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Members sorted by bucket, the first of each context alone; ranges of bytes that the others give up."""
-    m = _sorted(m, "gram", "n0", "n1", "doc", "tie", "lo")
-    first = _new(m, "gram", "n0", "n1")
+    m = _sorted(m, "gram", "name", "doc", "tie", "lo")
+    first = _new(m, "gram", "name")
     # a document read twice is one document
-    again = ~_new(m, "gram", "n0", "n1", "doc", "tie", "lo")
+    again = ~_new(m, "gram", "name", "doc", "tie", "lo")
     rest = m[~first & ~again]
     gone = np.zeros(len(rest), RANGE)
     gone["doc"], gone["tie"], gone["lo"] = rest["doc"], rest["tie"], rest["lo"]
@@ -234,12 +246,12 @@ def _tie(text: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little")
 
 
-def _first_buckets(length: int, q: int, parts: int):
+def _first_buckets(length: int, q: int, parts: int, ties: bool):
     def run(batches):
         texts, docs, size = [], [], 0
 
         def flush():
-            m = _members(texts, np.array(docs, np.int64), np.array([_tie(t) if len(t) >= length else 0 for t in texts], U), length, q)
+            m = _members(texts, np.array(docs, np.int64), np.array([_tie(t) if ties else 0 for t in texts], U), length, q)
             m, gone = _reduced(m, length)
             hot = _hot(m)
             rows = list(_split(gone, _by_doc(gone["doc"], parts), "gone"))
@@ -265,16 +277,18 @@ def _first_buckets(length: int, q: int, parts: int):
 
 
 def _second_buckets(length: int, parts: int):
-    """Buckets of a part, refined by context: what goes, and the strings that must be named."""
+    """Buckets of a part, refined by context: what goes, and the strings that must be named; ranges settled before pass through."""
 
     def run(part: tuple, table_: pa.Table) -> pa.Table:
-        m = _unpack(table_.column("blob").to_pylist(), MEMBER)
+        kinds, blobs = table_.column("kind").to_pylist(), table_.column("blob").to_pylist()
+        m = _unpack([b for k, b in zip(kinds, blobs, strict=True) if k == "bucket"], MEMBER)
+        passed = [(part[0].as_py(), k, b) for k, b in zip(kinds, blobs, strict=True) if k != "bucket"]
         marked = np.unique(m["gram"][m["mark"] == 1])
         m, gone = _reduced(m[m["mark"] == 0], length)
         new = _new(m, "gram")
         size = np.diff(np.append(np.flatnonzero(new), len(m)))
         named = _ranges(m[np.repeat(size > 1, size) | np.isin(m["gram"], marked)])
-        rows = [*_split(gone, _by_doc(gone["doc"], parts), "gone"), *_split(named, _by_doc(named["doc"], parts), "named")]
+        rows = [*passed, *_split(gone, _by_doc(gone["doc"], parts), "gone"), *_split(named, _by_doc(named["doc"], parts), "named")]
         return pa.Table.from_batches([_record(rows)])
 
     return run
@@ -299,7 +313,7 @@ def _name_strings(names: Names, p: np.ndarray, length: int, q: int) -> tuple[np.
     return out[0], out[1]
 
 
-def _third_buckets(length: int, q: int, parts: int):
+def _third_buckets(length: int, q: int, parts: int, ties: bool):
     """Documents with the string starts to name: names, reduced within the batch."""
 
     def run(batches):
@@ -308,7 +322,7 @@ def _third_buckets(length: int, q: int, parts: int):
             docs, wanted = batch.column("doc").to_pylist(), batch.column("ranges").to_pylist()
             for k, (text, doc, ranges) in enumerate(zip(texts, docs, wanted, strict=True)):
                 r = np.frombuffer(ranges, "<i8").reshape(-1, 3)
-                tie = _tie(text)
+                tie = _tie(text) if ties else 0
                 r = r[r[:, 0] == np.array(tie, U).astype(np.int64)]
                 if not len(r):
                     continue
@@ -345,8 +359,10 @@ def _repeats(s: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _last_buckets(length: int, parts: int):
     def run(part: tuple, table_: pa.Table) -> pa.Table:
-        _, gone = _repeats(_unpack(table_.column("blob").to_pylist(), STRING), length)
-        return pa.Table.from_batches([_record(list(_split(gone, _by_doc(gone["doc"], parts), "gone")))])
+        kinds, blobs = table_.column("kind").to_pylist(), table_.column("blob").to_pylist()
+        _, gone = _repeats(_unpack([b for k, b in zip(kinds, blobs, strict=True) if k == "string"], STRING), length)
+        passed = [(part[0].as_py(), k, b) for k, b in zip(kinds, blobs, strict=True) if k != "string"]
+        return pa.Table.from_batches([_record([*passed, *_split(gone, _by_doc(gone["doc"], parts), "gone")])])
 
     return run
 
@@ -378,8 +394,8 @@ def _per_document(kind: str):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = 100, q: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, ranges): for each document that loses bytes, its maximal removed runs as packed (text hash, start, end) int64 rows.
+def repeated_spans(docs: DataFrame, length: int = 100, q: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, bool]:
+    """(doc, ranges): for each document that loses bytes, its maximal removed runs as packed (text hash, start, end) int64 rows; and whether the text hashes are set.
 
     Documents are ordered by id, and rows that share an id by a hash of their text; a row repeated with one id and text is
     the same document read twice.  Null ids come first, as one id.
@@ -387,21 +403,25 @@ def repeated_spans(docs: DataFrame, length: int = 100, q: int | None = None, id_
     spark = docs.sparkSession
     ship(spark)
     q = q or (length * 3 + 7) // 8
-    parts = parts_for(docs)
+    parts = parts_for(docs, 4 << 20)
     source = _source(docs, id_col, text_col).select("doc", "text")
-    first = table(source.where(F.octet_length("text") >= length).mapInArrow(_first_buckets(length, q, parts), PARTS), "first-buckets")
+    ties = _ids_repeat(source)
 
-    def grouped(df: DataFrame, kind: str) -> DataFrame:
-        return df.where(F.col("kind") == kind).repartition(parts, "part").groupBy("part")
+    def grouped(df: DataFrame):
+        return df.repartition(parts, "part").groupBy("part")
 
-    second = table(grouped(first, "bucket").applyInArrow(_second_buckets(length, parts), PARTS), "second-buckets")
-    wanted = grouped(first.where("kind = 'named'").unionByName(second.where("kind = 'named'")), "named").applyInArrow(_per_document("named"), "doc long, ranges binary")
-    third = table(source.join(wanted, "doc").mapInArrow(_third_buckets(length, q, parts), PARTS), "third-buckets")
-    last = table(grouped(third, "string").applyInArrow(_last_buckets(length, parts), PARTS), "last-buckets")
-    gone = first.where("kind = 'gone'")
-    for df in (second, third, last):
-        gone = gone.unionByName(df.where("kind = 'gone'"))
-    return grouped(gone, "gone").applyInArrow(_per_document("gone"), "doc long, ranges binary")
+    found = source.where(F.octet_length("text") >= length).mapInArrow(_first_buckets(length, q, parts, ties), PARTS)
+    second = table(grouped(found).applyInArrow(_second_buckets(length, parts), PARTS), "second-buckets")
+    wanted = grouped(second.where("kind = 'named'")).applyInArrow(_per_document("named"), "doc long, ranges binary")
+    strings = source.join(wanted, "doc").mapInArrow(_third_buckets(length, q, parts, ties), PARTS)
+    last = table(grouped(strings).applyInArrow(_last_buckets(length, parts), PARTS), "last-buckets")
+    gone = second.where("kind = 'gone'").unionByName(last)
+    return table(grouped(gone).applyInArrow(_per_document("gone"), "doc long, ranges binary"), "removed-ranges"), ties
+
+
+def _ids_repeat(source: DataFrame) -> bool:
+    """Whether rows share an id; only then members carry a hash of their text."""
+    return bool(source.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").take(1))
 
 
 #: Null ids stand below every other.
@@ -418,7 +438,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, q: int | None = None, id_
     A null or empty text has no bytes and loses none, and so does one shorter than `length`.  Repeated rows are answered
     alike; an empty table gives an empty one.
     """
-    spans = repeated_spans(docs, length, q, id_col, text_col)
+    spans, ties = repeated_spans(docs, length, q, id_col, text_col)
     carried = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_DOC)).alias("doc"), text_or_empty(text_col).cast("binary").alias("text"), *carried)
     names = [f"kept_{i}" for i in range(len(keep))]
@@ -431,7 +451,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, q: int | None = None, id_
             for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
                 r = np.frombuffer(ranges or b"", "<i8").reshape(-1, 3)
                 if len(r):
-                    r = r[r[:, 0] == np.array(_tie(text), U).astype(np.int64)]
+                    r = r[r[:, 0] == np.array(_tie(text) if ties else 0, U).astype(np.int64)]
                 left, at = [], 0
                 for _, a, b in r.tolist():
                     left.append(text[at:a])

@@ -10,7 +10,7 @@ DOCS = "doc_id long, text string, kept string, spans string"
 
 def brute(rows, length):
     """doc -> (n_bytes, n_removed, n_spans, kept_sha256); rows: (doc_id, text)."""
-    docs = sorted({(d if d is not None else suffix_dedup.NULL_DOC, suffix_dedup._tie((t or "").encode()) if len((t or "").encode()) >= length else 0, (t or "").encode()) for d, t in rows})
+    docs = sorted({(d if d is not None else suffix_dedup.NULL_DOC, suffix_dedup._tie((t or "").encode()), (t or "").encode()) for d, t in rows})
     seen, out = set(), {}
     for d, _, t in docs:
         gone = bytearray(len(t))
