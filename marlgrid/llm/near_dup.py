@@ -9,9 +9,9 @@ Verification.  The k-mer sequences of two texts are aligned (longest common subs
 alignment reaches the threshold.  similarity = aligned / (n1 + n2 - aligned); pairs of at least `threshold` are linked.
 
 Hot buckets.  Copies (the same words) become one member first.  Each member is then verified against the smallest member of
-its buckets, next against those of all its buckets whose class is another, and last the members that are still outside a
-bucket's largest class against all of it in other classes.  So a group of near copies costs about one pair a member and
-bucket, and no pair of one bucket and two classes is left unverified.
+its buckets, next against those of all its buckets whose class is another.  Buckets that still hold several classes are
+worked through in blocks: a block counts the k-mers that its members share and aligns only pairs that can reach the threshold
+and whose classes are still apart.  Pairs are never written out, and no pair of one bucket and two classes is left out.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from marlgrid.llm.common import connected_components, ship, table, text_or_empty
 U = np.uint64
 WORDS = 5
 CHUNK_CHARS = 1 << 20
+#: Members of a bucket, and bytes of their k-mers, in one side of a block.
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
 _NOT_WORD = re.compile(r"\W+")
 _RNG = np.random.Generator(np.random.PCG64(777))
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=U) * U(2) + U(1)
@@ -223,6 +225,69 @@ def _verified(threshold: float):
     return run
 
 
+def _labelled(x: np.ndarray) -> np.ndarray:
+    """k-mers with the number of equal ones before them, so that equal values of two texts count their common multiset."""
+    order = np.argsort(x, kind="stable")
+    y = x[order]
+    head = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]]))
+    at = np.arange(len(x)) - np.repeat(head, np.diff(np.append(head, len(x))))
+    return _mix(y.astype(U) + at.astype(U) * U(0xA24BAED4963EE407))
+
+
+def common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many labelled k-mers each text of a shares with each of b: sums of products over blocks of the shared vocabulary."""
+    values, owner = np.concatenate(a + b), np.repeat(np.arange(len(a) + len(b)), [len(x) for x in a + b])
+    vocabulary, at, count = np.unique(values, return_inverse=True, return_counts=True)
+    keep = count[at] > 1
+    owner, at = owner[keep], at[keep]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    at = np.cumsum(np.concatenate([[0], at[1:] != at[:-1]])) if len(at) else at
+    total = np.zeros((len(a), len(b)), np.float32)
+    width = 4096
+    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, width):
+        s = slice(*np.searchsorted(at, [lo, lo + width]))
+        m = np.zeros((len(a) + len(b), width), np.float32)
+        m[owner[s], at[s] - lo] = 1
+        total += m[: len(a)] @ m[len(a) :].T
+    return total
+
+
+def _block_links(threshold: float):
+    """Links between classes in a block: every pair whose common k-mers can reach the threshold is aligned, unless links found
+    before have joined its classes; so the links form a forest."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        node, cls, own = (np.array(t.column(c), np.int64) for c in ("node", "class", "own"))
+        seqs = [np.frombuffer(x, np.uint32) for x in t.column("kmers").to_pylist()]
+        parent = {c: c for c in cls.tolist()}
+
+        def find(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        out_a, out_b = [], []
+        left, right = np.flatnonzero(own == key[1].as_py()), np.flatnonzero(own == key[2].as_py())
+        if len(parent) > 1 and len(left) and len(right):
+            names = [_labelled(x) for x in seqs]
+            shared = common([names[k] for k in left], [names[k] for k in right])
+            size = np.array([len(x) for x in seqs])
+            need = threshold / (1 + threshold) * (size[left][:, None] + size[right][None, :])
+            i, j = np.nonzero((shared + 1e-3 >= need) & (cls[left][:, None] != cls[right][None, :]))
+            for k in np.argsort(-(shared[i, j] / need[i, j]), kind="stable"):
+                p, q = int(left[i[k]]), int(right[j[k]])
+                x, y = find(int(cls[p])), find(int(cls[q]))
+                if x != y and similarity(seqs[p], seqs[q], threshold) >= threshold:
+                    parent[max(x, y)] = min(x, y)
+                    out_a.append(int(node[p]))
+                    out_b.append(int(node[q]))
+        return pa.Table.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, repeats: int = 20, picks: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, component_id (the smallest id of its class), group_size (its class's documents), kept (id = component_id).
 
@@ -262,21 +327,20 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, repeats: int = 20,
     tried = table(shared.where("node != leader").groupBy("node").agg(F.min("leader").alias("a")).select("a", F.col("node").alias("b")), "pairs")
     links = verified(tried)
     # then those of all its buckets, where the class is another
-    rows = classed(links)
-    heads = rows.select(F.col("node").alias("h_"), F.col("class").alias("head_class")).distinct()
-    apart = rows.join(heads, F.col("leader") == F.col("h_")).where("class != head_class").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    more = table(apart.join(tried, ["a", "b"], "left_anti"), "pairs")
+    rows = table(classed(links), "classed")
+    heads = table(rows.select(F.col("node").alias("h_"), F.col("class").alias("head_class")).distinct(), "heads")
+    apart = rows.where("node != leader").join(heads, F.col("leader") == F.col("h_")).where("class != head_class")
+    more = table(apart.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(verified(more))
-    tried = tried.unionByName(more)
-    # last, members outside a bucket's largest class against all of its other classes
+    # last, all members of the buckets that still hold several classes
     rows = table(classed(links), "classed")
-    sizes = rows.groupBy("bucket", "class").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", F.col("class").alias("c")))["c"].alias("main"), F.count("*").alias("classes")).where("classes > 1").select("bucket", "main")
-    inside = rows.join(mixed, "bucket").select("bucket", "node", "class", "main")
-    outer = inside.where("class != main").select("bucket", F.col("node").alias("p"), F.col("class").alias("p_class"))
-    cross = outer.join(inside, "bucket").where("p_class != class and (class = main or p < node)").select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
-    rest = table(cross.join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(verified(rest))
+    sizes = rows.groupBy("bucket", "class").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("classes")).where("classes > 1")
+    inside = rows.join(sizes.select("bucket"), "bucket").join(sequences.withColumnRenamed("doc", "s_"), F.col("node") == F.col("s_")).select("bucket", "node", "class", "kmers")
+    inside = table(inside, "mixed-buckets")
+    blocks = inside.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("kmers")) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    own = inside.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    pairs = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "class", "kmers")
+    links = links.unionByName(table(pairs.groupBy("bucket", "i", "j").applyInArrow(_block_links(threshold), "a long, b long"), "links"))
 
     # documents of one id share a class as well
     twins = worded.select("doc", "digest").distinct().join(members.select("digest", "node"), "digest").select(F.col("doc").alias("a"), F.col("node").alias("b"))
