@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlgrid.llm import bpe, chat, near_dup, packing, secret_scan, suffix_dedup, url_filter, vectors
+from marlgrid.llm import bpe, chat, near_dup, packing, secret_scan, suffix_dedup, toxicity, url_filter, vectors
 from marlgrid.llm.common import load
 
 
@@ -42,6 +42,12 @@ def op7_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digests(secret_scan.secrets(load(spark, sf_dir, "documents")))
 
 
+def op8_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document, with its probabilities, whether it is toxic, and whether it is kept."""
+    found = toxicity.judged(load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "labels"))
+    return found.select("doc_id", "p_low_quality", "p_toxic", "p_toxic_and_low", "toxic", (~F.col("toxic")).alias("kept"))
+
+
 def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokenizers
 
@@ -56,6 +62,6 @@ def op10_url_digest_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(load(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_segment_topk, op2_order_minhash, op3_multi_index_links, op4_concat_pack, op5_bucket_refine_dedup, op6_prefix_target_chat, op7_blob_ledger_secrets, op9_bpe_roundtrip, op10_url_digest_filter)}
+QUERIES = {f.__name__: f for f in (op1_segment_topk, op2_order_minhash, op3_multi_index_links, op4_concat_pack, op5_bucket_refine_dedup, op6_prefix_target_chat, op7_blob_ledger_secrets, op8_toxicity_chain, op9_bpe_roundtrip, op10_url_digest_filter)}
 
 SQL: dict[str, str] = {}

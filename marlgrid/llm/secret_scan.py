@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlgrid.llm.common import text_or_empty
+from marlgrid.llm.common import table, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -96,7 +96,7 @@ def secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule,
     id stays; an empty table gives an empty one; extra columns are ignored, whatever their names.
     """
     bare = docs.select("doc_id", "text")
-    entries = scan_new(bare, ledger, rules, version)
+    entries = table(scan_new(bare, ledger, rules, version), "ledger")
     if ledger is not None:
         entries = entries.unionByName(ledger)
     return joined_back(bare.select("doc_id", text_or_empty().alias("text")), entries, version).select(F.col("doc_id").alias("path"), "blob", "spans")
