@@ -6,6 +6,8 @@ checkpoint folder every few rounds.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,9 +15,11 @@ from marlgrid.operators.relational import latest_per_key, symmetric
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint; as it is where the session has no checkpoint folder."""
-    context = df.sparkSession.sparkContext
-    return df.checkpoint() if context.getCheckpointDir() else df
+    """df with its lineage cut by a reliable checkpoint in the folder that spark.checkpoint.dir names; one under /tmp where it is unset."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{os.getpid()}")
+    return df.checkpoint()
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = 2) -> DataFrame:
@@ -31,6 +35,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = 2) -> DataFrame:
         new = latest_per_key(met.join(seen, ["seed", "node"], "left_anti"), ["seed", "node"], [F.asc("rank"), F.asc("ordinal")])
         # the order in which nodes were reached is the order in which they are left
         new = new.withColumn("rank", F.row_number().over(Window.partitionBy("seed").orderBy("rank", "ordinal")).cast("long"))
+        new = cut(new)
         hop = new.select("seed", "node", F.lit(depth).cast("long").alias("depth"), "predicate", F.lit(1.0 / depth).alias("score"))
         found = hop if found is None else found.unionByName(hop)
         seen = seen.unionByName(new.select("seed", "node"))
@@ -47,7 +52,7 @@ def neighbours(edges: DataFrame, node: str, max_depth: int = 4, most: int = 200)
     seen, found = frontier, None
     for d in range(1, depth + 1):
         met = frontier.join(both, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("kind").alias("relation"))
-        hop = met.join(seen, "node", "left_anti").select("node", F.lit(d).cast("long").alias("depth"), "relation")
+        hop = cut(met.join(seen, "node", "left_anti").select("node", F.lit(d).cast("long").alias("depth"), "relation"))
         found = hop if found is None else found.unionByName(hop)
         frontier = hop.select("node")
         seen = seen.unionByName(frontier)
@@ -64,6 +69,7 @@ def decayed_walk(edges: DataFrame, seeds: DataFrame, max_depth: int = 4, decay:
     found = None
     for _ in range(max_depth):
         frontier = frontier.join(both, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.max(F.col("score") * decay * F.col("weight")).alias("score"))
+        frontier = cut(frontier)
         found = frontier if found is None else found.unionByName(frontier)
     out = found.groupBy("node").agg(F.max("score").alias("score")).join(seeds.select("node"), "node", "left_anti")
     return out if most is None else out.orderBy(F.desc("score"), "node").limit(most)

@@ -118,7 +118,7 @@ def children_per_parent(spark, d):
 
 @query(f"""
 with h as (select event_type, max({MS}) as m from events group by event_type), w(kind, weight) as (values ('click', 1.0::double), ('view', 0.85::double), ('error', 0.5::double))
-select e.event_type, e.event_id, m as recorded_at_ms, cast(({NOW_MS} - m) // 86400000 as bigint) as age_days, coalesce(weight, 0.0) as weight
+select e.event_type, e.event_id, m as recorded_at_ms, cast(floor(({NOW_MS} - m) / 86400000.0) as bigint) as age_days, coalesce(weight, 0.0) as weight
 from h join events e on e.event_type = h.event_type and {MS} = m left join w on kind = e.event_type""")
 def latest_health_with_authority(spark, d):
     e = events(spark, d)
@@ -294,10 +294,11 @@ def budget_cutoff(spark, d):
 
 @query(f"""
 with s as (select event_type || ':' || user_id as snapshot_id, case when count(*) > 10 then max({MS}) end as promoted_at_ms, cast(case when max(value) > 60 then 1 end as bigint) as deactivated_at_ms from events group by 1)
-select snapshot_id, promoted_at_ms, case when promoted_at_ms is not null and deactivated_at_ms is null and snapshot_id <> 'click:5' and promoted_at_ms < {NOW_MS} + 10 * 86400000 - 86400000 then {NOW_MS} + 10 * 86400000 else deactivated_at_ms end as deactivated_at_ms from s""")
+select snapshot_id, coalesce(promoted_at_ms, -1) as promoted_at_ms, coalesce(case when promoted_at_ms is not null and deactivated_at_ms is null and snapshot_id <> 'click:5' and promoted_at_ms < {NOW_MS} + 10 * 86400000 - 86400000 then {NOW_MS} + 10 * 86400000 else deactivated_at_ms end, -1) as deactivated_at_ms from s""")
 def retention_sweep(spark, d):
     s = events(spark, d).groupBy(F.concat_ws(":", "event_type", "user_id").alias("snapshot_id")).agg(F.when(F.count("*") > 10, F.max("ts_ms")).alias("promoted_at_ms"), F.when(F.max("value") > 60, 1).cast("long").alias("deactivated_at_ms"))
-    return snapshot.retention(s, "click:5", NOW_MS + 10 * 86_400_000, 1)
+    swept = snapshot.retention(s, "click:5", NOW_MS + 10 * 86_400_000, 1)
+    return swept.select("snapshot_id", F.coalesce("promoted_at_ms", F.lit(-1)).alias("promoted_at_ms"), F.coalesce("deactivated_at_ms", F.lit(-1)).alias("deactivated_at_ms"))
 
 
 @query("""
