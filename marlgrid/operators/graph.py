@@ -1,13 +1,15 @@
 """Graph operators over an edge table: bounded walks that keep one row a node and hop, breadth-first search, PageRank.
 
-Each hop is one equi-join and one grouped maximum or minimum, so paths never multiply.  Iterations are written to the
-checkpoint folder every few rounds.
+Each hop is one equi-join and one grouped maximum or minimum, so paths never multiply.  Each hop and round is written to the
+checkpoint folder.
 """
 
 from __future__ import annotations
 
 import os
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,7 +77,7 @@ def decayed_walk(edges: DataFrame, seeds: DataFrame, max_depth: int = 4, decay:
     return out if most is None else out.orderBy(F.desc("score"), "node").limit(most)
 
 
-def ppr(edges: DataFrame, personalization: DataFrame, alpha: float = 0.15, tolerance: float = 1e-6, rounds: int = 100, fixed: bool = False, every: int = 5, weighted: bool = False) -> DataFrame:
+def ppr(edges: DataFrame, personalization: DataFrame, alpha: float = 0.15, tolerance: float = 1e-6, rounds: int = 100, fixed: bool = False, weighted: bool = False) -> DataFrame:
     """(node, score): personalised PageRank by power iteration.
 
     alpha is the teleport share; personalization (node, mass) sums to 1.  All nodes start at 1/N; parallel edges count
@@ -93,21 +95,41 @@ def ppr(edges: DataFrame, personalization: DataFrame, alpha: float = 0.15, toler
     n = base.count()
     if not n:
         return base.select("node", F.lit(0.0).alias("score"))
-    scores = base.select("node", "leads", "mass", F.lit(1.0 / n).alias("score"))
-    for i in range(1, rounds + 1):
-        lost = scores.agg(F.coalesce(F.sum(F.when(~F.col("leads"), F.col("score"))), F.lit(0.0)).alias("lost"))
-        got = scores.join(links, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
-        moved = base.join(got, "node", "left").join(F.broadcast(lost)).join(scores.select("node", F.col("score").alias("old")), "node")
-        after = moved.select("node", "leads", "mass", ((1 - alpha) * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n) + alpha * F.col("mass")).alias("score"), "old")
-        if i % every == 0 or not fixed:
-            after = cut(after)
-        delta = None if fixed else after.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
+    if n <= LOCAL_SIZE and links.limit(LOCAL_SIZE + 1).count() <= LOCAL_SIZE:
+        return _local_ppr(base, links, alpha, tolerance, rounds, fixed)
+    scores, lost = base.withColumn("score", F.lit(1.0 / n)), base.where("not leads").count() / n
+    for _ in range(rounds):
+        got = scores.join(links, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
+        moved = scores.join(got, F.col("node") == F.col("to"), "left")
+        score = (1 - alpha) * (F.coalesce("got", F.lit(0.0)) + lost / n) + alpha * F.col("mass")
+        after = cut(moved.select("node", "leads", "mass", score.alias("score"), F.col("score").alias("old")))
+        # two numbers come to the driver each round
+        delta, lost = after.agg(F.sum(F.abs(F.col("score") - F.col("old"))), F.coalesce(F.sum(F.when(~F.col("leads"), F.col("score"))), F.lit(0.0))).first()
         scores = after.drop("old")
-        if delta is not None and delta < tolerance:
+        if delta < tolerance and not fixed:
             break
     return scores.select("node", "score")
 
 
+#: Graphs of at most so many nodes and links are iterated in memory, with the same steps; larger ones as joins.
+LOCAL_SIZE = 200_000
+
+
+def _local_ppr(base: DataFrame, links: DataFrame, alpha: float, tolerance: float, rounds: int, fixed: bool) -> DataFrame:
+    nodes, edges = base.toPandas().sort_values("node", ignore_index=True), links.toPandas()
+    place = pd.Series(nodes.index, index=nodes["node"])
+    src, dst, share = place[edges["src"]].to_numpy(), place[edges["dst"]].to_numpy(), edges["share"].to_numpy()
+    leads, mass, n = nodes["leads"].to_numpy(), nodes["mass"].to_numpy(), len(nodes)
+    score = np.full(n, 1.0 / n)
+    for _ in range(rounds):
+        got = np.bincount(dst, score[src] * share, n) if len(src) else np.zeros(n)
+        after = (1 - alpha) * (got + score[~leads].sum() / n) + alpha * mass
+        delta, score = np.abs(after - score).sum(), after
+        if delta < tolerance and not fixed:
+            break
+    return base.sparkSession.createDataFrame(pd.DataFrame({"node": nodes["node"], "score": score}), base.select("node", F.lit(0.0).alias("score")).schema)
+
+
 def has_cycle(edges: DataFrame, rounds: int = 10_000) -> bool:
     """Whether a directed graph has a cycle: nodes that nothing leads to are taken away until none are left or none go."""
     left = edges.select("src", "dst").distinct()
