@@ -345,8 +345,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, repeats: int = 20,
     # documents of one id share a class as well
     twins = worded.select("doc", "digest").distinct().join(members.select("digest", "node"), "digest").select(F.col("doc").alias("a"), F.col("node").alias("b"))
     label = connected_components(links.unionByName(twins.where("a != b")))
-    every = sketch.select("doc").distinct().join(label, F.col("doc") == F.col("node"), "left").select("doc", F.coalesce("component", "doc").alias("component_id"))
-    sizes = every.groupBy("component_id").agg(F.count("*").alias("group_size"))
+    every = table(sketch.select("doc").distinct().join(label, F.col("doc") == F.col("node"), "left").select("doc", F.coalesce("component", "doc").alias("component_id")), "classes")
+    sizes = table(every.groupBy("component_id").agg(F.count("*").alias("group_size")), "class-sizes")
     named_rows = every.join(sizes, "component_id").select(F.col("doc").alias(id_col), "component_id", "group_size", (F.col("doc") == F.col("component_id")).alias("kept"))
     nameless = source.where("doc is null").select(F.col("doc").alias(id_col), F.lit(None).cast("long").alias("component_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     return named_rows.unionByName(nameless)

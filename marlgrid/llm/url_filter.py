@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from marlgrid.llm.common import ship
 
-#: A list of rules beyond this many bytes is refused rather than sent to every executor; url_verdicts_joined() takes it.
+#: A list of rules whose array has more bytes is refused rather than sent to every executor.
 MAX_ARRAY_BYTES = 512 << 20
 
 _OPEN: dict = {}
