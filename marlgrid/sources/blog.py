@@ -23,7 +23,7 @@ def published_ms(html: Column | str) -> Column:
 def authors(html: Column | str) -> Column:
     marks = [*_meta("property", "article:author"), *_meta("name", "author")]
     every = F.flatten(F.array(*[F.regexp_extract_all(col(html), F.lit(p), F.lit(1)) for p in marks]))
-    return F.array_distinct(F.filter(F.transform(every, F.trim), lambda a: a != ""))
+    return F.array_distinct(F.filter(F.transform(every, lambda a: F.trim(a)), lambda a: a != ""))
 
 
 def posts(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
