@@ -53,9 +53,15 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch that goes to a Python worker at once; Spark's own default is 64 MB on each side of the pipe.
+BATCH_BYTES = 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once for each application."""
+    """Sends this package to the executors once for each application, and has this session send texts in batches of BATCH_BYTES at most."""
     context = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20)).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if context.applicationId in _SHIPPED:
         return
     _SHIPPED.add(context.applicationId)

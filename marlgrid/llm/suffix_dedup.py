@@ -34,6 +34,8 @@ U = np.uint64
 CHUNK = 1 << 19
 #: Bytes of text whose anchors are reduced together before the shuffle.
 BATCH = 12 << 20
+#: Strings that are named and reduced together before the shuffle.
+STRINGS = 400_000
 #: Different contexts of a q-gram in one batch above which its strings are named one by one.
 SPREAD = 8
 
@@ -314,11 +316,16 @@ def _name_strings(names: Names, p: np.ndarray, length: int, q: int) -> tuple[np.
 
 
 def _third_buckets(length: int, q: int, parts: int, ties: bool):
-    """Documents with the string starts to name: names, reduced within the batch."""
+    """Documents with the string starts to name: names, reduced within some STRINGS of them."""
+
+    def settled(found: list[np.ndarray]) -> pa.RecordBatch:
+        s, gone = _repeats(np.concatenate(found), length)
+        return _record([*_split(gone, _by_doc(gone["doc"], parts), "gone"), *_split(s, (s["n1"] % U(parts)).astype(np.int64), "string")])
 
     def run(batches):
+        found = []
         for batch in batches:
-            found, texts = [], batch.column("text").to_pylist()
+            texts = batch.column("text").to_pylist()
             docs, wanted = batch.column("doc").to_pylist(), batch.column("ranges").to_pylist()
             for k, (text, doc, ranges) in enumerate(zip(texts, docs, wanted, strict=True)):
                 r = np.frombuffer(ranges, "<i8").reshape(-1, 3)
@@ -333,11 +340,11 @@ def _third_buckets(length: int, q: int, parts: int, ties: bool):
                 s["n0"], s["n1"] = _name_strings(Names(data), p, length, q)
                 s["doc"], s["tie"], s["at"] = doc, tie, p
                 found.append(s)
-            if not found:
-                continue
-            s = np.concatenate(found)
-            s, gone = _repeats(s, length)
-            yield _record([*_split(gone, _by_doc(gone["doc"], parts), "gone"), *_split(s, (s["n1"] % U(parts)).astype(np.int64), "string")])
+                if sum(map(len, found)) >= STRINGS:
+                    yield settled(found)
+                    found = []
+        if found:
+            yield settled(found)
 
     return run
 

@@ -25,7 +25,7 @@ CHUNK_CHARS = 1 << 20
 #: At most so many labelled documents, those with the smallest hash of their id, train the chain.
 TRAIN_ROWS = 12_000
 #: At most so many features for a category.
-FEATURES = 256
+FEATURES = 128
 FOLDS = 5
 _RNG = np.random.Generator(np.random.PCG64(4242))
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=U) * U(2) + U(1)
@@ -71,15 +71,17 @@ def _chunks(texts: list[str]):
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 15) -> np.ndarray:
-    """Weights, the constant first, by penalised Newton steps; labels of one kind give a constant near it."""
-    x = np.concatenate([np.ones((len(x), 1)), x], 1)
+    """Weights, the constant first, by penalised Newton steps; without a positive label the probability is next to 0."""
+    if not y.sum():
+        return np.concatenate([[-30.0], np.zeros(x.shape[1])])
+    x = np.concatenate([np.ones((len(x), 1), x.dtype), x], 1)
     w = np.zeros(x.shape[1])
     penalty = np.full(len(w), ridge)
     penalty[0] = 1e-2
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (p - y) + penalty * w
-        curve = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
+        curve = ((x * (p * (1 - p)).astype(x.dtype)[:, None]).T @ x).astype(float) + np.diag(penalty)
         step = np.linalg.solve(curve, gradient)
         w -= step
         if np.abs(step).max() < 1e-4:
@@ -98,6 +100,8 @@ class Chain:
     columns: np.ndarray
     n_columns: int
     weights: list[np.ndarray]
+    #: for each category the probability from which it is said to hold
+    thresholds: list[float]
 
     def matrix(self, texts: list[str]) -> np.ndarray:
         owner, found = features(texts)
@@ -117,6 +121,18 @@ class Chain:
         return out
 
 
+#: Thresholds to choose from.
+THRESHOLDS = (0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5)
+
+
+def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """The smallest of those with the best F1 on out-of-fold probabilities; the middle one where nothing is positive."""
+    if not y.sum():
+        return 0.5
+    f1 = [2 * (y[p >= t].sum()) / max(1, (p >= t).sum() + y.sum()) for t in THRESHOLDS]
+    return THRESHOLDS[int(np.argmax(f1))]
+
+
 def choose(present: list[np.ndarray], labels: np.ndarray, most: int) -> np.ndarray:
     """Feature numbers whose occurrence differs most between a category's two kinds of text, `most` for each category."""
     total = np.bincount(np.concatenate(present), minlength=1 << BITS) if present else np.zeros(1 << BITS, int)
@@ -141,12 +157,12 @@ def train(present: list[np.ndarray], labels: np.ndarray, categories: tuple[str,
     picked = choose(present, labels, most)
     columns = np.full(1 << BITS, -1, np.int32)
     columns[picked] = np.arange(len(picked))
-    x = np.zeros((len(present), len(picked)))
+    x = np.zeros((len(present), len(picked)), np.float32)
     for i, p in enumerate(present):
         c = columns[p]
         x[i, c[c >= 0]] = 1
     fold = np.arange(len(present)) % folds
-    weights, earlier = [], np.zeros((len(present), 0))
+    weights, thresholds, earlier = [], [], np.zeros((len(present), 0), np.float32)
     for y in labels.T.astype(float):
         seen = np.concatenate([x, earlier], 1)
         unseen = np.zeros(len(present))
@@ -155,8 +171,9 @@ def train(present: list[np.ndarray], labels: np.ndarray, categories: tuple[str,
             if own.any() and rest.any():
                 unseen[own] = _probability(logistic(seen[rest], y[rest]), seen[own])
         weights.append(logistic(seen, y))
-        earlier = np.concatenate([earlier, unseen[:, None]], 1)
-    return Chain(categories, columns, len(picked), weights)
+        thresholds.append(best_threshold(unseen, y))
+        earlier = np.concatenate([earlier, unseen[:, None].astype(np.float32)], 1)
+    return Chain(categories, columns, len(picked), weights, thresholds)
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: dict, max_rows: int = TRAIN_ROWS, most: int = FEATURES) -> Chain:
@@ -216,9 +233,8 @@ def label_categories() -> dict:
     return {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1, "toxic_and_low": (F.col("toxic") == 1) & (F.col("quality") == 0)}
 
 
-THRESHOLD = 0.5
-
-
-def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with the chain's probabilities and `toxic`, whether that category's reaches the threshold."""
-    return scored(docs, fit(docs, labels, label_categories())).withColumn("toxic", F.col("p_toxic") >= threshold)
+def judged(docs: DataFrame, labels: DataFrame, threshold: float | None = None) -> DataFrame:
+    """docs with the chain's probabilities and `toxic`, whether that category's reaches the threshold (by default the chain's own)."""
+    chain = fit(docs, labels, label_categories())
+    own = chain.thresholds[chain.categories.index("toxic")] if threshold is None else threshold
+    return scored(docs, chain).withColumn("toxic", F.col("p_toxic") >= own)
