@@ -65,3 +65,41 @@ def op10_url_digest_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_segment_topk, op2_order_minhash, op3_multi_index_links, op4_concat_pack, op5_bucket_refine_dedup, op6_prefix_target_chat, op7_blob_ledger_secrets, op8_toxicity_chain, op9_bpe_roundtrip, op10_url_digest_filter)}
 
 SQL: dict[str, str] = {}
+
+SQL["op1_segment_topk"] = """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * x::double) as bigint)) as w from embeddings
+ where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, r.vec_id, cast(list_sum(list_transform(list_zip(q.w, r.w), lambda p: p[1] * p[2])) as bigint) as score from v q join v r on q.vec_id % 100 = 0 and r.vec_id <> q.vec_id and len(q.w) = len(r.w)),
+k as (select *, row_number() over (partition by query_id order by score desc, vec_id) as n from s)
+select query_id, cast(n as integer) as rank, vec_id, score from k where n <= 10"""
+
+SQL["op6_prefix_target_chat"] = r"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -7, i, if(i = 0, 'user', 'assistant'), '\### Assistant: </turn> ok' from range(2) r(i)),
+e as (select *, replace(replace(replace(replace(role, '\', '\0'), '#', '\1'), '<', '\2'), ':', '\3') as er, replace(replace(replace(replace(text, '\', '\0'), '#', '\1'), '<', '\2'), ':', '\3') as et from c),
+o as (select *, 14 + length(er) + length(et) as n, sum(14 + length(er) + length(et)) over (partition by conv_id order by turn, role, text rows unbounded preceding) as upto from e)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+ cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+ cast(sum(n) as bigint) as formatted_chars, count(*) filter (where role = 'assistant') as n_examples, cast(coalesce(sum(upto) filter (where role = 'assistant'), 0) as bigint) as expanded_chars from o group by conv_id"""
+
+
+def _either_case(words: str) -> str:
+    return "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in words.split())
+
+
+_ASSIGN = f"({_either_case('password passwd secret token')}|{_either_case('api')}_?{_either_case('key')})" + r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_KINDS = ((0, "assign", _ASSIGN, 2, 8), (1, "access", "AKIA[A-Z0-9]+", 0, 16), (2, "hex", "[0-9a-f]+", 0, 32))
+_FOUND = " union all ".join(f"select doc_id, {k} as k, '{kind}' as kind, {least} as least, string_split_regex(t, '{p}') as gaps, regexp_extract_all(t, '{p}') as hits, regexp_extract_all(t, '{p}', {g}) as parts from d" for k, kind, p, g, least in _KINDS)
+SQL["op7_blob_ledger_secrets"] = f"""
+with d as (select doc_id, coalesce(text, '') as t from documents), f as ({_FOUND}),
+m as (select doc_id, k, kind, least, gaps, hits, parts, unnest(range(1, len(hits) + 1)) as i from f),
+s as (select doc_id, k, kind, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) as a, length(hits[i]) as n from m where length(parts[i]) >= least),
+w as (select doc_id, count(*) filter (where k = 0) as n_assign, count(*) filter (where k = 1) as n_access, count(*) filter (where k = 2) as n_hex, string_agg(kind || ':' || a || ':' || (a + n), ',' order by a, k) as spans from s group by doc_id)
+select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans from d left join w on w.doc_id = d.doc_id"""
+
+_RULES = ", ".join(f"('{verdict}', '{host}', '{path}')" for verdict, host, path in URL_RULES)
+SQL["op10_url_digest_filter"] = f"""
+with u as (select page_id, case when contains(url, '://') then regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') else '' end as rest from pages),
+p as (select page_id, translate(regexp_extract(rest, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, substr(rest, length(regexp_extract(rest, '^[^/]*')) + 1) as path from u),
+r(v, h, w) as (values {_RULES}),
+f as (select page_id, h || w as rule, v, row_number() over (partition by page_id order by length(h || w) desc, length(h) desc) as n from p join r on (host = h or host like '%.' || h) and starts_with(path, w))
+select p.page_id, host, path, rule, coalesce(v, 'allow') as verdict from p left join f on f.page_id = p.page_id and n = 1"""
