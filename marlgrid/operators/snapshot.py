@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marlgrid.operators.graph import cut
 from marlgrid.operators.relational import latest_per_key, replace_by_key
 
 DAY_MS = 86_400_000
@@ -88,24 +89,27 @@ def cache_upsert(cache: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def budget_cut(requests: DataFrame, tokens: str, order: str, batch: int, cap: int) -> DataFrame:
-    """requests with batch_no and `embedded`: batches in order until the one that would exceed the cap.
-
-    The running sum goes over batches, one row each, not over requests.
-    """
-    placed = numbered(requests, order).withColumn("batch_no", F.floor((F.col("position") - 1) / batch).cast("long"))
-    sums = placed.groupBy("batch_no").agg(F.sum(tokens).alias("batch_tokens"))
-    total = sums.withColumn("so_far", F.sum("batch_tokens").over(Window.orderBy("batch_no")))
+    """requests with batch_no and `embedded`: batches in order until the one that would exceed the cap."""
+    placed = numbered(requests, order, tokens).withColumn("batch_no", F.floor((F.col("position") - 1) / batch).cast("long"))
     # a later batch can't fit once one was refused: the running sum never falls
-    return placed.join(total.select("batch_no", "so_far"), "batch_no").withColumn("embedded", F.col("so_far") <= cap)
+    total = placed.groupBy("batch_no").agg(F.max("running").alias("so_far"))
+    return placed.drop("running").join(total, "batch_no").withColumn("embedded", F.col("so_far") <= cap)
 
 
-def numbered(df: DataFrame, order: str) -> DataFrame:
-    """df with `position` from 1 in order: range partitions are sorted on their own and offset by the counts before them."""
-    placed = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
-    local = placed.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
-    counts = local.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return local.join(F.broadcast(before), "_part").withColumn("position", F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
+def numbered(df: DataFrame, order: str, value: str | None = None) -> DataFrame:
+    """df with `position` from 1 in order, and `running`, the sum of value up to it.
+
+    Range partitions are numbered on their own and written once; their counts and sums, one row each, then shift them.
+    """
+    amount = F.col(value) if value else F.lit(0)
+    own = Window.partitionBy("_part").orderBy(order)
+    placed = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
+    local = cut(placed.withColumn("_at", F.row_number().over(own)).withColumn("_sum", F.sum(amount).over(own.rowsBetween(Window.unboundedPreceding, 0))))
+    ends = local.groupBy("_part").agg(F.count("*").alias("_n"), F.sum(amount).alias("_total"))
+    before = Window.orderBy("_part")
+    shifts = ends.select("_part", (F.sum("_n").over(before) - F.col("_n")).alias("_rows"), (F.sum("_total").over(before) - F.col("_total")).alias("_shift"))
+    out = local.join(F.broadcast(shifts), "_part").withColumn("position", F.col("_at") + F.col("_rows")).withColumn("running", F.col("_sum") + F.col("_shift"))
+    return out.drop("_part", "_at", "_sum", "_rows", "_shift", *([] if value else ["running"]))
 
 
 def smoke(hits: DataFrame, baseline: DataFrame, bootstrap: bool = False) -> DataFrame:
@@ -115,7 +119,7 @@ def smoke(hits: DataFrame, baseline: DataFrame, bootstrap: bool = False) -> Data
     return out.withColumn("passed", F.when(F.col("n") == 0, F.lit(bootstrap)).otherwise(F.col("hit_rate") >= F.col("threshold")))
 
 
-def resume_point(steps: DataFrame, log: DataFrame) -> Column | DataFrame:
+def resume_point(steps: DataFrame, log: DataFrame) -> DataFrame:
     """The first step by ordinal without a success in the log."""
     return steps.join(log.where("status = 'succeeded'").select("step").distinct(), "step", "left_anti").orderBy("ordinal").limit(1)
 
