@@ -86,12 +86,6 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def parts_for(df: DataFrame, part_bytes: int = 16 << 20) -> int:
-    """Parts for arrays packed from df: as many as shuffle partitions, and more where df's files would make them larger than part_bytes."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(parallelism(df.sparkSession), min(size // part_bytes, 1 << 20))
-
-
 def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the undirected edges (a, b); component is the smallest node that links reach.
 

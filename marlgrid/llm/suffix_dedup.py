@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlgrid.llm.common import parts_for, ship, table, text_or_empty
+from marlgrid.llm.common import parallelism, ship, table, text_or_empty
 
 U = np.uint64
-#: Bytes of text hashed at a time; texts longer than this are hashed whole.
-CHUNK = 1 << 19
+#: Bytes of text hashed at a time, and string starts of a long text among them.
+CHUNK = SEGMENT = 1 << 19
 #: Bytes of text whose anchors are reduced together before the shuffle.
 BATCH = 12 << 20
 #: Strings that are named and reduced together before the shuffle.
@@ -113,19 +113,31 @@ def _anchors(data: np.ndarray, ends: np.ndarray, length: int, q: int):
     return at[first], starts[first], starts[last], grams[at[first]], names
 
 
-def _chunks(texts: list[bytes], least: int):
-    """(indices, joined bytes, ends) of runs of the texts of at least `least` bytes."""
-    own, size = [], 0
+def _segments(size: int, length: int, segment: int):
+    """(first, end) of the bytes of each segment of a text: every string starts in exactly one, and lies in it whole."""
+    for first in range(0, max(1, size - length + 1), segment):
+        yield first, min(size, first + segment + length - 1)
+
+
+def _chunks(texts: list[bytes], length: int, segment: int):
+    """(index, first byte) of the segments of the texts of at least `length` bytes, some at a time, their joined bytes and ends."""
+    own, parts, size = [], [], 0
+
+    def joined():
+        return np.array(own), np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(p) for p in parts])
+
     for i, t in enumerate(texts):
-        if len(t) < least:
+        if len(t) < length:
             continue
-        if own and size + len(t) > CHUNK:
-            yield own, np.frombuffer(b"".join(texts[k] for k in own), np.uint8), np.cumsum([len(texts[k]) for k in own])
-            own, size = [], 0
-        own.append(i)
-        size += len(t)
+        for first, end in _segments(len(t), length, segment):
+            if own and size + end - first > CHUNK:
+                yield joined()
+                own, parts, size = [], [], 0
+            own.append((i, first))
+            parts.append(t[first:end])
+            size += end - first
     if own:
-        yield own, np.frombuffer(b"".join(texts[k] for k in own), np.uint8), np.cumsum([len(texts[k]) for k in own])
+        yield joined()
 
 
 #: A member of a bucket: q-gram (48 bits), the context's name within it, document (id and text hash), first string, how many more
@@ -185,9 +197,9 @@ def _split(a: np.ndarray, part: np.ndarray, kind: str):
         yield int(part[e]), kind, _pack(a[e : edges[i + 1] if i + 1 < len(edges) else len(a)])
 
 
-def _members(texts: list[bytes], docs: np.ndarray, ties: np.ndarray, length: int, q: int) -> np.ndarray:
+def _members(texts: list[bytes], docs: np.ndarray, ties: np.ndarray, length: int, q: int, segment: int) -> np.ndarray:
     found = []
-    for own, data, ends in _chunks(texts, length):
+    for own, data, ends in _chunks(texts, length, segment):
         got = _anchors(data, ends, length, q)
         if got is None:
             continue
@@ -199,8 +211,8 @@ def _members(texts: list[bytes], docs: np.ndarray, ties: np.ndarray, length: int
         tag = (size.astype(U) << U(20)) ^ (at - lo).astype(U)
         m["gram"] = gram >> U(16)
         m["name"] = _mix(names.raw(1, lo, size) ^ (tag * U(0x9FB21C651E98DF25)))
-        own = np.array(own)
-        m["doc"], m["tie"], m["lo"], m["span"] = docs[own][text], ties[own][text], lo - begin, hi - lo
+        of = own[text]
+        m["doc"], m["tie"], m["lo"], m["span"] = docs[of[:, 0]], ties[of[:, 0]], lo - begin + of[:, 1], hi - lo
         found.append(m)
     return np.concatenate(found) if found else np.zeros(0, MEMBER)
 
@@ -248,12 +260,12 @@ def _tie(text: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little")
 
 
-def _first_buckets(length: int, q: int, parts: int, ties: bool):
+def _first_buckets(length: int, q: int, parts: int, ties: bool, segment: int):
     def run(batches):
         texts, docs, size = [], [], 0
 
         def flush():
-            m = _members(texts, np.array(docs, np.int64), np.array([_tie(t) if ties else 0 for t in texts], U), length, q)
+            m = _members(texts, np.array(docs, np.int64), np.array([_tie(t) if ties else 0 for t in texts], U), length, q, segment)
             m, gone = _reduced(m, length)
             hot = _hot(m)
             rows = list(_split(gone, _by_doc(gone["doc"], parts), "gone"))
@@ -315,7 +327,7 @@ def _name_strings(names: Names, p: np.ndarray, length: int, q: int) -> tuple[np.
     return out[0], out[1]
 
 
-def _third_buckets(length: int, q: int, parts: int, ties: bool):
+def _third_buckets(length: int, q: int, parts: int, ties: bool, segment: int):
     """Documents with the string starts to name: names, reduced within some STRINGS of them."""
 
     def settled(found: list[np.ndarray]) -> pa.RecordBatch:
@@ -333,16 +345,19 @@ def _third_buckets(length: int, q: int, parts: int, ties: bool):
                 r = r[r[:, 0] == np.array(tie, U).astype(np.int64)]
                 if not len(r):
                     continue
-                data = np.frombuffer(text, np.uint8)
-                sizes = r[:, 2] - r[:, 1] + 1
-                p = np.repeat(r[:, 1] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-                s = np.zeros(len(p), STRING)
-                s["n0"], s["n1"] = _name_strings(Names(data), p, length, q)
-                s["doc"], s["tie"], s["at"] = doc, tie, p
-                found.append(s)
-                if sum(map(len, found)) >= STRINGS:
-                    yield settled(found)
-                    found = []
+                for first, end in _segments(len(text), length, segment):
+                    lo, hi = np.maximum(r[:, 1], first), np.minimum(r[:, 2], first + segment - 1)
+                    sizes = np.maximum(hi - lo + 1, 0)
+                    if not sizes.any():
+                        continue
+                    p = np.repeat(lo - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+                    s = np.zeros(len(p), STRING)
+                    s["n0"], s["n1"] = _name_strings(Names(np.frombuffer(text[first:end], np.uint8)), p - first, length, q)
+                    s["doc"], s["tie"], s["at"] = doc, tie, p
+                    found.append(s)
+                    if sum(map(len, found)) >= STRINGS:
+                        yield settled(found)
+                        found = []
         if found:
             yield settled(found)
 
@@ -401,7 +416,7 @@ def _per_document(kind: str):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = 100, q: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, bool]:
+def repeated_spans(docs: DataFrame, length: int = 100, q: int | None = None, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT) -> tuple[DataFrame, bool]:
     """(doc, ranges): for each document that loses bytes, its maximal removed runs as packed (text hash, start, end) int64 rows; and whether the text hashes are set.
 
     Documents are ordered by id, and rows that share an id by a hash of their text; a row repeated with one id and text is
@@ -410,25 +425,31 @@ def repeated_spans(docs: DataFrame, length: int = 100, q: int | None = None, id_
     spark = docs.sparkSession
     ship(spark)
     q = q or (length * 3 + 7) // 8
-    parts = parts_for(docs, 4 << 20)
     source = _source(docs, id_col, text_col).select("doc", "text")
-    ties = _ids_repeat(source)
+    ties, size = _measured(source)
+    parts = max(parallelism(spark), min(size // PART_BYTES, 1 << 20))
 
     def grouped(df: DataFrame):
         return df.repartition(parts, "part").groupBy("part")
 
-    found = source.where(F.octet_length("text") >= length).mapInArrow(_first_buckets(length, q, parts, ties), PARTS)
+    found = source.where(F.octet_length("text") >= length).mapInArrow(_first_buckets(length, q, parts, ties, segment), PARTS)
     second = table(grouped(found).applyInArrow(_second_buckets(length, parts), PARTS), "second-buckets")
     wanted = grouped(second.where("kind = 'named'")).applyInArrow(_per_document("named"), "doc long, ranges binary")
-    strings = source.join(wanted, "doc").mapInArrow(_third_buckets(length, q, parts, ties), PARTS)
+    strings = source.join(wanted, "doc").mapInArrow(_third_buckets(length, q, parts, ties, segment), PARTS)
     last = table(grouped(strings).applyInArrow(_last_buckets(length, parts), PARTS), "last-buckets")
     gone = second.where("kind = 'gone'").unionByName(last)
     return table(grouped(gone).applyInArrow(_per_document("gone"), "doc long, ranges binary"), "removed-ranges"), ties
 
 
-def _ids_repeat(source: DataFrame) -> bool:
-    """Whether rows share an id; only then members carry a hash of their text."""
-    return bool(source.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").take(1))
+#: Bytes of text behind a part of the buckets, whose packed members are about half as large.
+PART_BYTES = 8 << 20
+
+
+def _measured(source: DataFrame) -> tuple[bool, int]:
+    """Whether rows share an id (only then members carry a hash of their text), and the bytes of all texts."""
+    by = source.groupBy("doc").agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("size"))
+    most, size = by.agg(F.max("n"), F.sum("size")).first()
+    return (most or 0) > 1, int(size or 0)
 
 
 #: Null ids stand below every other.
@@ -439,13 +460,13 @@ def _source(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFram
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_DOC)).alias("doc"), text_or_empty(text_col).cast("binary").alias("text"), *more)
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, q: int | None = None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, q: int | None = None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), segment: int = SEGMENT) -> DataFrame:
     """One row a row of docs: id, n_bytes, kept (binary: the bytes left, in order), spans (array of removed start and end), and the columns named in `keep`.
 
     A null or empty text has no bytes and loses none, and so does one shorter than `length`.  Repeated rows are answered
-    alike; an empty table gives an empty one.
+    alike; an empty table gives an empty one.  Long texts are hashed in segments of `segment` string starts; the bytes are the same.
     """
-    spans, ties = repeated_spans(docs, length, q, id_col, text_col)
+    spans, ties = repeated_spans(docs, length, q, id_col, text_col, segment)
     carried = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_DOC)).alias("doc"), text_or_empty(text_col).cast("binary").alias("text"), *carried)
     names = [f"kept_{i}" for i in range(len(keep))]

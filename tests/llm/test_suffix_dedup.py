@@ -25,9 +25,9 @@ def brute(rows, length):
     return out
 
 
-def check(spark, rows, length, parts=3):
+def check(spark, rows, length, parts=3, **settings):
     df = spark.createDataFrame([(d, t, "x", "y") for d, t in rows], DOCS).repartition(parts)
-    got = suffix_dedup.repeat_digests(suffix_dedup.remove_repeats(df, length)).collect()
+    got = suffix_dedup.repeat_digests(suffix_dedup.remove_repeats(df, length, **settings)).collect()
     want = brute(rows, length)
     assert len(got) == len(rows)
     expected = sorted((d if d is not None else -1, *want[d if d is not None else suffix_dedup.NULL_DOC, (t or "").encode()]) for d, t in rows)
@@ -55,6 +55,7 @@ def test_runs_ties_nulls_and_long_texts(spark):
     long = "".join(rng.choice("xyz ") for _ in range(30_000))
     rows = [(1, "a" * 500), (2, "ab" * 300), (3, "a" * 99), (4, "a" * 100), (5, None), (6, ""), (None, "ab" * 60), (7, long), (8, long[5000:9000] + "q" + long[100:260]), (9, "é" * 90), (10, "é" * 90 + "x"), (11, long[:4000]), (11, long[:4000]), (12, "one " * 40), (12, "two " * 40), (13, "one " * 40 + "two " * 40)]
     check(spark, rows, 100)
+    check(spark, rows, 100, segment=300)
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
 
 
