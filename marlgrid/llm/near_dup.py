@@ -329,8 +329,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, repeats: int = 20,
     # then those of all its buckets, where the class is another
     rows = table(classed(links), "classed")
     heads = table(rows.select(F.col("node").alias("h_"), F.col("class").alias("head_class")).distinct(), "heads")
-    apart = rows.where("node != leader").join(heads, F.col("leader") == F.col("h_")).where("class != head_class")
-    more = table(apart.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    # distinct before the join and a table after it, so that nothing holds the join to its partitions and a hot leader's can be split
+    led = table(rows.where("node != leader").select("leader", "node", "class").distinct(), "led")
+    apart = table(led.join(heads, F.col("leader") == F.col("h_")).where("class != head_class").select(F.col("leader").alias("a"), F.col("node").alias("b")), "apart")
+    more = table(apart.join(tried, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(verified(more))
     # last, all members of the buckets that still hold several classes
     rows = table(classed(links), "classed")
