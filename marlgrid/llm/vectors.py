@@ -168,30 +168,53 @@ def nearest_cells(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], visits: i
     return o1[np.arange(len(x))[:, None], i[first]] * len(books[1]) + o2[np.arange(len(x))[:, None], j[first]]
 
 
-def visits_for(x: np.ndarray, books, threshold: float, target: float, least_pairs: int = 200) -> int:
-    """The smallest number of visited cells (a power of two, at most all) at which the sample's linked pairs are found with
-    `target` recall from either side; a sample with too few such pairs gets pairs at the threshold itself, the hardest ones."""
-    own = x[:4000]
-    a, b = np.nonzero(np.triu(own @ own.T >= threshold, 1))
-    if len(a) >= least_pairs:
-        if len(a) > 20_000:
-            pick = np.random.default_rng(1).choice(len(a), 20_000, replace=False)
-            a, b = a[pick], b[pick]
-        p, q = own[a], own[b]
-    else:
-        rng = np.random.default_rng(2)
-        p = own[rng.integers(0, len(own), 2000)]
-        turn = rng.normal(size=p.shape)
-        turn -= (turn * p).sum(1, keepdims=True) * p
-        turn /= np.maximum(np.linalg.norm(turn, axis=1, keepdims=True), 1e-12)
-        q = threshold * p + math.sqrt(1 - threshold**2) * turn
+def sampled_pairs(x: np.ndarray, threshold: float, most: int = 4000, seed: int = 1) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Linked pairs of a sample, drawn so that each pair counts alike and so that each group of linked rows counts alike (places in x, at most
+    `most` pairs each), and a weight a row, 1 / (1 + its links): rows drawn by it come from large and small groups alike.
+
+    Every row of the sample meets every other in blocks; a row gives one of its links, so pairs never multiply.
+    """
+    rng = np.random.default_rng(seed)
+    degree, mate = np.zeros(len(x), np.int64), np.full(len(x), -1)
+    for at in range(0, len(x), 256):
+        near = x[at : at + 256] @ x.T >= threshold
+        near[np.arange(len(near)), np.arange(at, at + len(near))] = False
+        n = near.sum(1)
+        degree[at : at + 256] = n
+        own = np.flatnonzero(n)
+        # the flat places of all links, row by row: one is drawn in each row
+        _, to = np.nonzero(near)
+        mate[at + own] = to[(np.cumsum(n) - n)[own] + rng.integers(0, n[own])]
+    weight = 1.0 / (1.0 + degree)
+    linked = np.flatnonzero(degree)
+    drawn = []
+    for by in (degree[linked].astype(float), weight[linked]):
+        if len(linked):
+            own = rng.choice(linked, most, p=by / by.sum())
+            drawn.append((own, mate[own]))
+    return drawn, weight
+
+
+def visits_for(x: np.ndarray, books, threshold: float, target: float, fresh: np.ndarray | None = None, hard: int = 4000) -> int:
+    """The smallest number of visited cells (a power of two, at most all) that finds `target` of each of these sets of pairs from either side:
+    the sample's linked pairs, the same with each group counted alike, and pairs at the threshold itself, the hardest ones, around rows of
+    groups counted alike (of the places `fresh`, which the codebooks were not fitted on, if given).  So neither tight groups nor groups that the sample holds one row of decide alone."""
+    drawn, weight = sampled_pairs(x, threshold)
+    rng = np.random.default_rng(2)
+    at = np.arange(len(x)) if fresh is None or not len(fresh) else fresh
+    p = x[rng.choice(at, hard, p=weight[at] / weight[at].sum())]
+    turn = rng.normal(size=p.shape)
+    turn -= (turn * p).sum(1, keepdims=True) * p
+    turn /= np.maximum(np.linalg.norm(turn, axis=1, keepdims=True), 1e-12)
+    sets = [(p, threshold * p + math.sqrt(1 - threshold**2) * turn), *((x[a], x[b]) for a, b in drawn)]
     cells, visits = len(books[0]) * len(books[1]), 1
-    home_p, home_q = (nearest_cells(v, books, 1)[:, :1] for v in (p, q))
-    while visits < cells:
-        met = (nearest_cells(p, books, visits) == home_q).any(1) | (nearest_cells(q, books, visits) == home_p).any(1)
-        if met.mean() >= target:
-            break
-        visits *= 2
+    for p, q in sets:
+        home_p, home_q = (nearest_cells(v, books, 1)[:, :1] for v in (p, q))
+        while visits < cells:
+            met = (nearest_cells(p, books, visits) == home_q).any(1) | (nearest_cells(q, books, visits) == home_p).any(1)
+            if met.mean() >= target:
+                break
+            visits *= 2
     return min(visits, cells)
 
 
@@ -219,7 +242,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, target: float = 0.
     own.  Vectors of different lengths don't link.  An empty table gives an empty one; extra columns are dropped.
 
     Equal vectors become one member with their number.  The codebooks are fitted on a bounded sample; every member is indexed, and
-    visits the same number of nearest cells, set on the sample for `target` recall.  Members and visitors of a cell meet in
+    visits the same number of nearest cells, set on the whole sample for `target` recall of large and small groups and of pairs at the threshold.  Members and visitors of a cell meet in
     blocks of bounded size; a block returns a count for each member and a spanning forest, never its pairs.
     """
     spark = vectors.sparkSession
@@ -235,8 +258,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, target: float = 0.
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         half = max(1, dims // 2)
         k = int(2 ** round(math.log2(min(max(math.sqrt(n_members / 8), 1), 256))))
-        books[dims] = (centroids(x[:, :half], k), centroids(x[:, half:], k))
-        visits[dims] = visits_for(x, books[dims], threshold, target)
+        # a fourth of the sample stays out of the fit: centroids lie nearer to the rows that they were fitted on
+        fresh = np.arange(3, len(x), 4)
+        fit = np.delete(x, fresh, 0)
+        books[dims] = (centroids(fit[:, :half], k), centroids(fit[:, half:], k))
+        visits[dims] = visits_for(x, books[dims], threshold, target, fresh)
 
     def index(batches):
         for batch in batches:

@@ -98,3 +98,28 @@ def test_visits_nearest_first():
     d = ((x[:, None, :4] - books[0]) ** 2).sum(2)[:, :, None] + ((x[:, None, 4:] - books[1]) ** 2).sum(2)[:, None, :]
     want = np.argsort(d.reshape(30, -1), 1)[:, :9]
     assert (vectors.nearest_cells(x, books, 9) == want).all()
+
+
+def grouped(rng, groups, size, noise, dims=64):
+    """Unit vectors in groups, and the number of each one's group; two of a group have a cosine of about 1 / (1 + noise**2)."""
+    x = np.repeat(rng.normal(size=(groups, dims)), size, 0)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = x + rng.normal(size=x.shape) * np.repeat(rng.uniform(*noise, groups), size)[:, None] / math.sqrt(dims)
+    return x / np.linalg.norm(x, axis=1, keepdims=True), np.repeat(np.arange(groups), size)
+
+
+def recall(x, group, books, visits, threshold=0.95):
+    a, b = np.nonzero(np.triu(group[:, None] == group, 1))
+    own = (x[a] * x[b]).sum(1) >= threshold
+    cells = vectors.nearest_cells(x, books, visits)
+    a, b = a[own], b[own]
+    return ((cells[a] == cells[b, :1]).any(1) | (cells[b] == cells[a, :1]).any(1)).mean()
+
+
+def test_tight_groups_leave_visits_for_small_ones():
+    rng = np.random.default_rng(6)
+    small, group = grouped(rng, 1500, 4, (0.14, 0.23))
+    tight, _ = grouped(rng, 15, 200, (0.03, 0.1))
+    x = rng.permutation(np.concatenate([small, tight]))
+    books = vectors.centroids(x[:, :32], 32), vectors.centroids(x[:, 32:], 32)
+    assert recall(small, group, books, vectors.visits_for(x, books, 0.95, 0.98)) >= 0.97
