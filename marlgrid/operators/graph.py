@@ -77,12 +77,13 @@ def decayed_walk(edges: DataFrame, seeds: DataFrame, max_depth: int = 4, decay:
     return out if most is None else out.orderBy(F.desc("score"), "node").limit(most)
 
 
-def ppr(edges: DataFrame, personalization: DataFrame, alpha: float = 0.15, tolerance: float = 1e-6, rounds: int = 100, fixed: bool = False, weighted: bool = False) -> DataFrame:
+def ppr(edges: DataFrame, personalization: DataFrame, alpha: float = 0.15, tolerance: float = 1e-6, rounds: int = 100, fixed: bool = False, weighted: bool = False, local_size: int | None = None) -> DataFrame:
     """(node, score): personalised PageRank by power iteration.
 
     alpha is the teleport share; personalization (node, mass) sums to 1.  All nodes start at 1/N; parallel edges count
     separately, or by weight where `weighted`; the mass of nodes without outgoing edges goes to all nodes alike.  Stops when the
-    scores move by less than tolerance in total, or after `rounds`; with `fixed` it runs them all without looking.
+    scores move by less than tolerance in total, or after `rounds`; with `fixed` it runs them all without looking.  Graphs of at
+    most local_size (LOCAL_SIZE where None) nodes and links are iterated in memory.
     """
     links = edges.select("src", "dst", (F.col("weight") if weighted else F.lit(1.0)).alias("w"))
     # parallel edges are added up before any round
@@ -95,7 +96,8 @@ def ppr(edges: DataFrame, personalization: DataFrame, alpha: float = 0.15, toler
     n = base.count()
     if not n:
         return base.select("node", F.lit(0.0).alias("score"))
-    if n <= LOCAL_SIZE and links.limit(LOCAL_SIZE + 1).count() <= LOCAL_SIZE:
+    most = LOCAL_SIZE if local_size is None else local_size
+    if n <= most and links.limit(most + 1).count() <= most:
         return _local_ppr(base, links, alpha, tolerance, rounds, fixed)
     scores, lost = base.withColumn("score", F.lit(1.0 / n)), base.where("not leads").count() / n
     for _ in range(rounds):

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlgrid.functions import html, text
 from marlgrid.operators import graph, retrieval, snapshot
+from marlgrid.plans.core import SQL
 from marlgrid.plans.core import query as _query
 from marlgrid.sources import urls
 from marlgrid.sources.tables import derived_edges, edges_sql, load
@@ -16,6 +19,8 @@ query = _query
 CORPORA = (urls.Corpus("example.com", "com", 1, ("en", "de", "fr", "es")), urls.Corpus("example.net", "net", 1), urls.Corpus("example.org", "org", 1))
 DENIED = ("7", "42")
 SMALL = ("nation_of", "customer_of", "supplier_of")
+#: Every kind of edge, the orders too.
+WHOLE = ("nation_of", "customer_of", "supplier_of", "order_of")
 
 
 @query("""
@@ -162,18 +167,74 @@ def claims_of(spark, d, table: str, key: str, value: str) -> DataFrame:
     return t.select(F.concat(F.lit(f"{table}:c"), key).alias("claim_id"), F.concat(F.lit(f"{table}:"), key).alias("subject"), F.lit("CONTENT").alias("predicate"), F.col(value).alias("value_json"), F.lit(None).cast("string").alias("metadata_json"), F.col(key).cast("long").alias("ordinal"))
 
 
+def _over_all_edges(name: str, *seed: str) -> str:
+    """The SQL of a query over SMALL, over every kind of edge, and from another seed if given (old, new)."""
+    sql = SQL[name].replace(edges_sql(SMALL), edges_sql(WHOLE))
+    return sql.replace(*seed) if seed else sql
+
+
+@query(_over_all_edges("bfs_two_hops", "region:1", "nation:3"))
+def bfs_two_hops_whole(spark, d):
+    """To customers and suppliers, and on to orders."""
+    seeds = spark.createDataFrame([("nation:3",)], "seed string")
+    return graph.bfs(_edges(spark, d, WHOLE), seeds).select("node", "depth", "predicate", "score")
+
+
+@query(_over_all_edges("neighbours_4"))
+def neighbours_4_whole(spark, d):
+    return graph.neighbours(_edges(spark, d, WHOLE), "supplier:7")
+
+
+@query(_over_all_edges("decayed_walk"))
+def decayed_walk_whole(spark, d):
+    seeds = spark.createDataFrame([("nation:3",), ("supplier:7",)], "node string")
+    return graph.decayed_walk(_edges(spark, d, WHOLE), seeds).select("node", F.round("score", 9).alias("score"))
+
+
+@query(_over_all_edges("ppr_scores"))
+def ppr_scores_whole(spark, d):
+    """As joins at any size."""
+    p = spark.createDataFrame([("region:1", 1.0)], "node string, mass double")
+    return graph.ppr(_edges(spark, d, WHOLE), p, rounds=4, fixed=True, local_size=0).select("node", F.round("score", 8).alias("score"))
+
+
+@query(SQL["content_hashes"].replace("item_id", "doc_id").replace("from benchmark", "from documents"))
+def content_hashes_whole(spark, d):
+    b = load(spark, d, "documents")
+    return b.select("doc_id", text.content_hash(F.lit("wanted"), "text").alias("content_hash"), text.joined_hash(F.col("doc_id").cast("string"), "text").alias("extension_hash"), text.query_hash("text").alias("query_hash"), text.document_id(F.concat(F.lit("u"), "doc_id")).alias("document_id"))
+
+
+def in_order(*parts: DataFrame) -> DataFrame:
+    """Claims of several tables as one, by ordinal and then by part, so that no two share a place; at most 8 parts."""
+    return reduce(DataFrame.unionByName, [c.withColumn("ordinal", F.col("ordinal") * 8 + i) for i, c in enumerate(parts)])
+
+
+def named_claims(spark, d) -> list[DataFrame]:
+    """The names of the graph's nations, suppliers and customers, and of parts."""
+    names = (("nation", "n_nationkey", "n_name"), ("supplier", "s_suppkey", "s_name"), ("customer", "c_custkey", "c_name"), ("part", "p_partkey", "p_name"))
+    return [claims_of(spark, d, *n) for n in names]
+
+
+def page_claims(spark, d) -> DataFrame:
+    """The parsed text of every page."""
+    p = html.parsed_pages(load(spark, d, "pages")).withColumn("subject", F.concat(F.lit("pages:"), "page_id"))
+    return p.select(F.concat(F.lit("pages:c"), "page_id").alias("claim_id"), "subject", F.lit("CONTENT").alias("predicate"), F.col("text").alias("value_json"), F.lit(None).cast("string").alias("metadata_json"), F.col("page_id").cast("long").alias("ordinal"))
+
+
 @query()
 def kg_search(spark, d):
-    """Customers and parts of the graph by words, ranked with their neighbourhood."""
-    c = claims_of(spark, d, "nation", "n_nationkey", "n_name").unionByName(claims_of(spark, d, "supplier", "s_suppkey", "s_name"))
-    return retrieval.search("nation nation_3 content supplier 7", c, _edges(spark, d)).select("ref_id", "subject", "predicate", F.round("score", 6).alias("score"), "via")
+    """Documents, and the nations, suppliers, customers and parts of the graph, by words, ranked with their neighbourhood over every kind of edge."""
+    c = in_order(claims_of(spark, d, "documents", "doc_id", "text"), *named_claims(spark, d))
+    return retrieval.search("nation nation_3 content supplier 7", c, _edges(spark, d, WHOLE)).select("ref_id", "subject", "predicate", F.round("score", 6).alias("score"), "via")
 
 
 @query()
 def dual_substrate(spark, d):
-    a = claims_of(spark, d, "nation", "n_nationkey", "n_name")
-    b = claims_of(spark, d, "supplier", "s_suppkey", "s_name").unionByName(a.where("ordinal < 5")).withColumn("authority_weight", F.when(F.col("ordinal") % 2 == 0, 0.95))
-    return retrieval.dual_search("nation nation_3 content supplier", a, b, _edges(spark, d)).select("subject", "substrate", F.round("score", 6).alias("score"))
+    """Documents against pages, both with the names of the graph."""
+    names = named_claims(spark, d)
+    a = in_order(claims_of(spark, d, "documents", "doc_id", "text"), *names)
+    b = in_order(*[c.withColumn("authority_weight", F.when(F.col("ordinal") % 2 == 0, 0.95)) for c in (page_claims(spark, d), *names)])
+    return retrieval.dual_search("nation nation_3 content supplier", a, b, _edges(spark, d, WHOLE)).select("subject", "substrate", F.round("score", 6).alias("score"))
 
 
 COSINE_SQL = """
@@ -191,8 +252,9 @@ def vector_topk(spark, d):
 def ask_context(spark, d):
     e = load(spark, d, "embeddings")
     hits = retrieval.vector_top_k(e, e.where("vec_id = 17").select("embedding"), 8).select(F.concat(F.lit("nation:"), F.col("vec_id") % 25).alias("node"), "score").groupBy("node").agg(F.max("score").alias("score"))
-    texts = load(spark, d, "nation").select(F.concat(F.lit("nation:"), "n_nationkey").alias("node"), F.col("n_name").alias("text"))
-    return retrieval.ask_context(hits, _edges(spark, d, ("nation_of",)), texts).select("node", F.round("score", 6).alias("score"), "source", "text")
+    regions = claims_of(spark, d, "region", "r_regionkey", "r_name")
+    texts = in_order(*named_claims(spark, d), regions).select(F.col("subject").alias("node"), F.col("value_json").alias("text"))
+    return retrieval.ask_context(hits, _edges(spark, d, WHOLE), texts).select("node", F.round("score", 6).alias("score"), "source", "text")
 
 
 @query("""
