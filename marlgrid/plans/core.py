@@ -207,46 +207,79 @@ PROFILED = {
 }
 
 
-def profiles(spark, d) -> DataFrame:
-    return reduce(DataFrame.unionByName, [profile.profile(load(spark, d, t), t) for t in PROFILED])
+#: All tables, with their columns of plain types.
+ALL_PROFILED = PROFILED | {
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
+    "documents": "doc_id text lang source n_chars",
+    "labels": "doc_id quality toxic",
+    "embeddings": "vec_id label",
+    "pages": "page_id url html",
+    "benchmark": "item_id text",
+    "conversations": "conv_id turn role text",
+}
+
+
+def profiles(spark, d, tables=PROFILED) -> DataFrame:
+    return reduce(DataFrame.unionByName, [profile.profile(load(spark, d, t), t) for t in tables])
+
+
+def profile_sql(tables: dict[str, str]) -> str:
+    return " union all ".join(f"select '{t}' as table_name, '{c}' as column_name, cast({i} as bigint) as ordinal, count(*) as row_count, count(*) - count({c}) as null_count, count(distinct {c}) as distinct_count from {t}" for t, cs in tables.items() for i, c in enumerate(cs.split()))
+
+
+PROFILE_SQL, ALL_PROFILE_SQL = profile_sql(PROFILED), profile_sql(ALL_PROFILED)
+
+
+def over_all_tables(f):
+    """Registers f(spark, d, tables) a second time, over all tables, as ..._whole; its SQL reads all tables too."""
 
+    def whole(spark, d):
+        return f(spark, d, ALL_PROFILED)
 
-PROFILE_SQL = " union all ".join(f"select '{t}' as table_name, '{c}' as column_name, cast({i} as bigint) as ordinal, count(*) as row_count, count(*) - count({c}) as null_count, count(distinct {c}) as distinct_count from {t}" for t, cs in PROFILED.items() for i, c in enumerate(cs.split()))
+    whole.__name__, whole.__doc__ = f"{f.__name__}_whole", f.__doc__
+    QUERIES[whole.__name__] = whole
+    SQL[whole.__name__] = SQL[f.__name__].replace(PROFILE_SQL, ALL_PROFILE_SQL)
+    return f
 
 
+@over_all_tables
 @query(PROFILE_SQL)
-def profile_table(spark, d):
-    return profiles(spark, d).drop("data_type")
+def profile_table(spark, d, tables=PROFILED):
+    return profiles(spark, d, tables).drop("data_type")
 
 
 KEYS_SQL = f"select table_name, coalesce(string_agg(column_name, ',' order by column_name) filter (where row_count > 0 and null_count = 0 and distinct_count = row_count), '') as keys from ({PROFILE_SQL}) group by table_name"
 
 
+@over_all_tables
 @query(KEYS_SQL)
-def candidate_keys(spark, d):
-    return profile.candidate_keys(profiles(spark, d))
+def candidate_keys(spark, d, tables=PROFILED):
+    return profile.candidate_keys(profiles(spark, d, tables))
 
 
+@over_all_tables
 @query(f"""select 'main.tpch.' || p.table_name as subject, max(row_count) as row_count, count(*) as n_columns, max(keys) as grain from ({PROFILE_SQL}) p join ({KEYS_SQL}) k on p.table_name = k.table_name group by 1""")
-def claims_pivot(spark, d):
-    made = profile.claims(profiles(spark, d), "main", "tpch", NOW_MS)
+def claims_pivot(spark, d, tables=PROFILED):
+    made = profile.claims(profiles(spark, d, tables), "main", "tpch", NOW_MS)
     return profile.pivoted(made)
 
 
+@over_all_tables
 @query(f"""
 with t as (select p.table_name, max(row_count) as n, count(*) as c, max(keys) as k from ({PROFILE_SQL}) p join ({KEYS_SQL}) k on p.table_name = k.table_name group by 1)
 select table_name, n > 0 and c > 0 as ready, cast(least(0.92, round(0.72 + case when n > 100 then 0.08 else 0 end + case when k <> '' then 0.05 else 0 end + case when c >= 5 then 0.05 else 0 end + case when n > 5000 then 0.03 else 0 end, 2)) as double) as confidence from t""")
-def profile_readiness(spark, d):
-    p = profiles(spark, d)
+def profile_readiness(spark, d, tables=PROFILED):
+    p = profiles(spark, d, tables)
     t = p.groupBy("table_name").agg(F.max("row_count").alias("n"), F.count("*").alias("c")).join(profile.candidate_keys(p), "table_name")
     return t.select("table_name", ((F.col("n") > 0) & (F.col("c") > 0)).alias("ready"), profile.suggestion_confidence(F.col("n") > 100, F.col("keys") != "", F.col("c") >= 5, F.col("n") > 5000).alias("confidence"))
 
 
+@over_all_tables
 @query(f"""
 with t as (select p.table_name, max(row_count) as n, count(*) as c, max(keys) as k from ({PROFILE_SQL}) p join ({KEYS_SQL}) k on p.table_name = k.table_name group by 1)
 select case when table_name in ('region', 'nation') then 'dimension' else 'fact' end as family, count(*) as n_tables, cast(sum(n) as bigint) as n_rows, cast(sum(c) as bigint) as n_columns, string_agg(table_name, ',' order by table_name) as tables from t group by 1""")
-def schema_profile(spark, d):
-    p = profiles(spark, d).groupBy("table_name").agg(F.max("row_count").alias("n"), F.count("*").alias("c"))
+def schema_profile(spark, d, tables=PROFILED):
+    p = profiles(spark, d, tables).groupBy("table_name").agg(F.max("row_count").alias("n"), F.count("*").alias("c"))
     family = F.when(F.col("table_name").isin("region", "nation"), "dimension").otherwise("fact").alias("family")
     return p.groupBy(family).agg(F.count("*").alias("n_tables"), F.sum("n").alias("n_rows"), F.sum("c").alias("n_columns"), F.array_join(F.sort_array(F.collect_list("table_name")), ",").alias("tables"))
 

@@ -1,5 +1,7 @@
 """Queries reach every table and kind of edge that they are planned over."""
 
+import os
+
 import pytest
 
 from marlgrid.plans import text_graph
@@ -37,3 +39,14 @@ def test_graph_queries_reach_all(spark, graph_tables):
     assert said["customer:4"] == ("neighbour", "nation nation_3 supplier 7") and "order:9" in said
     walked = {r.node: r.depth for r in text_graph.bfs_two_hops_whole(spark, graph_tables).collect()}
     assert walked == {"customer:4": 1, "customer:5": 1, "supplier:7": 1, "order:9": 2, "order:10": 2}
+
+
+def test_profiles_cover_all_tables(spark):
+    from marlgrid.plans import core
+
+    folder = "/root/testdata/sf0.001"
+    held = {p.removesuffix(".parquet") for p in os.listdir(folder) if p.endswith(".parquet")}
+    assert set(core.ALL_PROFILED) == held
+    for t, columns in core.ALL_PROFILED.items():
+        plain = [f.name for f in core.load(spark, folder, t).schema if not isinstance(f.dataType, core.profile.SKIPPED)]
+        assert plain == columns.split()
