@@ -387,6 +387,33 @@ def freshness_monotonic(spark, d):
     return a.join(b, "user_id").agg(F.count("*").alias("n_keys"), F.count_if(F.col("after") < F.col("before")).alias("n_backwards"))
 
 
+def side_sql(key: str) -> str:
+    return f"(('0x' || substr(sha256('side:' || {key}), 1, 8))::bigint % 100)"
+
+
+def side(key: str):
+    """0 to 99 by a hash of a key, so that shares of a table grow with it: below 60 is before, from 40 on after."""
+    return F.conv(F.substring(F.sha2(F.concat(F.lit("side:"), F.col(key).cast("string")), 256), 1, 8), 16, 10).cast("long") % 100
+
+
+@query(f"""
+with a as (select distinct lang, source from documents where {side_sql('doc_id')} < 60), b as (select distinct lang, source from documents where {side_sql('doc_id')} >= 40)
+select lang, source, 'before' as side from (select * from a except select * from b) union all select lang, source, 'after' from (select * from b except select * from a)""")
+def idempotence_diff_whole(spark, d):
+    doc = load(spark, d, "documents")
+    return key_difference(doc.where(side("doc_id") < 60), doc.where(side("doc_id") >= 40), ["lang", "source"])
+
+
+@query(f"""
+with a as (select user_id, max({MS}) as t from events where {side_sql('event_id')} < 60 group by 1), b as (select user_id, max({MS}) as t from events where {side_sql('event_id')} >= 40 group by 1)
+select count(*) as n_keys, count(*) filter (where b.t < a.t) as n_backwards from a join b on a.user_id = b.user_id""")
+def freshness_monotonic_whole(spark, d):
+    e = events(spark, d)
+    a = e.where(side("event_id") < 60).groupBy("user_id").agg(F.max("ts_ms").alias("before"))
+    b = e.where(side("event_id") >= 40).groupBy("user_id").agg(F.max("ts_ms").alias("after"))
+    return a.join(b, "user_id").agg(F.count("*").alias("n_keys"), F.count_if(F.col("after") < F.col("before")).alias("n_backwards"))
+
+
 @query("""
 with r as (select d.lang, avg(case when l.doc_id is not null then 1.0 else 0.0 end) as labelled, avg(case when l.quality = 1 then 1.0 else 0.0 end) as good, count(*) as n from documents d left join labels l on l.doc_id = d.doc_id group by 1),
 c as (select lang, n, round_even(labelled, 4) as labelled, round_even(good, 4) as good, concat_ws(',', case when not labelled >= 0.41 then 'COVERAGE_LOW' end, case when not good >= 0.35 then 'QUALITY_LOW' end) as codes from r)

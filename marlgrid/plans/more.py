@@ -125,6 +125,20 @@ def backend_choice(spark, d):
     return rules.first_supported(r, "p_brand").select("p_brand", F.coalesce("chosen", F.lit("")).alias("chosen"), "rejected")
 
 
+@query("""
+with r as (select p_brand, p_partkey as ordinal, p_name as "option", case when p_size < 25 then 'small' end as reason from part),
+b as (select p_brand, ordinal // 1024 as block, count(*) as n_rejected, sha256(string_agg(ordinal || ':' || "option" || ':' || reason, ',' order by ordinal)) as rejected_sha256 from r where reason is not null group by all),
+c as (select p_brand, coalesce(arg_min("option", ordinal) filter (where reason is null), '') as chosen from r group by 1)
+select c.p_brand, chosen, block, n_rejected, rejected_sha256 from c left join b on b.p_brand = c.p_brand""")
+def backend_choice_whole(spark, d):
+    """Every part's option: the chosen one of each brand, and its rejected ones counted and digested in blocks of 1024 keys."""
+    r = load(spark, d, "part").select("p_brand", F.col("p_partkey").alias("ordinal"), F.col("p_name").alias("option"), F.when(F.col("p_size") < 25, "small").alias("reason"))
+    chosen = r.groupBy("p_brand").agg(F.coalesce(F.min_by("option", F.when(F.col("reason").isNull(), F.col("ordinal"))), F.lit("")).alias("chosen"))
+    told = F.struct("ordinal", F.concat_ws(":", F.col("ordinal").cast("string"), "option", "reason").alias("said"))
+    blocks = r.where("reason is not null").groupBy("p_brand", F.floor(F.col("ordinal") / 1024).cast("long").alias("block")).agg(F.count("*").alias("n_rejected"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(told)), lambda x: x["said"]), ","), 256).alias("rejected_sha256"))
+    return chosen.join(blocks, "p_brand", "left")
+
+
 @query("""
 with h as (select user_id % 3 as query_no, 'u' || user_id as entity_id, value as score, 'GET /api/' || event_type || ' ok' as ref, event_type from events),
 f as (select *, row_number() over (partition by entity_id order by query_no, score desc, ref) as n from h), k as (select entity_id, array_to_string(list_sort(list_distinct(list(event_type))), ',') as source_kinds from h group by 1)

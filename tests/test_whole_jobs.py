@@ -50,3 +50,14 @@ def test_profiles_cover_all_tables(spark):
     for t, columns in core.ALL_PROFILED.items():
         plain = [f.name for f in core.load(spark, folder, t).schema if not isinstance(f.dataType, core.profile.SKIPPED)]
         assert plain == columns.split()
+
+
+def test_choices_and_sides_grow_with_the_table(spark, tmp_path):
+    from marlgrid.plans import core, more
+
+    write(spark, tmp_path, part=("p_partkey long, p_brand string, p_name string, p_size int", [(i, "B", f"n{i}", 10 if i < 2500 else 30) for i in range(1, 3001)]))
+    got = more.backend_choice_whole(spark, str(tmp_path)).collect()
+    assert {r.chosen for r in got} == {"n2500"} and {r.block: r.n_rejected for r in got} == {0: 1023, 1: 1024, 2: 452}
+    ids = spark.range(10_000).select(core.side("id").alias("s"))
+    before, after = (ids.where(c).count() for c in ("s < 60", "s >= 40"))
+    assert 5700 < before < 6300 and 5700 < after < 6300
