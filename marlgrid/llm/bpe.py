@@ -1,7 +1,8 @@
 """Byte-level BPE encoding and decoding with a local rank file (operator 9), and the id streams that packing uses.
 
 The ids are those of the tiktoken library for the given ranks and split pattern.  Long texts are cut before encoding at
-safe boundaries only, so that no piece of memory grows with one text and the ids stay those of the whole text.
+safe boundaries, where no match of the pattern can run across, so that the ids stay those of the whole text.  A match is
+encoded whole, however long it is: its merges have no boundary inside.
 """
 
 from __future__ import annotations
@@ -20,10 +21,24 @@ from marlgrid.llm.common import ship, text_or_empty
 
 #: Texts above this many characters are encoded piece by piece.
 PIECE_CHARS = 100_000
-
-# A cut after a letter or digit and before one space that a letter or digit follows: the pattern's matches end and start
-# there whatever stands around it, since a match can only start with that single space and none runs across it.
-_SAFE = re.compile(r"(?<=[A-Za-z0-9])(?= [A-Za-z0-9])")
+#: Runs of white space from this length on are matched here: the pattern's look-ahead keeps a state for each of their
+#: characters, and the library gives up on runs of about a million.
+SPACE_RUN = 50_000
+
+# Characters whose class is the same in every version of Unicode and every library: letters of large scripts, ASCII
+# digits, signs that are none of those, and four kinds of white space.
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af\u0400-\u0481\u048a-\u04ff\u05d0-\u05ea\u0621-\u063a\u0905-\u0939\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+_DIGIT = "0-9"
+_SIGN = "!\"#$%&()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~\u3001\u3002\uff01\uff0c\uff1a\uff1f"
+_BLANK = " \t\n\r"
+# Every match of the pattern holds one class alone, but for one leading space and for an apostrophe before a letter.  So
+# none runs across a change of class unless it is from white space or an apostrophe; and since the only look-ahead is the
+# one after white space, what is matched before such a change does not depend on what follows it.
+_SAFE = re.compile(
+    f"(?<=[{_LETTER}{_DIGIT}{_SIGN}'])(?=[{_BLANK}])|(?<=[{_LETTER}])(?=[{_DIGIT}{_SIGN}'])|(?<=[{_DIGIT}])(?=[{_LETTER}{_SIGN}'])|(?<=[{_SIGN}])(?=[{_LETTER}{_DIGIT}])"
+)
+# The characters of white space in the library's patterns.
+_SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % SPACE_RUN)
 _ENCODERS: dict = {}
 
 
@@ -38,6 +53,10 @@ def rank_encoder(path: str, pattern: str):
     return _ENCODERS[path, pattern]
 
 
+#: Takes a text as one match.
+WHOLE = "(?s:.+)"
+
+
 def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     """text in order, cut at safe boundaries at least `size` characters apart; a stretch without one stays whole."""
     start = 0
@@ -50,17 +69,37 @@ def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     yield text[start:] if start else text
 
 
-def encode(encoder, text: str, size: int = PIECE_CHARS) -> np.ndarray:
+def encode(ranks_path: str, pattern: str, text: str, size: int = PIECE_CHARS) -> np.ndarray:
+    """The ids of a text, each match of the pattern encoded separately, as little-endian unsigned 32-bit integers.
+
+    A long run of white space is one match but for its last character, which goes with what follows; at the text's end it is
+    one match whole.
+    """
+    encoder = rank_encoder(ranks_path, pattern)
     if len(text) <= size:
         return np.array(encoder.encode_ordinary(text), "<u4")
-    return np.concatenate([np.array(encoder.encode_ordinary(x), "<u4") for x in pieces(text, size)])
+    found, at = [], 0
+
+    def add(part: str, by) -> None:
+        found.append(np.array(by.encode_ordinary(part), "<u4"))
+
+    for run in _SPACES.finditer(text):
+        stop = run.end() if run.end() == len(text) else run.end() - 1
+        for part in pieces(text[at : run.start()], size):
+            add(part, encoder)
+        add(text[run.start() : stop], rank_encoder(ranks_path, WHOLE))
+        at = stop
+    for part in pieces(text[at:], size):
+        add(part, encoder)
+    return np.concatenate(found)
 
 
 def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", piece_chars: int = PIECE_CHARS) -> DataFrame:
     """(id, ids binary, decoded binary): the ids of every whole text as little-endian unsigned 32-bit integers, and the raw bytes they decode to.
 
     A null text counts as empty: no ids, no bytes.  Repeated rows are encoded as often as they stand; a null id stays null;
-    other columns are dropped.  Texts are split only at safe boundaries, so very long ones give the ids of the whole.
+    an empty table gives an empty one; other columns are dropped, whatever their names.  Texts are split only at safe
+    boundaries, so very long ones give the ids of the whole; a task holds one text and its ids at a time.
     """
     spark = df.sparkSession
     ship(spark)
@@ -70,7 +109,7 @@ def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
         for batch in batches:
             ids, raw = [], []
             for text in batch.column(1).to_pylist():
-                found = encode(encoder, text, piece_chars)
+                found = encode(ranks_path, pattern, text, piece_chars)
                 ids.append(found.tobytes())
                 raw.append(encoder.decode_bytes(found.tolist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(raw, pa.binary())], ["id", "ids", "decoded"])

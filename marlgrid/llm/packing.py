@@ -8,6 +8,7 @@ window of the whole stream can hold padding.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 
@@ -17,34 +18,38 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlgrid.llm.bpe import encode, rank_encoder
+from marlgrid.llm.bpe import PIECE_CHARS, encode, pieces
 from marlgrid.llm.common import ship, table, text_or_empty
 
-# Up to here both libraries' character classes agree (tested); other texts go to the tokenizers library itself.
-_PLAIN = re.compile("[^\u0000-ɏ]")
+# Up to here both libraries' character classes agree (tested for every character); other texts go to the tokenizers library.
+_PLAIN = re.compile("[^\u0000-\u024f]")
 _TOKENIZERS: dict = {}
 
 
 def _tokenizer(path: str):
+    """The tokenizer of a file as it stands there, and the strings of its added tokens; one for each worker process."""
     if path not in _TOKENIZERS:
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = Tokenizer.from_file(path)
-        _TOKENIZERS[path].encode_special_tokens = True  # their strings in a text are ordinary text
+        own = Tokenizer.from_file(path)
+        _TOKENIZERS[path] = own, tuple(t.content for t in own.get_added_tokens_decoder().values())
     return _TOKENIZERS[path]
 
 
 def token_ids(text: str, tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None) -> np.ndarray:
     """The ids that the tokenizers library gives, as little-endian unsigned 32-bit integers.
 
-    With the same vocabulary as a rank file, texts of Latin letters take the faster library, whose ids are the same.
+    With the same vocabulary as a rank file, texts of Latin letters take the faster library, whose ids are the same.  A text
+    that holds an added token's string (such as <|endoftext|>) goes to the tokenizers library whole, which gives it that token's id.
     """
-    if ranks_path and not _PLAIN.search(text):
-        return encode(rank_encoder(ranks_path, pattern), text)
-    return np.array(_tokenizer(tokenizer_path).encode(text, add_special_tokens=False).ids, "<u4")
+    tokenizer, added = _tokenizer(tokenizer_path)
+    special = any(a in text for a in added)
+    if ranks_path and not special and not _PLAIN.search(text):
+        return encode(ranks_path, pattern, text)
+    # the pattern of byte-level files is the one that the safe boundaries of pieces() hold for
+    parts = pieces(text) if ranks_path and not special and len(text) > PIECE_CHARS else (text,)
+    return np.concatenate([np.array(tokenizer.encode(p, add_special_tokens=False).ids, "<u4") for p in parts])
 
 
 def tokenized(df: DataFrame, tokenizer_path: str, end_id: int, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -75,8 +80,9 @@ def pack(df: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1
     """One row a piece: doc_id, start, length, ids (binary, little-endian uint32), doc_tokens, sequence_id, offset, is_boundary.
 
     Every id of a document (its text's ids, then end_id) lies in exactly one piece; sequence_id and offset are global and
-    gapless from 0.  A null text counts as empty (the end id alone); repeated rows are packed as often as they stand; an
-    empty table gives no pieces.  is_boundary marks pieces of documents that a window's edge cuts.
+    gapless from 0.  A null text counts as empty (the end id alone); repeated rows are packed as often as they stand; a row with
+    a null id is packed like any other and keeps it; an empty table gives no pieces; extra columns are dropped, whatever their
+    names.  A task holds one text and its ids at a time, however long.  is_boundary marks pieces of documents that a window's edge cuts.
     """
     store = table(tokenized(df, tokenizer_path, end_id, ranks_path, pattern), "packed-ids")
     totals = store.groupBy("part").agg(F.sum("n_tokens").alias("total"))

@@ -61,7 +61,6 @@ def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     texts = ODD + [f"word{i} and more of it" for i in range(50)]
     got = pack(spark, frame(spark, texts).repartition(5)).collect()
     for i, text in enumerate(texts):
@@ -88,6 +87,63 @@ def test_packing_round_trip(spark):
     assert pack(spark, frame(spark, [])).count() == 0
 
 
+def test_special_string_is_the_tokenizers_own():
+    ids = packing.token_ids("x <|endoftext|> y", *BOTH)
+    assert ids.tolist() == [87, 220, 50256, 331]
+
+
+BOTH = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+LONG = {
+    "spaces": "a" + " " * 2_000_000 + "b",
+    "spaces at the end": "a" + "\n" * 1_200_000,
+    "wide spaces": "\u3000" * 1_100_000 + "x",
+    "lines": "ab\n" * 500_000,
+    "cjk": "".join(chr(0x4E00 + (i * 7919) % 20000) for i in range(200_000)),
+    "one letter": "z" * 1_000_000,
+    "mixed": "Käse 東京、12 'tis don't\r\n\t  кот! " * 40_000,
+}
+
+
+@pytest.mark.parametrize("kind", sorted(LONG))
+def test_long_texts_give_the_tokenizers_ids(kind):
+    """The rank file and the tokenizers file hold one vocabulary, so both paths must give the library's ids for the whole text."""
+    text = LONG[kind]
+    want = packing._tokenizer(BOTH[0])[0].encode(text, add_special_tokens=False).ids
+    assert bpe.encode(*BOTH[1:], text).tolist() == want
+    assert packing.token_ids(text, *BOTH).tolist() == want
+
+
+def test_cuts_are_safe_everywhere():
+    r = random.Random(5)
+    signs = [*"abs'tlvredm 12!.,\n\t \r\x0b\x85\xa0\u3000\x1c\u200b\u00e9東京。、カж٣½\u0301🙂ʰ·ª", "'s", "'ll", " '"]
+    library, own = packing._tokenizer(BOTH[0])[0], encoding("byte_bpe_multi_50k.tiktoken")
+    multi = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    for _ in range(4000):
+        text = "x" + "".join(r.choice(signs) for _ in range(r.randint(0, 24)))
+        size = r.randint(1, 4)
+        assert bpe.encode(*multi, text, size).tolist() == own.encode_ordinary(text), text
+        assert [i for p in bpe.pieces(text, size) for i in library.encode(p, add_special_tokens=False).ids] == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_both_libraries_agree_on_latin_characters():
+    library, ranks = packing._tokenizer(BOTH[0])[0], encoding("byte_bpe_50k.tiktoken")
+    for c in map(chr, range(0x250)):
+        for text in (f"a{c}b", f"{c}{c}a", f" {c}x", f"1{c}2", f"!{c}!", f" {c} ", f"'{c}", f"{c}\n b", f"a{c}{c}{c} "):
+            assert library.encode(text, add_special_tokens=False).ids == ranks.encode_ordinary(text), text
+
+
+def test_white_space_runs_don_t_end_the_job(spark):
+    text = "a" + " " * 1_300_000 + "b"
+    n = len(bpe.encode(*BOTH[1:], text))
+    args = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    got = bpe.encode_decode(frame(spark, [text]), *args).collect()[0]
+    assert bytes(got.decoded) == text.encode()
+    clash = frame(spark, [text, "<|endoftext|>"], [None, 2]).withColumn("part", packing.F.lit("x")).withColumn("ids", packing.F.lit("x"))
+    rows = packing.pack(clash, BOTH[0], 2048, 1, *BOTH[1:]).collect()
+    assert sum(r.length for r in rows if r.doc_id is None) == n + 1
+    assert [bytes(r.ids) for r in rows if r.doc_id == 2] == [(50256).to_bytes(4, "little") + (1).to_bytes(4, "little")]
+
+
 def base_spans(text):
     kinds = (("assign", re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 8), ("access", re.compile("(AKIA[A-Z0-9]+)"), 1, 16), ("hex", re.compile("([0-9a-f]+)"), 1, 32))
     found = [(m.start(), k, m.end(), kind) for k, (kind, p, g, n) in enumerate(kinds) for m in p.finditer(text) if len(m[g]) >= n]
