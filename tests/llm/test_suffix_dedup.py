@@ -3,14 +3,21 @@
 import hashlib
 import random
 
+import numpy as np
+import xxhash
+
 from marlgrid.llm import suffix_dedup
 
 DOCS = "doc_id long, text string, kept string, spans string"
 
 
+def tie(text):
+    return int(np.uint64(xxhash.xxh64_intdigest(text, seed=42)).astype(np.int64))
+
+
 def brute(rows, length):
     """doc -> (n_bytes, n_removed, n_spans, kept_sha256); rows: (doc_id, text)."""
-    docs = sorted({(d if d is not None else suffix_dedup.NULL_DOC, suffix_dedup._tie((t or "").encode()), (t or "").encode()) for d, t in rows})
+    docs = sorted({(d if d is not None else suffix_dedup.NULL_DOC, tie((t or "").encode()), (t or "").encode()) for d, t in rows})
     seen, out = set(), {}
     for d, _, t in docs:
         gone = bytearray(len(t))
@@ -71,3 +78,26 @@ def test_small_q_and_other_lengths(spark):
     rng = random.Random(8)
     rows = [(i, "".join(rng.choice("ab") for _ in range(rng.randint(0, 200)))) for i in range(60)]
     check(spark, rows, 12)
+
+
+def test_pointers_against_a_dictionary():
+    rng = random.Random(9)
+    for _ in range(300):
+        data = bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 120)))
+        length = rng.randint(1, 40)
+        starts = sorted(rng.sample(range(max(1, len(data) - length + 1)), rng.randint(0, max(0, len(data) - length + 1)))) if len(data) >= length else []
+        seen, want = set(), []
+        for s in starts:
+            want.append(data[s : s + length] in seen)
+            seen.add(data[s : s + length])
+        assert suffix_dedup.later_strings(np.frombuffer(data, np.uint8), np.array(starts, np.int64), length).tolist() == want
+
+
+def test_many_batches_meet_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BATCH", 2000)  # for the number of groups
+    rng = random.Random(11)
+    line = "a passage that is more than a hundred bytes long and stands in every second one of these documents, whole or in part"
+    rows = [(i, "".join(rng.choice("klmnop ") for _ in range(rng.randint(0, 200))) + (line[rng.randint(0, 9) :] if i % 2 else "") + "".join(rng.choice("kl") for _ in range(90))) for i in range(200)]
+    rows += [(None, line + str(i % 7)) for i in range(40)]
+    check(spark, rows, 100, parts=5, fan_in=2, wide=3)
+    check(spark, rows, 100, parts=5, wide=3)
