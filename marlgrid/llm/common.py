@@ -19,12 +19,14 @@ _ROOT = Path(__file__).resolve().parents[2]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """This application's folder under spark.checkpoint.dir; where that is unset (tests), one under /tmp/checkpoints."""
+    """This application's folder under spark.checkpoint.dir; where that is unset and all runs on one machine (tests), one under /tmp/checkpoints."""
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not base:
         base = context.getCheckpointDir()
     if not base:
+        if not context.master.startswith(("local[", "local,")) and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that every machine can reach")
         base = f"/tmp/checkpoints/{os.getpid()}"
         context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/marlgrid-{context.applicationId}"
@@ -39,8 +41,10 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: cuts lineage and survives the loss of executors."""
+def table(df: DataFrame, name: str, tidy: bool = True) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: cuts lineage and survives the loss of executors.
+
+    tidy lets Spark drop the shuffle files behind it at once, which is worth it for tables that took a large shuffle."""
     spark = df.sparkSession
     folder = shared_dir(spark)
     if folder not in _SHIPPED:
@@ -48,8 +52,9 @@ def table(df: DataFrame, name: str) -> DataFrame:
         atexit.register(_remove, spark, folder)
     path = f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files behind this table
+    if tidy:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # Spark drops the shuffle files of plans that nothing refers to
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -86,28 +91,26 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, component) for every node of the undirected edges (a, b); component is the smallest node that links reach.
 
-    Alternating large-star and small-star steps, each of which groups on one endpoint; a hub's edges are pre-reduced to
-    their minimum before the shuffle and joined back under adaptive skew handling, so no neighbour list is ever collected.
-    Every round is written to the shared folder.
+    Alternating large-star and small-star steps until nothing changes, about log(n) ** 2 rounds at worst.  Each step groups on
+    one endpoint, with minima taken before the shuffle, and joins the minimum back.  No neighbour list is ever collected: the
+    minima are a table of their own, so that both sides of the join are plain shuffles and a hub's rows can be split.
     """
     links = table(edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo < hi").distinct(), name)
-    for _ in range(max_rounds):
+    while True:
         # large star: every neighbour above a node is linked to the smallest node of its neighbourhood
         both = links.select(F.col("hi").alias("v"), F.col("lo").alias("w")).unionByName(links.select(F.col("lo").alias("v"), F.col("hi").alias("w")))
-        least = both.groupBy("v").agg(F.least(F.min("w"), F.col("v")).alias("m"))
-        large = both.join(least, "v").where("w > v").select(F.col("m").alias("lo"), F.col("w").alias("hi")).where("lo < hi").distinct()
+        least = table(both.groupBy("v").agg(F.least(F.min("w"), F.col("v")).alias("m")), name, tidy=False)
+        large = both.where("w > v").join(least, "v").select(F.col("m").alias("lo"), F.col("w").alias("hi")).where("lo < hi")
+        large = table(large.distinct(), name, tidy=False)
         # small star: the neighbours below a node, and the node, are linked to the smallest of them
-        below = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(below, "hi").select(F.col("m").alias("lo"), F.explode(F.array("hi", "lo")).alias("hi")).where("lo < hi").distinct()
-        after = table(small, name)
+        below = table(large.groupBy("hi").agg(F.min("lo").alias("m")), name, tidy=False)
+        small = large.join(below, "hi").select(F.col("m").alias("lo"), F.explode(F.array("hi", "lo")).alias("hi")).where("lo < hi")
+        links = table(small.distinct(), name)
         # done once every node above has one neighbour below, which is nobody's node above
-        bad = after.groupBy("hi").agg(F.count("*").alias("n")).where("n > 1").select("hi").unionByName(after.select("hi").join(after.select(F.col("lo").alias("hi")), "hi", "left_semi")).limit(1)
-        links = after
+        bad = links.groupBy("hi").agg(F.count("*").alias("n")).where("n > 1").select("hi").unionByName(links.select("hi").join(links.select(F.col("lo").alias("hi")), "hi", "left_semi")).limit(1)
         if not bad.take(1):
             break
-    else:
-        raise RuntimeError("components did not settle")
     return links.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(links.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
