@@ -131,10 +131,14 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id
 
 # --- operator 3 -------------------------------------------------------------------------------------------------------
 
-#: At most so many distinct vectors are sampled (by a hash of their number) to fit the codebooks and set the visits.
-SAMPLE = 20_000
-#: Members and queries of a cell that meet in one task.
+#: So many distinct vectors are sampled (by a hash of their number) to fit the codebooks; with large tables, so many for each centroid of a half.
+SAMPLE, FOR_EACH = 20_000, 8
+#: Sampled vectors whose links to all others set the margin.
+ASKED = 256
+#: Members and visitors of a cell that meet in one task.
 CELL_BLOCK = 2048
+#: Steps in which the margin is set, in squared distance.
+STEPS, STEP = 1024, 1 / 256
 
 
 def centroids(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -150,72 +154,80 @@ def centroids(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndar
     return c
 
 
-def nearest_cells(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], visits: int) -> np.ndarray:
-    """For each unit vector the `visits` nearest cells of the product grid, nearest first.
-
-    The multi-sequence order: with both halves' centroids sorted by distance, the cell of ranks (i, j) can be among the first T
-    only if (i+1)(j+1) <= T, so those cells are summed and the T smallest sums taken.
-    """
-    half = books[0].shape[1]
-    sides = []
-    for part, c in ((x[:, :half], books[0]), (x[:, half:], books[1])):
-        d = np.maximum((part * part).sum(1)[:, None] + (c * c).sum(1) - 2 * (part @ c.T), 0)
-        o = np.argsort(d, 1, kind="stable")[:, : min(visits, len(c))]
-        sides.append((o, np.take_along_axis(d, o, 1)))
-    (o1, d1), (o2, d2) = sides
-    i, j = np.array([(a, b) for a in range(o1.shape[1]) for b in range(o2.shape[1]) if (a + 1) * (b + 1) <= visits]).T
-    first = np.argsort(d1[:, i] + d2[:, j], 1, kind="stable")[:, :visits]
-    return o1[np.arange(len(x))[:, None], i[first]] * len(books[1]) + o2[np.arange(len(x))[:, None], j[first]]
-
-
-def sampled_pairs(x: np.ndarray, threshold: float, most: int = 4000, seed: int = 1) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """Linked pairs of a sample, drawn so that each pair counts alike and so that each group of linked rows counts alike (places in x, at most
-    `most` pairs each), and a weight a row, 1 / (1 + its links): rows drawn by it come from large and small groups alike.
-
-    Every row of the sample meets every other in blocks; a row gives one of its links, so pairs never multiply.
-    """
-    rng = np.random.default_rng(seed)
-    degree, mate = np.zeros(len(x), np.int64), np.full(len(x), -1)
-    for at in range(0, len(x), 256):
-        near = x[at : at + 256] @ x.T >= threshold
-        near[np.arange(len(near)), np.arange(at, at + len(near))] = False
-        n = near.sum(1)
-        degree[at : at + 256] = n
-        own = np.flatnonzero(n)
-        # the flat places of all links, row by row: one is drawn in each row
-        _, to = np.nonzero(near)
-        mate[at + own] = to[(np.cumsum(n) - n)[own] + rng.integers(0, n[own])]
-    weight = 1.0 / (1.0 + degree)
-    linked = np.flatnonzero(degree)
-    drawn = []
-    for by in (degree[linked].astype(float), weight[linked]):
-        if len(linked):
-            own = rng.choice(linked, most, p=by / by.sum())
-            drawn.append((own, mate[own]))
-    return drawn, weight
-
-
-def visits_for(x: np.ndarray, books, threshold: float, target: float, fresh: np.ndarray | None = None, hard: int = 4000) -> int:
-    """The smallest number of visited cells (a power of two, at most all) that finds `target` of each of these sets of pairs from either side:
-    the sample's linked pairs, the same with each group counted alike, and pairs at the threshold itself, the hardest ones, around rows of
-    groups counted alike (of the places `fresh`, which the codebooks were not fitted on, if given).  So neither tight groups nor groups that the sample holds one row of decide alone."""
-    drawn, weight = sampled_pairs(x, threshold)
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; each row's result depends on that row alone."""
+    x = np.ascontiguousarray(x, float)
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
+class Grid:
+    """The product grid of two codebooks for vectors of one length: cell (i, j) is number i * width + j."""
+
+    def __init__(self, first: np.ndarray, second: np.ndarray):
+        self.books, self.width, self.half = (first, second), len(second), first.shape[1]
+
+    def _sides(self, x: np.ndarray):
+        for part, c in ((x[:, : self.half], self.books[0]), (x[:, self.half :], self.books[1])):
+            yield np.maximum((part * part).sum(1)[:, None] + (c * c).sum(1) - 2 * (part @ c.T), 0)
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        """The nearest cell of each vector."""
+        i, j = (d.argmin(1) for d in self._sides(x))
+        return i * self.width + j
+
+    def distance(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """Squared distances of vectors to cells, row by row; each depends on its row alone, so that every task agrees."""
+        return ((x[:, : self.half] - self.books[0][cell // self.width]) ** 2).sum(1) + ((x[:, self.half :] - self.books[1][cell % self.width]) ** 2).sum(1)
+
+    def visits(self, x: np.ndarray, home: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
+        """(place in x, cell) of every cell that is at most `margin` farther than the nearest one: the multi-sequence traversal of each vector.
+
+        Both halves' centroids are sorted by distance; of the ranks (i, j) those are walked whose sum of distances stays within the margin.
+        """
+        owners, cells = [], []
+        for at in range(0, len(x), 256):
+            part = x[at : at + 256]
+            sides = []
+            for d in self._sides(part):
+                d -= d.min(1, keepdims=True)
+                most = max(1, int((d <= margin + 1e-9).sum(1).max(initial=1)))
+                near = np.argpartition(d, most - 1, 1)[:, :most] if most < d.shape[1] else np.broadcast_to(np.arange(d.shape[1]), d.shape)
+                o = np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), 1, kind="stable"), 1)
+                sides.append((o, np.take_along_axis(d, o, 1)))
+            (o1, d1), (o2, d2) = sides
+            for lo in range(0, o1.shape[1], 64):  # a bounded number of ranks of the first half at a time
+                k, i, j = np.nonzero(d1[:, lo : lo + 64, None] + d2[:, None, :] <= margin + 1e-9)
+                owners.append(k + at)
+                cells.append(o1[k, lo + i] * self.width + o2[k, j])
+        owner, cell = np.concatenate(owners), np.concatenate(cells)
+        own = x[owner]
+        keep = (self.distance(own, cell) - self.distance(own, home[owner]) <= margin) | (cell == home[owner])
+        return owner[keep], cell[keep]
+
+    def apart(self, x: np.ndarray, home_x: np.ndarray, y: np.ndarray, home_y: np.ndarray) -> np.ndarray:
+        """The margin that pairs of vectors need: how much farther than its own the other's home is, for the nearer side."""
+        return np.minimum(self.distance(x, home_y) - self.distance(x, home_x), self.distance(y, home_x) - self.distance(y, home_y))
+
+
+def hard_margin(x: np.ndarray, grid: Grid, threshold: float, target: float, pairs: int = 4000) -> float:
+    """The margin that finds `target` of pairs at the threshold itself, the hardest ones, around rows of x, in random directions."""
     rng = np.random.default_rng(2)
-    at = np.arange(len(x)) if fresh is None or not len(fresh) else fresh
-    p = x[rng.choice(at, hard, p=weight[at] / weight[at].sum())]
+    p = x[rng.integers(0, len(x), pairs)]
     turn = rng.normal(size=p.shape)
     turn -= (turn * p).sum(1, keepdims=True) * p
     turn /= np.maximum(np.linalg.norm(turn, axis=1, keepdims=True), 1e-12)
-    sets = [(p, threshold * p + math.sqrt(1 - threshold**2) * turn), *((x[a], x[b]) for a, b in drawn)]
-    cells, visits = len(books[0]) * len(books[1]), 1
-    for p, q in sets:
-        home_p, home_q = (nearest_cells(v, books, 1)[:, :1] for v in (p, q))
-        while visits < cells:
-            met = (nearest_cells(p, books, visits) == home_q).any(1) | (nearest_cells(q, books, visits) == home_p).any(1)
-            if met.mean() >= target:
-                break
-            visits *= 2
-    return min(visits, cells)
+    q = unit(threshold * p + math.sqrt(1 - threshold**2) * turn)
+    need = grid.apart(p, grid.home(p), q, grid.home(q))
+    return float(max(0.0, np.quantile(need, target, method="higher")))
+
+
+def recall_curve(counts: np.ndarray) -> np.ndarray:
+    """counts: queries x steps of the margin.  The recall at each step: each query counts alike, the smaller one of queries with few
+    links and with many."""
+    total = counts.sum(1)
+    shares = [np.cumsum(counts[own], 1) / total[own, None] for own in ((total > 0) & (total <= 16), total > 16)]
+    means = [s.mean(0) for s in shares if len(s)]
+    return np.min(means, 0) if means else np.ones(counts.shape[1])
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -234,78 +246,149 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = least
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.95, target: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE) -> DataFrame:
+def _clear(members: DataFrame) -> bool:
+    """Whether no two different vectors share a digest."""
+    return not members.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").limit(1).take(1)
+
+
+def _plain(batch, column: str, dims: int) -> np.ndarray:
+    return np.asarray(batch.column(column).combine_chunks().flatten() if isinstance(batch, pa.Table) else batch.column(column).flatten(), float).reshape(-1, dims)
+
+
+def near_vectors(vectors: DataFrame, threshold: float = 0.95, target: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, asked: int = ASKED) -> DataFrame:
     """One row a row of vectors: id, n_links (other rows at cosine >= threshold that were found), component_id (the smallest id that links reach), kept (id = component_id).
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, and neither do rows without an id
     (their component_id is null, and they are kept).  Equal vectors are linked; rows that share an id are vectors of their
-    own.  Vectors of different lengths don't link.  An empty table gives an empty one; extra columns are dropped.
+    own.  Vectors of different lengths don't link.  An empty table gives an empty one; extra columns are dropped, whatever their names.
 
-    Equal vectors become one member with their number.  The codebooks are fitted on a bounded sample; every member is indexed, and
-    visits the same number of nearest cells, set on the whole sample for `target` recall of large and small groups and of pairs at the threshold.  Members and visitors of a cell meet in
+    Equal vectors become one member with their number.  The codebooks are fitted on a sample, their number of cells grows with
+    the table.  Every member is indexed and visits all cells that are at most a margin farther than its nearest one.  The margin
+    is the smallest one at which `target` of the links are found: of those between `asked` sampled vectors and all members, each
+    vector counted alike, and of pairs at the threshold itself.  Members and visitors of a cell meet in
     blocks of bounded size; a block returns a count for each member and a spanning forest, never its pairs.
     """
     spark = vectors.sparkSession
     ship(spark)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(usable(vector_col), F.transform(vector_col, lambda x: x.cast("double") + 0.0)).alias("v"))
+    kind = next(f.dataType.elementType for f in vectors.schema if f.name == vector_col)
+    kind = "float" if kind.simpleString() == "float" else "double"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(usable(vector_col), F.transform(vector_col, lambda x: (x.cast(kind) + F.lit(0.0)).cast(kind))).alias("v"))
     good = rows.where("id is not null and v is not null and exists(v, x -> x != 0)")
-    members = table(good.groupBy("v").agg(F.count("*").alias("n"), F.min("id").alias("least")).select(F.monotonically_increasing_id().alias("key"), "n", "least", F.size("v").alias("dims"), "v"), "distinct-vectors")
+    seed = 0
+    while True:  # once, unless two different vectors share 128 bits
+        digests = [F.xxhash64(F.lit(seed), "v").alias("h1"), F.xxhash64(F.lit(seed + 1), "v").alias("h2")]
+        members = good.groupBy(*digests, "v").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+        members = table(members.select(F.monotonically_increasing_id().alias("key"), "h1", "h2", "n", "least", F.size("v").alias("dims"), "v"), "distinct-vectors")
+        if _clear(members):
+            break
+        seed += 2
     n_members = members.count()
-    books, visits = {}, {}
-    picked = members.orderBy(F.xxhash64("key"), "key").limit(sample).select("v").toPandas()["v"] if n_members else []
-    for dims in sorted({len(v) for v in picked}):
-        x = np.stack([v for v in picked if len(v) == dims]).astype(float)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    k = int(2 ** round(math.log2(max(math.sqrt(n_members / 8), 1))))
+    size = max(sample, FOR_EACH * k)
+    # a share of all rows by a hash of their number, so that nothing is sorted for it
+    share = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(min(1.0, size / max(1, n_members)) * (1 << 30))
+    picked = members.where(share).select("key", "v").limit(2 * size).toPandas().sort_values("key") if n_members else None
+    grids: dict[int, Grid] = {}
+    margins: dict[int, float] = {}
+    queries: dict[int, tuple] = {}
+    by_dims: dict[int, list] = {}
+    for key, v in zip(picked["key"], picked["v"], strict=True) if n_members else ():
+        by_dims.setdefault(len(v), []).append((key, v))
+    for dims, own in by_dims.items():
+        x = unit(np.stack([v for _, v in own]))
         half = max(1, dims // 2)
-        k = int(2 ** round(math.log2(min(max(math.sqrt(n_members / 8), 1), 256))))
         # a fourth of the sample stays out of the fit: centroids lie nearer to the rows that they were fitted on
         fresh = np.arange(3, len(x), 4)
         fit = np.delete(x, fresh, 0)
-        books[dims] = (centroids(fit[:, :half], k), centroids(fit[:, half:], k))
-        visits[dims] = visits_for(x, books[dims], threshold, target, fresh)
+        grids[dims] = grid = Grid(centroids(fit[:, :half], k), centroids(fit[:, half:], k))
+        rest = fresh if len(fresh) else np.arange(len(x))
+        margins[dims] = hard_margin(x[rest], grid, threshold, target)
+        at = rest[:: max(1, len(rest) // asked)][:asked]
+        queries[dims] = (np.array([own[i][0] for i in at]), x[at], grid.home(x[at]))
+
+    def needs(batches):
+        """How many links of each sampled vector need which margin."""
+        for batch in batches:
+            dims, keys, out = np.array(batch.column("dims")), np.array(batch.column("key")), ([], [], [], [])
+            for d in np.unique(dims).tolist():
+                if d not in grids:
+                    continue
+                own = np.flatnonzero(dims == d)
+                q_key, q, q_home = queries[d]
+                x = unit(np.asarray(batch.column("v").take(pa.array(own)).flatten(), float).reshape(-1, d))
+                i, j = np.nonzero((x @ q.T >= threshold) & (keys[own][:, None] != q_key))
+                if not len(i):
+                    continue
+                home = grids[d].home(x)
+                need = grids[d].apart(x[i], home[i], q[j], q_home[j])
+                step = np.clip(np.ceil(need / STEP), 0, STEPS - 1).astype(np.int64)
+                code, n = np.unique(j * STEPS + step, return_counts=True)
+                for c, v in zip(out, ([d] * len(code), code // STEPS, code % STEPS, n), strict=True):
+                    c += list(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["dims", "asked", "step", "n"])
+
+    # at most `asked` * STEPS rows a length of vectors
+    told = members.select("key", "dims", "v").mapInArrow(needs, "dims long, asked long, step long, n long").groupBy("dims", "asked", "step").agg(F.sum("n").alias("n")).collect() if grids else []
+    for dims in grids:
+        counts = np.zeros((len(queries[dims][0]), STEPS))
+        for r in told:
+            if r.dims == dims:
+                counts[r.asked, r.step] = r.n
+        # where the sample has links, the first step at which enough of them are found
+        enough = np.flatnonzero(recall_curve(counts) >= target)
+        margins[dims] = max(margins[dims], STEP * (int(enough[0]) if len(enough) else STEPS))
 
     def index(batches):
         for batch in batches:
-            keys, dims, values = batch.column("key"), np.array(batch.column("dims")), batch.column("v")
+            dims, values = np.array(batch.column("dims")), batch.column("v")
             cells = [None] * len(dims)
             for d in np.unique(dims).tolist():
                 own = np.flatnonzero(dims == d)
-                if d in books:
-                    x = np.array(values.take(pa.array(own)).flatten(), float).reshape(-1, d)
-                    x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    found = nearest_cells(x, books[d], visits[d])
+                if d in grids:
+                    x = unit(np.asarray(values.take(pa.array(own)).flatten(), float).reshape(-1, d))
+                    home = grids[d].home(x)
+                    owner, cell = grids[d].visits(x, home, margins[d])
+                    # home first
+                    order = np.lexsort([cell != home[owner], owner])
+                    owner, cell = owner[order], cell[order] + (d << 40)
+                    edges = np.searchsorted(owner, np.arange(len(own) + 1)).tolist()
+                    for i, a, b in zip(own.tolist(), edges[:-1], edges[1:], strict=True):
+                        cells[i] = cell[a:b]
                 else:  # a length that the sample lacks has one cell
-                    found = np.zeros((len(own), 1), int)
-                for i, f in zip(own.tolist(), found.tolist(), strict=True):
-                    cells[i] = [(d << 32) + c for c in f]
-            yield pa.RecordBatch.from_arrays([keys, batch.column("n"), values, pa.array(cells, pa.list_(pa.int64()))], ["key", "n", "v", "cells"])
+                    for i in own.tolist():
+                        cells[i] = np.array([d << 40])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), batch.column("dims"), values, pa.array(cells, pa.list_(pa.int64()))], ["key", "n", "dims", "v", "cells"])
 
-    indexed = table(members.mapInArrow(index, "key long, n long, v array<double>, cells array<long>"), "indexed-vectors")
-    homes = indexed.select("key", "n", "v", "cells", F.col("cells")[0].alias("cell"))
+    indexed = table(members.select("key", "n", "dims", "v").mapInArrow(index, f"key long, n long, dims int, v array<{kind}>, cells array<long>"), "indexed-vectors")
+    homes = indexed.select("key", "n", "dims", "v", F.col("cells")[0].alias("cell"))
     guests = indexed.select(F.col("key").alias("g_key"), F.col("n").alias("g_n"), F.col("v").alias("g_v"), F.col("cells")[0].alias("home"), F.explode("cells").alias("cell"))
-    # one row a cell, at most the product grid
-    grid = homes.groupBy("cell").agg(F.ceil(F.count("*") / CELL_BLOCK).cast("int").alias("mb")).join(guests.groupBy("cell").agg(F.ceil(F.count("*") / CELL_BLOCK).cast("int").alias("gb")), "cell")
-    grid = table(grid, "cell-blocks")
+    # one row a cell, at most one for each member
+    grid_rows = homes.groupBy("cell").agg(F.ceil(F.count("*") / CELL_BLOCK).cast("int").alias("mb")).join(guests.groupBy("cell").agg(F.ceil(F.count("*") / CELL_BLOCK).cast("int").alias("gb")), "cell")
+    blocks = table(grid_rows, "cell-blocks", tidy=False)
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    left = homes.join(grid, "cell").select("cell", part("key", "mb").alias("m"), each("gb").alias("g"), "key", "n", "v", "cells")
-    right = guests.join(grid, "cell").select("cell", each("mb").alias("m"), part("g_key", "gb").alias("g"), "g_key", "g_n", "g_v", "home")
+    left = homes.join(blocks, "cell").select("cell", part("key", "mb").alias("m"), each("gb").alias("g"), "key", "n", "dims", "v")
+    right = guests.join(blocks, "cell").select("cell", each("mb").alias("m"), part("g_key", "gb").alias("g"), "g_key", "g_n", "g_v", "home")
 
-    def meet(_, m: pa.Table, g: pa.Table) -> pa.Table:
+    def meet(cell, m: pa.Table, g: pa.Table) -> pa.Table:
         out = ([], [], [])
         if len(m) and len(g):
+            dims = m.column("dims")[0].as_py()
             mk, gk = np.array(m.column("key"), np.int64), np.array(g.column("g_key"), np.int64)
-            x, y = (np.array(t.column(c).combine_chunks().flatten(), float).reshape(len(t), -1) for t, c in ((m, "v"), (g, "g_v")))
-            x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
+            x, y = unit(_plain(m, "v", dims)), unit(_plain(g, "g_v", dims))
             i, j = np.nonzero(x @ y.T >= threshold)
             # a pair that also meets in the other's cell counts in one of the two
-            seen = np.array(m.column("cells").combine_chunks().flatten(), np.int64).reshape(len(m), -1)
-            home = np.array(g.column("home"), np.int64)
             counts = mk[i] != gk[j]
-            late = np.flatnonzero(counts & (gk[j] > mk[i]))
-            for at in range(0, len(late), 100_000):
-                own = late[at : at + 100_000]
-                counts[own] = ~(seen[i[own]] == home[j[own], None]).any(1)
+            if dims in grids:
+                home = np.array(g.column("home"), np.int64) - (dims << 40)
+                own = np.full(len(x), cell[0].as_py() - (dims << 40))
+                late = np.flatnonzero(counts & (gk[j] > mk[i]))
+                for at in range(0, len(late), 100_000):
+                    p, q = i[late[at : at + 100_000]], home[j[late[at : at + 100_000]]]
+                    visits = (grids[dims].distance(x[p], q) - grids[dims].distance(x[p], own[p]) <= margins[dims]) | (q == own[p])
+                    counts[late[at : at + 100_000]] = ~visits
+            else:
+                counts &= gk[j] < mk[i]
             i, j = i[counts], j[counts]
             if len(i):
                 keys = np.concatenate([mk, gk])
@@ -320,10 +403,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, target: float = 0.
     met = table(left.groupBy("cell", "m", "g").cogroup(right.groupBy("cell", "m", "g")).applyInArrow(meet, "key long, links long, low long"), "cell-links")
     counts = met.groupBy("key").agg(F.sum("links").alias("links"))
     label = connected_components(met.select(F.col("key").alias("a"), F.col("low").alias("b")).where("a != b"))
-    told = members.select("key", "n", "least", "v").join(counts, "key", "left").join(label, F.col("key") == F.col("node"), "left").withColumn("class", F.coalesce("component", "key"))
-    smallest = told.groupBy("class").agg(F.min("least").alias("component_id"))
-    told = table(told.join(smallest, "class").select("v", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"), "vector-classes")
-    linked = good.join(told, "v").select("id", "n_links", "component_id")
+    told = members.select("key", "n", "least", "h1", "h2").join(counts, "key", "left").join(label, F.col("key") == F.col("node"), "left").withColumn("class", F.coalesce("component", "key"))
+    told = table(told.select("h1", "h2", "class", "least", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "vector-links", tidy=False)
+    smallest = table(told.groupBy("class").agg(F.min("least").alias("component_id")), "smallest", tidy=False)
+    classes = table(told.join(smallest, "class").select("h1", "h2", "n_links", "component_id"), "vector-classes")
+    linked = good.select("id", *digests).join(classes, ["h1", "h2"]).select("id", "n_links", "component_id")
     rest = rows.where("id is null or v is null or not exists(v, x -> x != 0)").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     every = linked.unionByName(rest)
     return every.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

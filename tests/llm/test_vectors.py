@@ -91,35 +91,52 @@ def test_recall_and_blocks(spark, monkeypatch):
     assert sum(got.values()) >= 0.9 * sum(want.values())
 
 
-def test_visits_nearest_first():
+def test_visits_are_all_cells_within_the_margin():
     rng = np.random.default_rng(5)
-    books = rng.normal(size=(7, 4)), rng.normal(size=(7, 4))
-    x = rng.normal(size=(30, 8))
-    d = ((x[:, None, :4] - books[0]) ** 2).sum(2)[:, :, None] + ((x[:, None, 4:] - books[1]) ** 2).sum(2)[:, None, :]
-    want = np.argsort(d.reshape(30, -1), 1)[:, :9]
-    assert (vectors.nearest_cells(x, books, 9) == want).all()
+    grid = vectors.Grid(rng.normal(size=(70, 4)), rng.normal(size=(9, 4)))
+    x = rng.normal(size=(300, 8))
+    d = (((x[:, None, :4] - grid.books[0]) ** 2).sum(2)[:, :, None] + ((x[:, None, 4:] - grid.books[1]) ** 2).sum(2)[:, None, :]).reshape(300, -1)
+    home = grid.home(x)
+    assert (home == d.argmin(1)).all()
+    for margin in (0.0, 0.5, 3.0):
+        owner, cell = grid.visits(x, home, margin)
+        assert sorted(zip(owner.tolist(), cell.tolist())) == sorted(zip(*(v.tolist() for v in np.nonzero(d - d.min(1, keepdims=True) <= margin))))
 
 
 def grouped(rng, groups, size, noise, dims=64):
-    """Unit vectors in groups, and the number of each one's group; two of a group have a cosine of about 1 / (1 + noise**2)."""
+    """Unit vectors in groups; two of a group have a cosine of about 1 / (1 + noise**2)."""
     x = np.repeat(rng.normal(size=(groups, dims)), size, 0)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     x = x + rng.normal(size=x.shape) * np.repeat(rng.uniform(*noise, groups), size)[:, None] / math.sqrt(dims)
-    return x / np.linalg.norm(x, axis=1, keepdims=True), np.repeat(np.arange(groups), size)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def recall(x, group, books, visits, threshold=0.95):
-    a, b = np.nonzero(np.triu(group[:, None] == group, 1))
-    own = (x[a] * x[b]).sum(1) >= threshold
-    cells = vectors.nearest_cells(x, books, visits)
-    a, b = a[own], b[own]
-    return ((cells[a] == cells[b, :1]).any(1) | (cells[b] == cells[a, :1]).any(1)).mean()
-
-
-def test_tight_groups_leave_visits_for_small_ones():
+def test_recall_of_large_and_small_groups(spark):
+    """Groups of 2, 4 and 16 near the threshold, tight ones of 200, and vectors on their own: against every pair."""
     rng = np.random.default_rng(6)
-    small, group = grouped(rng, 1500, 4, (0.14, 0.23))
-    tight, _ = grouped(rng, 15, 200, (0.03, 0.1))
-    x = rng.permutation(np.concatenate([small, tight]))
-    books = vectors.centroids(x[:, :32], 32), vectors.centroids(x[:, 32:], 32)
-    assert recall(small, group, books, vectors.visits_for(x, books, 0.95, 0.98)) >= 0.97
+    sizes = {2: 700, 4: 400, 16: 80, 200: 8, 1: 1500}
+    x = np.concatenate([grouped(rng, n, size, (0.03, 0.1) if size == 200 else (0.14, 0.23)) for size, n in sizes.items()]).astype(np.float32)
+    of = np.concatenate([np.full(n * size, size) for size, n in sizes.items()])
+    order = rng.permutation(len(x))
+    x, of = x[order], of[order]
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = np.concatenate([(u[a : a + 500] @ u.T >= 0.95).sum(1) - 1 for a in range(0, len(u), 500)])
+    got = {r.vec_id: r.n_links for r in vectors.near_vectors(frame(spark, [(i, v.tolist()) for i, v in enumerate(x)]).repartition(4), 0.95).collect()}
+    found = np.array([got[i] for i in range(len(x))])
+    assert (found <= want).all()
+    for size in sizes:
+        own = of == size
+        share = found[own].sum() / max(1, want[own].sum())
+        print(f"groups of {size}: recall {share:.4f} of {want[own].sum()} links")
+        assert not want[own].sum() or share >= 0.95
+
+
+def test_codebooks_grow_with_the_table(spark, monkeypatch):
+    """A sample of at least so many rows for each centroid; 3000 distinct vectors have 16 centroids a half, more than a sample of 40 allows."""
+    rng = np.random.default_rng(7)
+    seen = []
+    fit = vectors.centroids
+    monkeypatch.setattr(vectors, "centroids", lambda x, k: seen.append((len(x), k)) or fit(x, k))
+    x = rng.normal(size=(3000, 8)).astype(np.float32)
+    assert vectors.near_vectors(frame(spark, [(i, v.tolist()) for i, v in enumerate(x)]), sample=40).count() == 3000
+    assert seen and all(k == 16 and 50 < n < 200 for n, k in seen)
