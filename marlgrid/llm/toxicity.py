@@ -228,9 +228,9 @@ def scored(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
     return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept.columns)], *names)
 
 
-#: The chain of the labels table: quality first, then toxicity, then both.
+#: The chain of the labels table: quality first, then toxic texts of low quality, then toxicity, which both feed.
 def label_categories() -> dict:
-    return {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1, "toxic_and_low": (F.col("toxic") == 1) & (F.col("quality") == 0)}
+    return {"low_quality": F.col("quality") == 0, "toxic_and_low": (F.col("toxic") == 1) & (F.col("quality") == 0), "toxic": F.col("toxic") == 1}
 
 
 def judged(docs: DataFrame, labels: DataFrame, threshold: float | None = None) -> DataFrame:

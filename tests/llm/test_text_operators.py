@@ -235,10 +235,30 @@ def test_url_rules(spark):
     assert url_filter.url_verdicts(df.limit(0), URL_RULES).count() == 0
 
 
+def test_rules_beyond_one_array(spark, monkeypatch):
+    """Lists above the limit and rules in a table are dealt by ranges of keys, with the same verdicts."""
+    monkeypatch.setattr(url_filter, "RANGE_RULES", 40)
+    monkeypatch.setattr(url_filter, "RANGE_PROBES", 100)
+    more = [("block" if i % 3 else "allow", f"h{i}.example.net", f"/{'x' * (i % 5)}") for i in range(150)]
+    rules = [*URL_RULES, *more, ("allow", "h4.example.net", "/xxxx")]
+    urls = [f"https://{'a.' * (i % 3)}h{i % 200}.example.net/{'x' * (i % 7)}?q" for i in range(400)] + [None, "", "https://A.Example.COM/en/7?x", "http://example.com/en/" + "y" * 100_000]
+    df = spark.createDataFrame([(i, u, "html", "clash") for i, u in enumerate([*urls, urls[3], urls[3]])], "page_id long, url string, html string, verdict string").repartition(3)
+
+    def told(rows):
+        return sorted(map(tuple, rows.collect()), key=repr)
+
+    whole = told(url_filter.url_verdicts(df, rules))
+    assert told(url_filter.url_verdicts(df, rules, most=100)) == whole
+    once = list({(h, p): (v, h, p) for v, h, p in rules}.values())
+    assert told(url_filter.url_verdicts(df, spark.createDataFrame(once, url_filter.RULES))) == whole
+    assert len(whole) == len(urls) + 2 and {r[4] for r in whole} == {"allow", "block"}
+    assert url_filter.url_verdicts(df.limit(0), rules, most=100).count() == 0
+
+
 def test_digest_array_confirms_strings(tmp_path):
     rules = [("block", f"h{i}.org", f"/p{i % 7}/") for i in range(500)]
     url_filter.write_array(rules, str(tmp_path / "a"))
-    array = url_filter.DigestArray(str(tmp_path / "a"))
+    array = url_filter.DigestArray(url_filter.np.memmap(tmp_path / "a", "u1", "r"))
     assert all(array.name(int(array.find([h + p], [len(h)])[0])) == h + p for _, h, p in rules)
     assert array.find(["h1.org/p2/"], [6])[0] == -1
     assert array.find(["h1.org/p1/"], [5])[0] == -1  # the same string cut elsewhere is no rule

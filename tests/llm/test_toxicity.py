@@ -56,3 +56,36 @@ def test_later_links_see_out_of_fold_probabilities():
     y = np.array([[3 in p, (3 in p) and (4 in p)] for p in present], int)
     chain = toxicity.train(present, y, ("a", "b"), most=30)
     assert [len(w) for w in chain.weights] == [chain.n_columns + 1, chain.n_columns + 2]
+
+
+def test_scores_by_brute_force(spark):
+    """Every probability of the chain against sets of words and prefixes, and sums over them, in plain Python."""
+    import math
+
+    rng = random.Random(5)
+    docs, labels = planted(rng, 600)
+    chain = toxicity.fit(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), toxicity.label_categories())
+    texts = [t for _, t, _, _ in planted(rng, 60, 5000)[0]] + ["", "Vile vile grimm7 grimmer", "ab\tAWFUL junk. " * 50]
+    number: dict[str, int] = {}
+
+    def columns(text):
+        found = set()
+        for word in text.lower().replace("!", " ").replace(".", " ").split():
+            for part in {word, *(word[:k] for k in toxicity.PREFIXES if len(word) > k)}:
+                # a prefix of so many letters and a word of that length are features of their own
+                key = part if part == word else part + "*"
+                if key not in number:
+                    whole, prefixes = toxicity.features([part if part == word else part + "x"])[1], {}
+                    names = [part if part == word else None, *[(part if part == word else part + "x")[:k] for k in toxicity.PREFIXES if len(part if part == word else part + "x") > k]]
+                    prefixes = dict(zip(names, whole.tolist()))
+                    number[key] = prefixes[part]
+                found.add(number[key])
+        return {int(chain.columns[f]) for f in found if chain.columns[f] >= 0}
+
+    got = chain.predict(texts)
+    for i, text in enumerate(texts):
+        own, before = columns(text), []
+        for w in chain.weights:
+            total = w[0] + sum(w[1 + c] for c in own) + sum(w[1 + chain.n_columns + k] * p for k, p in enumerate(before))
+            before.append(1 / (1 + math.exp(-max(-30, min(30, total)))))
+        assert np.allclose(got[i], before, atol=1e-9), text
