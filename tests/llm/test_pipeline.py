@@ -72,3 +72,14 @@ def test_stages(spark, tmp_path):
     assert any("[assign]" in (r.text or "") for r in after) and not any(base_spans(re.sub(r"\[(assign|access|hex)\]", " ", r.text or "")) for r in after)
     before, after = seen["packing"]
     assert {r.doc_id for r in after} == {r.doc_id for r in before}
+
+
+def test_empty_table_and_null_ids(spark, tmp_path):
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    for name, rows in (("none", []), ("nulls", [(None, "some words of a text", None, None, None, "a", "b")] * 2 + [(None, None, None, None, None, "a", "b"), (3, "", None, None, 0, "a", "b")])):
+        path = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, DOCS).write.parquet(f"{path}/documents.parquet")
+        labels.write.parquet(f"{path}/labels.parquet")
+        got = pipeline.run(spark, path).collect()
+        # rows without an id have no copies to be told by, so each stays and is packed
+        assert len(got) == len(rows) and sum(r.length for r in got) == sum(r.doc_tokens for r in got)
