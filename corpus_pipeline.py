@@ -18,16 +18,22 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose whole text the chain calls toxic go; null and empty texts, repeated rows and rows without an id are judged like any other.
+    Without labels nothing is toxic; an empty table stays empty; columns other than those of documents are dropped."""
     found = toxicity.judged(docs.select(*COLUMNS), load(spark, sf_dir, "labels"))
     return found.where("not toxic").select(*COLUMNS)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the rows with the smallest id stay.  Rows that share an id are one document, so they stay or go
+    together; rows without an id, and texts without words (null, empty), have no copies and stay; an empty table stays empty."""
     gone = near_dup.near_duplicates(docs).where("not kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row stays, without the bytes that repeat an earlier document's; rows without an id come first, and rows repeated with
+    one id and text lose the same bytes.  Null and short texts stay as they are; an empty table stays empty."""
     left = suffix_dedup.remove_repeats(docs, keep=("lang", "source", "text"))
     # a text that lost nothing stays as it was, null too
     text = F.when(F.size("spans") == 0, F.col("text")).otherwise(whole_characters(F.col("kept")))
@@ -40,10 +46,14 @@ def whole_characters(data):
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row stays, with each secret's characters replaced by its kind; rows with one text are scanned once.  Null texts stay
+    null; rows repeated or without an id are treated like any other; an empty table stays empty."""
     return secret_scan.redacted(docs.select(*COLUMNS), table(secret_scan.scan_new(docs), "ledger"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row a piece of a sequence of 2048 tokens, without the ids themselves.  A null text is packed as an empty one; rows repeated or
+    without an id are packed as often as they stand; an empty table gives no pieces."""
     import public_tokenizers as tokenizers
 
     return packing.pack_digests(packing.pack(docs, tokenizers.path("byte_bpe_50k.json"), 2048, 1, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN))
