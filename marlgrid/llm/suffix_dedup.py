@@ -401,10 +401,15 @@ def _pieces(length: int, parts: int, salts: int):
     return run
 
 
-def _pointers(high: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """Ranks of the pairs (high, low) of ranks below 2**32: one sort on the pair."""
-    key = (high.astype(U) << U(32)) | low.astype(U)
-    return np.unique(key, return_inverse=True)[1]
+def _ranks(key: np.ndarray) -> np.ndarray:
+    """The place of each value among the distinct ones, in order: one sort."""
+    order = np.argsort(key)
+    key = key[order]
+    rank = np.zeros(len(key), np.uint32)
+    np.cumsum(key[1:] != key[:-1], out=rank[1:])
+    pointer = np.empty_like(rank)
+    pointer[order] = rank
+    return pointer
 
 
 def later_strings(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
@@ -422,13 +427,14 @@ def later_strings(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarr
     eight = np.zeros(n, U)
     for k in range(have):
         eight |= data[k : k + n].astype(U) << U(8 * k)
-    pointer = np.unique(eight, return_inverse=True)[1]
-    places, size = np.arange(n), n  # the places that have a pointer, in order
+    pointer = _ranks(eight)
+    del eight
+    places, size = np.arange(n, dtype=np.int32), n  # the places that have a pointer, in order
     while True:
         # settle strings that hold a lone suffix
-        alone = np.zeros(size + 1, np.int64)
-        alone[1:][places] = np.bincount(pointer)[pointer] == 1
-        alone = np.cumsum(alone)
+        alone = np.zeros(size + 1, np.int32)
+        alone[1:][places] = (np.bincount(pointer) == 1)[pointer]
+        np.cumsum(alone, out=alone)
         s = starts[live]
         live = live[alone[s + length - have + 1] == alone[s]]
         if have == length or not len(live):
@@ -437,14 +443,16 @@ def later_strings(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarr
         s = starts[live]
         # only places inside the strings that are left are refined further
         need = np.bincount(s, minlength=size + 1) - np.bincount(s + length - have - step + 1, minlength=size + 1)
-        new = np.flatnonzero(np.cumsum(need[:-1]))
-        index = np.full(size, -1)
-        index[places] = np.arange(len(places))
-        pointer = _pointers(pointer[index[new]], pointer[index[new + step]])
+        new = np.flatnonzero(np.cumsum(need[:-1])).astype(np.int32)
+        del need
+        index = np.zeros(size, np.int32)
+        index[places] = np.arange(len(places), dtype=np.int32)
+        # the pair of a suffix's own pointer and that of the one `step` later
+        pointer = _ranks((pointer[index[new]].astype(U) << U(32)) | pointer[index[new + step]])
         places, have = new, have + step
     if len(live):
-        index = np.full(size, -1)
-        index[places] = np.arange(len(places))
+        index = np.zeros(size, np.int32)
+        index[places] = np.arange(len(places), dtype=np.int32)
         bucket = pointer[index[starts[live]]]
         order = np.argsort(bucket, kind="stable")
         later = np.concatenate([[False], bucket[order][1:] == bucket[order][:-1]])
@@ -537,7 +545,7 @@ def _ranges_by_doc(part: tuple, table_: pa.Table) -> pa.Table:
 
 
 #: Bytes of text behind a part of the buckets; its packed members are about as large.
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 #: Null ids stand below every other.
 NULL_DOC = -(1 << 63)
 
