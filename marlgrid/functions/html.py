@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Elements whose content is left out, and those whose end begins a new paragraph.
 SKIPPED = frozenset("script style nav header footer aside noscript svg".split())
-BLOCKS = frozenset("p div section article main ul ol li table tr td th blockquote pre br hr h1 h2 h3 h4 h5 h6".split())
+BLOCKS = frozenset("p div li ul ol blockquote pre section article".split())
 HEADINGS = {f"h{i}": i for i in range(1, 7)}
 
 
 class _Reader(HTMLParser):
+    """Text, headings and title.  A paragraph ends where a block element ends and on both sides of a heading; `br` is one line break."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.skipping, self.pieces, self.headings, self.title = 0, [], [], None
@@ -23,45 +28,56 @@ class _Reader(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in SKIPPED:
             self.skipping += 1
-        elif not self.skipping:
-            if tag in HEADINGS:
-                self._heading = (HEADINGS[tag], dict(attrs).get("id"), [])
-            if tag in BLOCKS:
-                self.pieces.append("\n\n")
-        if tag == "title" and self.title is None:
+        elif self.skipping:
+            return
+        elif tag == "title":
             self._title = []
+        elif tag == "br":
+            self.pieces.append("\n")
+        elif tag in HEADINGS:
+            self._heading = (HEADINGS[tag], dict(attrs).get("id"), [])
+
+    def handle_startendtag(self, tag, attrs):
+        # an element without content: nothing opens that would have to end
+        if tag not in SKIPPED:
+            self.handle_starttag(tag, attrs)
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
         if tag in SKIPPED:
             self.skipping = max(0, self.skipping - 1)
-        elif not self.skipping:
-            if tag in HEADINGS and self._heading:
+        elif self.skipping:
+            return
+        elif tag == "title":
+            self.title, self._title = "".join(self._title or []).strip() or None, None
+        elif tag in HEADINGS:
+            if self._heading:
                 level, anchor, parts = self._heading
-                said = " ".join("".join(parts).split())
-                if said:
+                if said := "".join(parts).strip():
                     self.headings.append((level, anchor, said))
-                self._heading = None
-            if tag in BLOCKS:
-                self.pieces.append("\n\n")
-        if tag == "title" and self._title is not None:
-            self.title, self._title = " ".join("".join(self._title).split()), None
+                    self.pieces += ["\n\n", said, "\n\n"]
+            self._heading = None
+        elif tag in BLOCKS:
+            self.pieces.append("\n\n")
 
     def handle_data(self, data):
+        if self.skipping:
+            return
         if self._title is not None:
             self._title.append(data)
-        elif not self.skipping:
-            self.pieces.append(data)
-            if self._heading:
-                self._heading[2].append(data)
+        elif self._heading:
+            self._heading[2].append(data)
+        else:
+            self.pieces.append(unescape(data))
 
 
-def read_html(raw: str | None) -> tuple[str, str, list[tuple[int, str | None, str]]]:
-    """(title, text, headings): text in paragraphs with a blank line between, white space collapsed; what is skipped leaves nothing."""
+def read_html(raw: str | None) -> tuple[str | None, str, list[tuple[int, str | None, str]]]:
+    """(title, text, headings): runs of blanks and tabs become one space, more than one empty line becomes one; what is skipped leaves nothing."""
     reader = _Reader()
     reader.feed(raw or "")
     reader.close()
-    paragraphs = (" ".join(p.split()) for p in re.split(r"\n{2,}", "".join(reader.pieces)))
-    return reader.title or "", "\n\n".join(p for p in paragraphs if p), reader.headings
+    text = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", "".join(reader.pieces))).strip()
+    return reader.title, text, reader.headings
 
 
 def heading_chunks(text: str, headings: list[tuple[int, str | None, str]], target_tokens: int = 1500, overlap_tokens: int = 150) -> list[tuple[int, str, int, list[str]]]:
@@ -115,6 +131,20 @@ def parsed_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     return pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).mapInPandas(run, "id long, title string, text string, headings array<struct<level:int,anchor:string,said:string>>, error string").withColumnRenamed("id", id_col)
 
 
+def corpus_counts(pages: DataFrame, parsed: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """(corpus, kept, skipped, failed) of pages (id, corpus, bearing): those that don't bear skills are skipped, those whose parse has an error failed."""
+    told = pages.join(parsed.select(id_col, F.col("error")), id_col, "left")
+    bad = F.col("error").isNotNull()
+    return told.groupBy("corpus").agg(F.count_if(F.col("bearing") & ~bad).alias("kept"), F.count_if(~F.col("bearing")).alias("skipped"), F.count_if(F.col("bearing") & bad).alias("failed"))
+
+
+def merged_counts(*parts: DataFrame) -> DataFrame:
+    """(corpus, kept, skipped, failed, total, share) of corpus_counts() of several sites or clouds: counts of one corpus are added up."""
+    every = reduce(DataFrame.unionByName, parts).groupBy("corpus").agg(*[F.sum(c).alias(c) for c in ("kept", "skipped", "failed")])
+    total = F.col("kept") + F.col("skipped") + F.col("failed")
+    return every.withColumn("total", total).withColumn("share", F.round(F.when(F.col("total") > 0, F.col("kept") / F.col("total")).otherwise(0.0), 6))
+
+
 def page_chunks(parsed: DataFrame, id_col: str = "page_id", target_tokens: int = 1500, overlap_tokens: int = 150) -> DataFrame:
     """(id, chunk_index, starts_at_word, token_count, headings_path, chunk_text) of parsed pages."""
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlgrid.operators.staging import cut
+
 
 def table_profiles(rows: DataFrame) -> DataFrame:
     """claims (subject, predicate, object_ref, value_text, observed_at_ms) by table: newest row count, sorted columns, columns with nulls."""
@@ -46,17 +48,38 @@ def visible(name: Column, allow: Sequence[str], block: Sequence[str], blocked_pr
     return out
 
 
-def signature(df: DataFrame, id_col: str, hash_col: str) -> DataFrame:
-    """One digest of all hashes in id order: digests of id ranges first, so that no task holds them all."""
-    part = F.substring(F.sha2(F.col(id_col).cast("string"), 256), 1, 2)
-    blocks = df.groupBy(part.alias("block")).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(id_col, hash_col))), lambda r: r[hash_col]), ","), 256).alias("d"))
-    return blocks.agg(F.count("*").alias("n_blocks"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "d"))), lambda r: r["d"]), ","), 256).alias("signature"))
+def signature(df: DataFrame, id_col: str, hash_col: str, spread: int = 1 << 16) -> DataFrame:
+    """(n_blocks, signature): one digest of all rows in id order, whatever their partitions.
+
+    Rows fall into ranges of `spread` ids (ids are integers, one hash each); a range has one digest over its hashes in id order,
+    and the whole one over those of the ranges in order.  A range's rows are bounded, and the ranges, one short row each, are
+    digested again in ranges of themselves until one is left.
+    """
+    level = df.select((F.col(id_col).cast("long")).alias("id"), F.col(hash_col).alias("h"))
+    n_blocks, joined = None, F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "h"))), lambda r: r["h"]), ""), 256)
+    while True:
+        level = level.groupBy(F.floor(F.col("id") / spread).cast("long").alias("id")).agg(joined.alias("h"))
+        level = cut(level)
+        n = level.count()
+        n_blocks = n if n_blocks is None else n_blocks
+        if n <= spread:
+            break
+    return level.agg(F.lit(n_blocks).cast("long").alias("n_blocks"), F.coalesce(joined, F.sha2(F.lit(""), 256)).alias("signature"))
+
+
+def ordered_signature(df: DataFrame, id_col: str, hash_col: str, most: int = 1_000_000) -> DataFrame:
+    """(signature): the SHA-256 of all hashes one after another in id order.  A single stream by its definition, so for tables of
+    names and not of data: one of more than `most` rows is refused, and signature() takes it."""
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(hash_col, F.lit("")).alias("h"))
+    if len(rows.limit(most + 1).groupBy().count().where(F.col("count") > most).take(1)):
+        raise ValueError(f"more than {most} rows: use signature()")
+    return rows.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "h"))), lambda r: r["h"]), ""), 256).alias("signature"))
 
 
 def containment(rows: DataFrame) -> DataFrame:
-    """(parent, n_children, children): BELONGS_TO claims as an adjacency list, children sorted, the first 100 shown."""
-    up = rows.where("predicate = 'BELONGS_TO'")
-    return up.groupBy(F.col("object_ref").alias("parent")).agg(F.countDistinct("subject").alias("n_children"), F.array_join(F.slice(F.sort_array(F.collect_set("subject")), 1, 100), ",").alias("children"))
+    """(parent, n_children, children): BELONGS_TO claims as an adjacency list, all children in order."""
+    up = rows.where("predicate = 'BELONGS_TO'").select(F.col("object_ref").alias("parent"), "subject").distinct()
+    return up.groupBy("parent").agg(F.count("*").alias("n_children"), F.array_join(F.sort_array(F.collect_list("subject")), ",").alias("children"))
 
 
 def multi_query_evidence(hits: DataFrame, provenance: DataFrame) -> DataFrame:

@@ -6,22 +6,11 @@ checkpoint folder.
 
 from __future__ import annotations
 
-import os
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlgrid.operators.relational import latest_per_key, symmetric
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the folder that spark.checkpoint.dir names; one under /tmp where it is unset."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{os.getpid()}")
-    return df.checkpoint()
+from marlgrid.operators.staging import cut, numbered
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = 2) -> DataFrame:
@@ -36,8 +25,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = 2) -> DataFrame:
         met = frontier.join(edges, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node"), "predicate", "rank", "ordinal")
         new = latest_per_key(met.join(seen, ["seed", "node"], "left_anti"), ["seed", "node"], [F.asc("rank"), F.asc("ordinal")])
         # the order in which nodes were reached is the order in which they are left
-        new = new.withColumn("rank", F.row_number().over(Window.partitionBy("seed").orderBy("rank", "ordinal")).cast("long"))
-        new = cut(new)
+        new = cut(numbered(new, ["rank", "ordinal", "seed", "node"]).withColumn("rank", F.col("position").cast("long")).drop("position"))
         hop = new.select("seed", "node", F.lit(depth).cast("long").alias("depth"), "predicate", F.lit(1.0 / depth).alias("score"))
         found = hop if found is None else found.unionByName(hop)
         seen = seen.unionByName(new.select("seed", "node"))
@@ -77,29 +65,27 @@ def decayed_walk(edges: DataFrame, seeds: DataFrame, max_depth: int = 4, decay:
     return out if most is None else out.orderBy(F.desc("score"), "node").limit(most)
 
 
-def ppr(edges: DataFrame, personalization: DataFrame, alpha: float = 0.15, tolerance: float = 1e-6, rounds: int = 100, fixed: bool = False, weighted: bool = False, local_size: int | None = None) -> DataFrame:
-    """(node, score): personalised PageRank by power iteration.
+def ppr(edges: DataFrame, personalization: DataFrame, alpha: float = 0.15, tolerance: float = 1e-6, rounds: int = 100, fixed: bool = False, weighted: bool = False) -> DataFrame:
+    """(node, score): personalised PageRank by power iteration, as joins at every size.
 
     alpha is the teleport share; personalization (node, mass) sums to 1.  All nodes start at 1/N; parallel edges count
     separately, or by weight where `weighted`; the mass of nodes without outgoing edges goes to all nodes alike.  Stops when the
-    scores move by less than tolerance in total, or after `rounds`; with `fixed` it runs them all without looking.  Graphs of at
-    most local_size (LOCAL_SIZE where None) nodes and links are iterated in memory.
+    scores move by less than tolerance in total, or after `rounds`; with `fixed` it runs them all without looking.
     """
     links = edges.select("src", "dst", (F.col("weight") if weighted else F.lit(1.0)).alias("w"))
     # parallel edges are added up before any round
-    links = links.groupBy("src", "dst").agg(F.sum("w").alias("w"))
-    links = cut(links.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy("src"))).select("src", "dst", "share"))
+    links = cut(links.groupBy("src", "dst").agg(F.sum("w").alias("w")))
+    # a table of its own, so that the links of a hub can be split when it is joined back
+    out = cut(links.groupBy("src").agg(F.sum("w").alias("total")))
+    links = cut(links.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")))
     nodes = links.select(F.col("src").alias("node")).unionByName(links.select(F.col("dst").alias("node"))).unionByName(personalization.select("node")).distinct()
-    out = links.select(F.col("src").alias("node")).distinct().withColumn("leads", F.lit(True))
-    base = nodes.join(out, "node", "left").join(personalization.groupBy("node").agg(F.sum("mass").alias("mass")), "node", "left").select("node", F.coalesce("leads", F.lit(False)).alias("leads"), F.coalesce("mass", F.lit(0.0)).alias("mass"))
+    leads = out.select(F.col("src").alias("node"), F.lit(True).alias("leads"))
+    base = nodes.join(leads, "node", "left").join(personalization.groupBy("node").agg(F.sum("mass").alias("mass")), "node", "left").select("node", F.coalesce("leads", F.lit(False)).alias("leads"), F.coalesce("mass", F.lit(0.0)).alias("mass"))
     base = cut(base)
-    n = base.count()
+    n, ends = base.agg(F.count("*"), F.count_if(~F.col("leads"))).first()
     if not n:
         return base.select("node", F.lit(0.0).alias("score"))
-    most = LOCAL_SIZE if local_size is None else local_size
-    if n <= most and links.limit(most + 1).count() <= most:
-        return _local_ppr(base, links, alpha, tolerance, rounds, fixed)
-    scores, lost = base.withColumn("score", F.lit(1.0 / n)), base.where("not leads").count() / n
+    scores, lost = base.withColumn("score", F.lit(1.0 / n)), ends / n
     for _ in range(rounds):
         got = scores.join(links, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
         moved = scores.join(got, F.col("node") == F.col("to"), "left")
@@ -113,29 +99,10 @@ def ppr(edges: DataFrame, personalization: DataFrame, alpha: float = 0.15, toler
     return scores.select("node", "score")
 
 
-#: Graphs of at most so many nodes and links are iterated in memory, with the same steps; larger ones as joins.
-LOCAL_SIZE = 200_000
-
-
-def _local_ppr(base: DataFrame, links: DataFrame, alpha: float, tolerance: float, rounds: int, fixed: bool) -> DataFrame:
-    nodes, edges = base.toPandas().sort_values("node", ignore_index=True), links.toPandas()
-    place = pd.Series(nodes.index, index=nodes["node"])
-    src, dst, share = place[edges["src"]].to_numpy(), place[edges["dst"]].to_numpy(), edges["share"].to_numpy()
-    leads, mass, n = nodes["leads"].to_numpy(), nodes["mass"].to_numpy(), len(nodes)
-    score = np.full(n, 1.0 / n)
-    for _ in range(rounds):
-        got = np.bincount(dst, score[src] * share, n) if len(src) else np.zeros(n)
-        after = (1 - alpha) * (got + score[~leads].sum() / n) + alpha * mass
-        delta, score = np.abs(after - score).sum(), after
-        if delta < tolerance and not fixed:
-            break
-    return base.sparkSession.createDataFrame(pd.DataFrame({"node": nodes["node"], "score": score}), base.select("node", F.lit(0.0).alias("score")).schema)
-
-
-def has_cycle(edges: DataFrame, rounds: int = 10_000) -> bool:
+def has_cycle(edges: DataFrame) -> bool:
     """Whether a directed graph has a cycle: nodes that nothing leads to are taken away until none are left or none go."""
     left = edges.select("src", "dst").distinct()
-    for _ in range(rounds):
+    while True:
         inner = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"))
         kept = inner.count()
         if not kept:
@@ -143,4 +110,3 @@ def has_cycle(edges: DataFrame, rounds: int = 10_000) -> bool:
         if kept == left.count():
             return True
         left = inner
-    raise RuntimeError("the graph is deeper than the rounds allowed")

@@ -1,22 +1,70 @@
-"""Table profiles: one pass for all columns, candidate keys, claims, pivots, readiness and feature rules."""
+"""Table profiles: one pass for all columns of all tables, candidate keys, claims, pivots, readiness and feature rules."""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marlgrid.operators.staging import cut
+
 SKIPPED = (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.VariantType)
 
 
+def _fields(df: DataFrame, most: int) -> list[T.StructField]:
+    return [f for f in df.schema if not isinstance(f.dataType, SKIPPED)][:most]
+
+
+def described(tables: Mapping[str, DataFrame], most: int = 20) -> DataFrame:
+    """(table_name, column_name, ordinal, data_type) of the first `most` columns of plain types of each table: the schemas alone, no rows are read."""
+    rows = [(name, f.name, i, f.dataType.simpleString()) for name, df in tables.items() for i, f in enumerate(_fields(df, most))]
+    spark = next(iter(tables.values())).sparkSession
+    return spark.createDataFrame(rows, "table_name string, column_name string, ordinal long, data_type string")
+
+
+def profiles(tables: Mapping[str, DataFrame], most: int = 20) -> DataFrame:
+    """(table_name, column_name, ordinal, data_type, row_count, null_count, distinct_count) for the first `most` columns of plain types of each table.
+
+    Each table is read once.  A row becomes one short row for each column, (column number, value); those are counted by value with
+    partial counts before the shuffle, and the counts by column.  So distinct counts are exact, and no row travels once for each of its columns.  The result is written once.
+    """
+    parts, number, names = [], 0, []
+    for name, df in tables.items():
+        own = _fields(df, most)
+        cells = []
+        for f in own:
+            value = F.col(f"`{f.name}`")
+            # -0.0 and 0.0 are one value
+            value = (value + 0.0).cast(f.dataType) if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else value
+            cells.append(F.struct(F.lit(number).alias("c"), value.cast("string").alias("v")))
+            names.append((number, name, f.name, f.dataType.simpleString()))
+            number += 1
+        if own:
+            parts.append(df.select(F.explode(F.array(*cells)).alias("x")).select("x.c", "x.v"))
+    columns = described(tables, most)
+    if not parts:
+        return columns.select("*", *[F.lit(0).cast("long").alias(c) for c in ("row_count", "null_count", "distinct_count")])
+    by_value = reduce(DataFrame.unionByName, parts).groupBy("c", "v").agg(F.count("*").alias("n"))
+    counts = by_value.groupBy("c").agg(F.sum("n").alias("row_count"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("null_count"), F.count("v").alias("distinct_count"))
+    spark = columns.sparkSession
+    numbered_ = spark.createDataFrame([(n, t, c) for n, t, c, _ in names], "c int, table_name string, column_name string")
+    told = columns.join(numbered_.join(counts, "c", "left"), ["table_name", "column_name"], "left")
+    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("row_count", "null_count", "distinct_count")]
+    return cut(told.select("table_name", "column_name", "ordinal", "data_type", *zero))
+
+
 def profile(df: DataFrame, name: str, most: int = 20) -> DataFrame:
-    """(table_name, column_name, ordinal, data_type, row_count, null_count, distinct_count) for the first `most` columns of plain types.
+    """profiles() of one table."""
+    return profiles({name: df}, most)
 
-    One aggregation with two expressions a column; exact distinct counts."""
-    own = [f for f in df.schema if not isinstance(f.dataType, SKIPPED)][:most]
-    one = df.agg(F.count("*").alias("n"), *[F.count(F.col(f"`{f.name}`")).alias(f"c{i}") for i, f in enumerate(own)], *[F.countDistinct(F.col(f"`{f.name}`")).alias(f"d{i}") for i, f in enumerate(own)])
-    rows = F.array(*[F.struct(F.lit(f.name).alias("column_name"), F.lit(i).cast("long").alias("ordinal"), F.lit(f.dataType.simpleString()).alias("data_type"), (F.col("n") - F.col(f"c{i}")).alias("null_count"), F.col(f"d{i}").alias("distinct_count")) for i, f in enumerate(own)])
-    return one.select("n", F.explode(rows).alias("r")).select(F.lit(name).alias("table_name"), "r.column_name", "r.ordinal", "r.data_type", F.col("n").alias("row_count"), "r.null_count", "r.distinct_count")
+
+def schema_rollup(profiles_: DataFrame, family: Column) -> DataFrame:
+    """(family, n_tables, n_rows, n_columns, tables) of profiles, by a family that is told from the table's name."""
+    by_table = profiles_.groupBy("table_name").agg(F.max("row_count").alias("n"), F.count("*").alias("c"))
+    return by_table.groupBy(family.alias("family")).agg(F.count("*").alias("n_tables"), F.sum("n").alias("n_rows"), F.sum("c").alias("n_columns"), F.array_join(F.sort_array(F.collect_list("table_name")), ",").alias("tables"))
 
 
 def candidate_keys(profiles: DataFrame) -> DataFrame:
@@ -41,10 +89,16 @@ def claims(profiles: DataFrame, catalog: str, schema: str, observed_at_ms: int)
     )
     keys = candidate_keys(profiles).select(table.alias("subject"), F.lit("GRAIN_CHECK").alias("predicate"), F.lit(None).cast("string").alias("object_ref"), F.col("keys").alias("value_text"))
     a = profiles.select(F.explode(of_column).alias("c")).select("c.*")
-    b = profiles.select("table_name", "row_count").distinct().select(F.explode(of_table).alias("c")).select("c.*")
+    b = profiles.groupBy("table_name").agg(F.max("row_count").alias("row_count")).select(F.explode(of_table).alias("c")).select("c.*")
     return a.unionByName(b).unionByName(keys).withColumn("observed_at_ms", F.lit(observed_at_ms).cast("long"))
 
 
+def structure_claims(columns: DataFrame, catalog: str, schema: str, observed_at_ms: int) -> DataFrame:
+    """The claims that need no counts, of described(): EXISTS, BELONGS_TO and HAS_COLUMN."""
+    empty = columns.select("*", *[F.lit(0).cast("long").alias(c) for c in ("row_count", "null_count", "distinct_count")])
+    return claims(empty, catalog, schema, observed_at_ms).where("predicate in ('EXISTS', 'BELONGS_TO', 'HAS_COLUMN')")
+
+
 def pivoted(rows: DataFrame) -> DataFrame:
     """(subject, row_count, n_columns, grain): claims of tables, one row a subject; counts are numbers before they are compared, the newest holds."""
     number = F.col("value_text").try_cast("long")
@@ -65,7 +119,7 @@ def validation_bucket(seed: str, key: Column, percent: int = 20) -> Column:
 
 
 # Metrics where less is better.
-LOWER_IS_BETTER = ("rmse", "mae", "mse", "mape", "log_loss", "loss", "error_rate")
+LOWER_IS_BETTER = ("rmse", "mae", "mape", "log_loss", "false_positive_rate")
 
 
 def metric_passes(metric: Column, value: Column, floor: Column) -> Column:
@@ -73,7 +127,10 @@ def metric_passes(metric: Column, value: Column, floor: Column) -> Column:
 
 
 def support_matrix(evidence: DataFrame, phases: list[str], most: int = 8) -> DataFrame:
-    """evidence (system, phase, status, ref) as one row for each system: every phase's status, `not_observed` by default, and at most `most` distinct references."""
+    """evidence (system, phase, status, ref) as one row for each system: every phase's status, `not_observed` by default, at most `most` distinct
+    references, and a confidence by the share of phases that were observed."""
     wide = evidence.groupBy("system").pivot("phase", phases).agg(F.max("status"))
     refs = evidence.groupBy("system").agg(F.array_join(F.slice(F.sort_array(F.collect_set("ref")), 1, most), ",").alias("evidence"))
-    return wide.select("system", *[F.coalesce(F.col(p), F.lit("not_observed")).alias(p) for p in phases]).join(refs, "system")
+    seen = reduce(lambda a, b: a + b, [F.col(p).isNotNull().cast("int") for p in phases])
+    label = F.when(seen == len(phases), "high").when(seen > 0, "medium").otherwise("low")
+    return wide.withColumn("confidence", label).select("system", *[F.coalesce(F.col(p), F.lit("not_observed")).alias(p) for p in phases], "confidence").join(refs, "system")

@@ -9,8 +9,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marlgrid.functions.text import claim_text, jaccard, token_set
+from marlgrid.operators.claims import mentions
 from marlgrid.operators.graph import bfs, decayed_walk, ppr
 
 
@@ -71,7 +73,7 @@ def dual_search(query: str, workspace: DataFrame, capability: DataFrame, edges:
     (authority_weight, 0.85 where missing; the workspace's is 1), ranked together; a subject in both goes to the one with the
     higher weighted score, to the workspace in a tie."""
     sides = []
-    for name, claims, weight in (("workspace", workspace, F.lit(1.0)), ("capability", capability, F.coalesce(F.col("authority_weight").cast("double"), F.lit(0.85)))):
+    for name, claims, weight in (("workspace", workspace, F.lit(1.0)), ("capability", capability, F.coalesce(numeric(capability, "authority_weight"), F.lit(0.85)))):
         found = lexical(query, claims, s.seed_ceiling)
         sides.append(found.select("claim_id", "subject", "predicate", "ordinal", (F.col("score") * weight).alias("score"), F.lit(name).alias("substrate")))
     both = sides[0].unionByName(sides[1])
@@ -83,6 +85,16 @@ def dual_search(query: str, workspace: DataFrame, capability: DataFrame, edges:
     return ranked.select("subject", "substrate", (s.w_doc * F.col("lexical") + (1 - s.w_doc) * F.col("rank")).alias("score"), "rank").orderBy(F.desc("score"), "subject").limit(k)
 
 
+def numeric(df: DataFrame, column: str) -> Column:
+    """The column as a double where its type is a number's; null for every other type, booleans and strings of digits too, and where it is absent.
+
+    Of a variant column each row's own type counts."""
+    kind = next((f.dataType for f in df.schema if f.name == column), None)
+    if isinstance(kind, T.VariantType):
+        return F.when(F.expr(f"schema_of_variant({column})").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.expr(f"try_variant_get({column}, '$', 'double')"))
+    return F.col(column).cast("double") if isinstance(kind, T.NumericType) else F.lit(None).cast("double")
+
+
 def mismatches(a: DataFrame, b: DataFrame) -> DataFrame:
     """Subjects for which the two substrates hold the same predicate with different values."""
     other = b.select("subject", "predicate", F.col("value_json").alias("other"))
@@ -101,6 +113,46 @@ def vector_top_k(vectors: DataFrame, query: DataFrame, k: int = 20, id_col: str
     return vectors.join(one).select(id_col, cosine(F.col(vector_col), F.col("q")).alias("score")).where("score is not null").orderBy(F.desc("score"), id_col).limit(min(max(1, k), 20))
 
 
+def lookup(chunks: DataFrame, found: DataFrame, known: DataFrame) -> DataFrame:
+    """(predicate, subject, chunk_id, confidence, text): a document's chunks (document_id, chunk_id, chunk_text) as CONTENT claims, and what was
+    found in them (chunk_id, target, confidence) as MENTIONS of known targets; malformed and unknown ones are QUESTION rows, with the reason as text."""
+    content = chunks.select(F.lit("CONTENT").alias("predicate"), F.col("document_id").alias("subject"), "chunk_id", F.lit(None).cast("double").alias("confidence"), F.col("chunk_text").alias("text"))
+    good, questions = mentions(found.join(chunks.select("chunk_id"), "chunk_id", "left_semi"), known)
+    said = good.select(F.lit("MENTIONS").alias("predicate"), F.col("target").alias("subject"), "chunk_id", "confidence", F.lit(None).cast("string").alias("text"))
+    asked = questions.select(F.lit("QUESTION").alias("predicate"), F.col("target").alias("subject"), "chunk_id", "confidence", F.col("reason").alias("text"))
+    return content.unionByName(said).unionByName(asked)
+
+
+def top_label(vectors: DataFrame, queries: DataFrame, label: str, most: int = 100, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, top_id): for each of a fixed list of queries (query_id, q) the label of the nearest other vector by cosine, ties to the smaller id.
+
+    The list is refused above `most` queries, so it can stand in the plan of one scan; each query keeps one row a task."""
+    asked = queries.limit(most + 1).collect()
+    if len(asked) > most:
+        raise ValueError(f"more than {most} queries")
+    if not asked:
+        return queries.select("query_id", F.lit(None).cast("string").alias("top_id"))
+    each = F.explode(F.array(*[F.struct(F.lit(r["query_id"]).alias("query_id"), F.array(*[F.lit(float(x)) for x in r["q"]]).alias("q")) for r in asked])).alias("a")
+    met = vectors.select(id_col, label, vector_col, each).where(F.col(id_col) != F.col("a.query_id"))
+    scored = met.select(F.col("a.query_id").alias("query_id"), F.struct(cosine(F.col(vector_col), F.col("a.q")).alias("s"), (-F.col(id_col)).alias("v"), F.col(label).alias("label")).alias("r"))
+    return scored.groupBy("query_id").agg(F.max("r")["label"].alias("top_id"))
+
+
+def similar_neighbours(hits: DataFrame, entity_id: str, near: int = 5) -> DataFrame:
+    """(entity_id, label, relation, hop) of vector hits (entity_id, meta_skill_id, chunk_text, score) where no edges are at hand.
+
+    A hit under the entity's own parent is a sibling, any other one a mention; siblings and the first `near` are one hop away.
+    The entity itself, hits without an id and repeated ones are left out."""
+    parent = entity_id.split("/")[0] if "/" in entity_id else ""
+    once = hits.where((F.coalesce("entity_id", F.lit("")) != "") & (F.col("entity_id") != entity_id))
+    best = once.groupBy("entity_id").agg(F.max(F.struct("score", "meta_skill_id", "chunk_text")).alias("b")).select("entity_id", "b.*")
+    # at most the hits of one search
+    place = F.row_number().over(Window.orderBy(F.desc("score"), "entity_id"))
+    sibling = F.coalesce((F.col("meta_skill_id") != "") & (F.col("meta_skill_id") == parent), F.lit(False))
+    told = best.withColumn("place", place)
+    return told.select("entity_id", F.nullif(F.substring(F.coalesce("chunk_text", F.lit("")), 1, 60), F.lit("")).alias("label"), F.when(sibling, "sibling").otherwise("mentions").alias("relation"), F.when(sibling | (F.col("place") <= near), 1).otherwise(2).alias("hop"))
+
+
 def ask_context(hits: DataFrame, edges: DataFrame, texts: DataFrame, seeds: int = 5, fetched: int = 15, context: int = 12) -> DataFrame:
     """(node, score, source, text): the hits, then the neighbours of the best ones by decayed walk with their text, once each; the first `context`."""
     best = hits.orderBy(F.desc("score"), "node").limit(seeds).select("node")

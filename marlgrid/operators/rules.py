@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlgrid.operators.evaluate import reason_codes
+from marlgrid.operators.staging import numbered
 
 # Names that hint at targets, keys and time; problem families.
 LABEL_HINTS = "label|target|churn|fraud|outcome|is_|has_|flag|score"
@@ -53,14 +54,84 @@ def candidate_confidence(base: Column, ready: Column, has_key: Column, has_time:
 
 
 def ranked_candidates(rows: DataFrame, levels: Sequence[str] = ("ready", "needs_input", "blocked")) -> DataFrame:
-    """rows (readiness, confidence, title) with rank from 1: by readiness, confidence, title."""
+    """rows (readiness, confidence, title) with rank from 1: by readiness, confidence, title; range partitions are ranked on their own."""
     order = F
     for i, level in enumerate(levels):
         order = order.when(F.col("readiness") == level, i)
-    from pyspark.sql import Window
-
-    w = Window.orderBy(order.otherwise(len(levels)), F.desc("confidence"), "title")
-    return rows.withColumn("rank", F.row_number().over(w).cast("long"))
+    placed = numbered(rows.withColumn("_level", order.otherwise(len(levels))), [F.asc("_level"), F.desc("confidence"), F.asc("title")])
+    return placed.withColumnRenamed("position", "rank").withColumn("rank", F.col("rank").cast("long")).drop("_level")
+
+
+def proposals(starters: DataFrame) -> DataFrame:
+    """starters (starter_id, proposals array<struct<title, readiness, confidence, evidence_tables>>) as one row a proposal, those without any left out."""
+    return starters.select("starter_id", F.explode("proposals").alias("p")).select("starter_id", "p.*")
+
+
+def evidence_tables(proposals_: DataFrame, tables: DataFrame) -> DataFrame:
+    """(proposal_id, place, table_name, table_ref, row_count): a proposal's tables among those that it names, larger ones first.
+
+    proposals: proposal_id, names array<string>; tables: table_ref, table_name (its last part where null), row_count."""
+    named = tables.withColumn("table_name", F.coalesce("table_name", F.substring_index("table_ref", ".", -1)))
+    wanted = proposals_.select("proposal_id", F.explode(F.array_distinct("names")).alias("table_name"))
+    met = wanted.join(named, "table_name").withColumn("row_count", F.coalesce("row_count", F.lit(0)).cast("long"))
+    w = Window.partitionBy("proposal_id").orderBy(F.desc("row_count"), "table_name", "table_ref")
+    return met.select("proposal_id", F.row_number().over(w).cast("long").alias("place"), "table_name", "table_ref", "row_count")
+
+
+# What a training run of each kind must be given.
+_COMMON = ("feature_table_or_training_set", "evaluation_metric", "split_policy")
+BINDINGS = {
+    "classification": (*_COMMON, "target_column", "primary_key"),
+    "regression": (*_COMMON, "target_column", "primary_key"),
+    "forecasting": (*_COMMON, "target_column", "time_column", "entity_key", "forecast_horizon"),
+    "ranking": (*_COMMON, "response_label", "entity_key", "candidate_item_key"),
+    "segmentation": ("feature_table_or_training_set", "cluster_count_or_selection_policy", "primary_key"),
+    "anomaly_detection": ("feature_table_or_training_set", "entity_key", "threshold_policy"),
+    "text_or_genai": ("evaluation_set", "retrieval_corpus_or_endpoint", "quality_metrics"),
+}
+
+
+def strategy(rows: DataFrame) -> DataFrame:
+    """rows (id, problem, problem_status, feature_status, model_name) with what a strategy needs: (id, status, bindings, findings).
+
+    Blocking findings: the problem or the features aren't ready, the model's name isn't of three parts, nothing can be trained.
+    A missing name only adds a binding, except where no model is trained."""
+    kind, name = F.coalesce("problem", F.lit("")), F.coalesce("model_name", F.lit(""))
+    bindings = F.lit(None).cast("array<string>")
+    for k, needs in BINDINGS.items():
+        bindings = F.when(kind == k, F.array(*[F.lit(n) for n in needs])).otherwise(bindings)
+    bindings = F.coalesce(bindings, F.array().cast("array<string>"))
+    unnamed = (name == "") & ~kind.isin("no_ml_yet", "text_or_genai")
+    parts = F.size(F.filter(F.split(name, r"\."), lambda p: F.trim(p) != ""))
+    blocking = reason_codes(
+        (F.col("problem_status") == "ready_for_strategy", "PROBLEM_SELECTION_NOT_READY"),
+        (F.col("feature_status") == "feature_ready", "FEATURES_NOT_READY"),
+        ((name == "") | (parts == 3), "MODEL_NAME_OF_THREE_PARTS_REQUIRED"),
+        (~kind.isin("no_ml_yet", ""), "NO_TRAINABLE_STRATEGY"),
+    )
+    warning = F.when(unnamed, "MODEL_NAME_NOT_BOUND").otherwise("")
+    every = F.array_join(F.filter(F.array(blocking, warning), lambda c: c != ""), ",")
+    needs = F.when(unnamed, F.array_union(bindings, F.array(F.lit("model_full_name")))).otherwise(bindings)
+    return rows.select("id", F.when(blocking == "", "ready_for_approval").otherwise("blocked").alias("status"), F.array_join(needs, ",").alias("bindings"), every.alias("findings"))
+
+
+def family_statuses(required: DataFrame, skills: DataFrame) -> DataFrame:
+    """(case_id, family, status): each required family's status, `missing` where no skill is known; required: case_id, family; skills: family, status."""
+    known = skills.groupBy("family").agg(F.min(F.when(F.col("status") == "available", 0).when(F.col("status") == "covered", 1).otherwise(2)).alias("s"))
+    status = F.when(F.col("s") == 0, "available").when(F.col("s") == 1, "covered").when(F.col("s") == 2, "needs_work").otherwise("missing")
+    return required.where(F.trim("family") != "").distinct().join(known, "family", "left").select("case_id", "family", status.alias("status"))
+
+
+def resolution(statuses: DataFrame) -> DataFrame:
+    """(case_id, n_skills, n_missing, status) of family_statuses()."""
+    lacking = F.count_if(~F.col("status").isin("available", "covered"))
+    return statuses.groupBy("case_id").agg(F.count("*").alias("n_skills"), lacking.alias("n_missing")).withColumn("status", F.when(F.col("n_missing") > 0, "resolved_with_gaps").otherwise("ready"))
+
+
+def readiness_summary(contracts: DataFrame) -> DataFrame:
+    """(category, n_skills, n_ready, n_needs_work) of contracts (category, status)."""
+    ready = F.count_if(F.col("status") == "ready")
+    return contracts.groupBy("category").agg(F.count("*").alias("n_skills"), ready.alias("n_ready"), (F.count("*") - ready).alias("n_needs_work"))
 
 
 def missing_inputs(required: Sequence[str], given: Mapping[str, Column]) -> Column:
@@ -84,8 +155,6 @@ def first_supported(rows: DataFrame, key: str) -> DataFrame:
 def validated_steps(plans: DataFrame) -> DataFrame:
     """plans (plan_id, steps array<struct<name, artifact>>): a finding for each step without an artifact or with a repeated name."""
     each = plans.select("plan_id", F.posexplode("steps").alias("at", "s")).select("plan_id", "at", "s.name", "s.artifact")
-    from pyspark.sql import Window
-
     again = F.row_number().over(Window.partitionBy("plan_id", "name").orderBy("at")) > 1
     return each.withColumn("finding", F.when(F.coalesce(F.trim("artifact"), F.lit("")) == "", "missing_artifact").when(again, "repeated_step")).where("finding is not null").select("plan_id", "at", "name", "finding")
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlgrid.operators.graph import cut
 from marlgrid.operators.relational import latest_per_key, replace_by_key
+from marlgrid.operators.staging import numbered
 
 DAY_MS = 86_400_000
 
@@ -30,30 +33,69 @@ def gates(results: DataFrame) -> DataFrame:
     return wide.select("snapshot_id", (failed == "").alias("passed"), failed.alias("failed_gates"))
 
 
+def file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    fs, P = file_system(spark, path)
+    if not fs.exists(P(path)):
+        return []
+    names = [str(f.getPath().getName()) for f in fs.listStatus(P(path))]
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())
+
+
 def _swap(spark: SparkSession, path: str, row: DataFrame) -> None:
-    """Replaces a one-row table by an atomic rename of a finished copy."""
-    jvm = spark.sparkContext._jvm
-    fresh, old = f"{path}.next", f"{path}.last"
-    row.coalesce(1).write.mode("overwrite").parquet(fresh)
-    P = jvm.org.apache.hadoop.fs.Path
-    fs = P(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(P(old), True)
-    if fs.exists(P(path)):
-        fs.rename(P(path), P(old))
-    if not fs.rename(P(fresh), P(path)):
-        raise RuntimeError(f"could not move {fresh}")
+    """Adds the next version of a one-row table: a finished copy becomes visible by one rename, and the newest version holds.
+
+    No version is taken away before the next one stands, so a crash at any point leaves a pointer; of two writers one fails.
+    """
+    fs, P = file_system(spark, path)
+    old = versions(spark, path)
+    fresh, name = f"{path}/next-{uuid.uuid4().hex}", f"{path}/v{(old[-1] if old else 0) + 1}"
+    row.coalesce(1).write.parquet(fresh)
+    if fs.exists(P(name)) or not fs.rename(P(fresh), P(name)):
+        fs.delete(P(fresh), True)
+        raise RuntimeError(f"another writer has moved {path}")
+    for v in old[:-KEPT_POINTERS]:
+        fs.delete(P(f"{path}/v{v}"), True)
+
+
+#: Versions of the pointer that stay beside the newest.
+KEPT_POINTERS = 10
 
 
 def pointer(spark: SparkSession, path: str) -> str | None:
-    try:
-        row = spark.read.parquet(path).first()
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
+    """The active snapshot; None before the first promotion."""
+    found = versions(spark, path)
+    row = spark.read.parquet(f"{path}/v{found[-1]}").first() if found else None
     return row["snapshot_id"] if row else None
 
 
+def active_rows(df: DataFrame, path: str) -> DataFrame:
+    """df's rows of the active snapshot, which prunes its partitions; none before the first promotion.  The pointer is one row, read anew by each call."""
+    return df.where(F.col("snapshot_id") == F.lit(pointer(df.sparkSession, path)))
+
+
+class ActiveSnapshot:
+    """The active snapshot, read again after `ttl_ms`."""
+
+    def __init__(self, spark: SparkSession, path: str, ttl_ms: int = 60_000):
+        self._spark, self._path, self._ttl, self._held = spark, path, ttl_ms, (None, None)
+
+    def get(self, now_ms: int) -> str | None:
+        read_at, value = self._held
+        if read_at is None or now_ms - read_at >= self._ttl:
+            self._held = now_ms, pointer(self._spark, self._path)
+        return self._held[1]
+
+
+def stamped(snapshots: DataFrame, snapshot_id: str, now_ms: int) -> DataFrame:
+    """snapshots with the promotion's time on the promoted row."""
+    return snapshots.withColumn("promoted_at_ms", F.when(F.col("snapshot_id") == snapshot_id, F.lit(now_ms).cast("long")).otherwise(F.col("promoted_at_ms")))
+
+
 def promote(spark: SparkSession, snapshot_id: str, results: DataFrame, path: str, now_ms: int) -> None:
     """Makes a snapshot the active one if its gates passed and it isn't already."""
     if pointer(spark, path) == snapshot_id:
@@ -78,6 +120,28 @@ def retention(snapshots: DataFrame, active: str, now_ms: int, days: int = 30) ->
     return snapshots.withColumn("deactivated_at_ms", F.when(due, F.lit(now_ms).cast("long")).otherwise(F.col("deactivated_at_ms")))
 
 
+def retained_cache(cache: DataFrame, now_ms: int, days: int = 90) -> DataFrame:
+    """The embedding cache without rows that nothing has used within the window."""
+    return cache.where(F.coalesce("last_used_at_ms", "emitted_at_ms") >= now_ms - days * DAY_MS)
+
+
+def staging_due(runs: DataFrame, now_ms: int, days: int = 7) -> DataFrame:
+    """The staging folders (run_id, path) of runs that ended before the window; runs under way keep theirs."""
+    return runs.where(F.col("ended_at_ms").isNotNull() & (F.col("ended_at_ms") < now_ms - days * DAY_MS)).select("run_id", "path")
+
+
+def plan(spark: SparkSession, run_id: str, sources: Sequence[str], skipped: Sequence[str] = ()) -> DataFrame:
+    """(run_id, snapshot_id, source, planned): a run's snapshot and the sources that it takes, all but those skipped."""
+    rows = [(run_id, f"snap_{run_id}", s, s not in set(skipped)) for s in sources]
+    return spark.createDataFrame(rows, "run_id string, snapshot_id string, source string, planned boolean")
+
+
+def latest_plan(pointer_row: DataFrame, plans: DataFrame) -> DataFrame:
+    """The pointer's row with its snapshot's newest plan, null where it has none."""
+    newest = latest_per_key(plans, ["snapshot_id"], [F.desc("planned_at_ms"), F.asc("plan_id")])
+    return pointer_row.join(newest, "snapshot_id", "left")
+
+
 def cache_plan(requests: DataFrame, cache: DataFrame) -> DataFrame:
     """(content_hash, request_id, hit): the first request of each hash, empty texts left out, and whether the cache has it."""
     first = latest_per_key(requests.where(F.coalesce(F.length("text"), F.lit(0)) > 0), ["content_hash"], [F.asc("request_id")])
@@ -96,22 +160,6 @@ def budget_cut(requests: DataFrame, tokens: str, order: str, batch: int, cap: in
     return placed.drop("running").join(total, "batch_no").withColumn("embedded", F.col("so_far") <= cap)
 
 
-def numbered(df: DataFrame, order: str, value: str | None = None) -> DataFrame:
-    """df with `position` from 1 in order, and `running`, the sum of value up to it.
-
-    Range partitions are numbered on their own and written once; their counts and sums, one row each, then shift them.
-    """
-    amount = F.col(value) if value else F.lit(0)
-    own = Window.partitionBy("_part").orderBy(order)
-    placed = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
-    local = cut(placed.withColumn("_at", F.row_number().over(own)).withColumn("_sum", F.sum(amount).over(own.rowsBetween(Window.unboundedPreceding, 0))))
-    ends = local.groupBy("_part").agg(F.count("*").alias("_n"), F.sum(amount).alias("_total"))
-    before = Window.orderBy("_part")
-    shifts = ends.select("_part", (F.sum("_n").over(before) - F.col("_n")).alias("_rows"), (F.sum("_total").over(before) - F.col("_total")).alias("_shift"))
-    out = local.join(F.broadcast(shifts), "_part").withColumn("position", F.col("_at") + F.col("_rows")).withColumn("running", F.col("_sum") + F.col("_shift"))
-    return out.drop("_part", "_at", "_sum", "_rows", "_shift", *([] if value else ["running"]))
-
-
 def smoke(hits: DataFrame, baseline: DataFrame, bootstrap: bool = False) -> DataFrame:
     """(n, hit_rate, threshold, passed): top-1 hits over the baseline's queries against its smallest rate; an empty baseline passes only at bootstrap."""
     joined = baseline.join(hits.select("query_id", "top_id"), "query_id", "left")

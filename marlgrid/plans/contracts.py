@@ -10,8 +10,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+# Statements and modules that a transform may not use.
 FORBIDDEN_SQL = ("DELETE", "DROP", "TRUNCATE")
-FORBIDDEN_IMPORTS = ("os", "subprocess", "socket", "shutil", "requests", "urllib")
+FORBIDDEN_IMPORTS = ("subprocess", "socket", "urllib", "requests", "httpx", "pickle", "shutil", "tempfile")
 
 _QUIET = re.compile(r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.S)
 
@@ -48,9 +49,16 @@ def schema_findings(observed: StructType, expected: Mapping[str, str]) -> list[s
 
 @dataclass
 class RunRecord:
+    """What a run came to: blocked before it began, failed, or succeeded; `questions` tell what to mend."""
+
     status: str
     findings: list[str] = field(default_factory=list)
     rows: int | None = None
+    observed: dict[str, str] = field(default_factory=dict)
+
+    @property
+    def questions(self) -> list[str]:
+        return [] if self.status == "succeeded" else [f"mend {f}" for f in self.findings]
 
 
 def input_names(tables: list[str]) -> dict[str, str]:
@@ -61,12 +69,43 @@ def input_names(tables: list[str]) -> dict[str, str]:
     return out
 
 
+def bound_inputs(spark: SparkSession, tables: list[str]) -> tuple[dict[str, DataFrame], list[str]]:
+    """The tables by alias, and those that don't exist."""
+    names = input_names(tables)
+    missing = [f"missing input {t}" for t in names.values() if not spark.catalog.tableExists(t)]
+    return ({} if missing else {alias: spark.table(t) for alias, t in names.items()}), missing
+
+
+def _written(spark: SparkSession, df: DataFrame, target: str, expected: Mapping[str, str]) -> RunRecord:
+    seen = {f.name: f.dataType.simpleString().upper() for f in df.schema}
+    if found := schema_findings(df.schema, expected):
+        return RunRecord("failed", found, None, seen)
+    df.write.mode("overwrite").option("overwriteSchema", "true").saveAsTable(target)
+    return RunRecord("succeeded", [], spark.table(target).count(), seen)
+
+
 def run_transform(spark: SparkSession, transform: Callable[[SparkSession, dict[str, DataFrame]], DataFrame], tables: list[str], target: str, expected: Mapping[str, str], source: str = "") -> RunRecord:
-    """Runs a registered callable over tables and writes its result; blocked if its source is refused or its schema differs."""
-    if found := python_findings(source):
+    """Runs a registered callable over tables and writes its result.
+
+    Blocked if its source is refused or an input is missing; failed if it raises or its schema differs, and nothing is written then."""
+    inputs, missing = bound_inputs(spark, tables)
+    if found := python_findings(source) + missing:
         return RunRecord("blocked", found)
-    df = transform(spark, {alias: spark.table(t) for alias, t in input_names(tables).items()})
-    if found := schema_findings(df.schema, expected):
+    try:
+        df = transform(spark, inputs)
+    except Exception as e:  # a transform's own failure is its record
+        return RunRecord("failed", [f"{type(e).__name__}: {str(e)[:200]}"])
+    return _written(spark, df, target, expected)
+
+
+def run_sql(spark: SparkSession, text: str, tables: list[str], target: str, expected: Mapping[str, str]) -> RunRecord:
+    """Runs a SELECT over tables, each under its alias, and writes its result; blocked like run_transform, by the statements it holds."""
+    inputs, missing = bound_inputs(spark, tables)
+    found = sql_findings(text) + ([] if (text or "").strip() else ["empty"]) + missing
+    if found:
         return RunRecord("blocked", found)
-    df.write.mode("overwrite").option("overwriteSchema", "true").saveAsTable(target)
-    return RunRecord("succeeded", [], spark.table(target).count())
+    try:
+        df = spark.sql(text, **inputs) if inputs else spark.sql(text)
+    except Exception as e:
+        return RunRecord("failed", [f"{type(e).__name__}: {str(e)[:200]}"])
+    return _written(spark, df, target, expected)

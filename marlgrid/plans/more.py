@@ -6,29 +6,26 @@ from pyspark.sql import functions as F
 
 from marlgrid.operators import claims, profile, rules, snapshot
 from marlgrid.operators.build import linked_exemplars, mention_edges
-from marlgrid.plans.core import ALL_PROFILE_SQL, ALL_PROFILED, KEYS_SQL, MS, NOW_MS, PROFILE_SQL, PROFILED, SQL, over_all_tables, profiles, query
+from marlgrid.plans.core import KEYS_SQL, MS, NOW_MS, PROFILE_SQL, PROFILED, profiles, query, tables
 from marlgrid.sources.tables import events, load
 
 
-@over_all_tables
 @query(f"""
 select 'main.tpch.' || table_name as "table", max(row_count) as row_count, string_agg('main.tpch.' || table_name || '.' || column_name, ',' order by 'main.tpch.' || table_name || '.' || column_name) as columns, count(*) filter (where null_count > 0) as n_with_nulls from ({PROFILE_SQL}) group by table_name""")
-def claim_table_profiles(spark, d, tables=PROFILED):
-    return claims.table_profiles(profile.claims(profiles(spark, d, tables), "main", "tpch", NOW_MS))
+def claim_table_profiles(spark, d):
+    return claims.table_profiles(profile.claims(profiles(spark, d), "main", "tpch", NOW_MS))
 
 
-@over_all_tables
 @query(f"""
 select 2 * count(*) + count(*) + 4 * count(distinct table_name) as n_claims, count(distinct table_name) + count(*) as n_subjects, count(distinct table_name) as n_without_value, count(*) as n_unanchored from ({PROFILE_SQL})""")
-def claim_quality(spark, d, tables=PROFILED):
-    made = profile.claims(profiles(spark, d, tables), "main", "tpch", NOW_MS)
+def claim_quality(spark, d):
+    made = profile.claims(profiles(spark, d), "main", "tpch", NOW_MS)
     return claims.quality(made, made.where("predicate = 'EXISTS'"))
 
 
-@over_all_tables
 @query(f"""select 'main.tpch' as parent, count(distinct table_name) as n_children, string_agg(distinct 'main.tpch.' || table_name, ',' order by 'main.tpch.' || table_name) as children from ({PROFILE_SQL})""")
-def containment_tree(spark, d, tables=PROFILED):
-    return claims.containment(profile.claims(profiles(spark, d, tables), "main", "tpch", NOW_MS))
+def containment_tree(spark, d):
+    return claims.containment(profile.structure_claims(profile.described(tables(spark, d)), "main", "tpch", NOW_MS))
 
 
 @query("""
@@ -59,47 +56,32 @@ def exemplar_links(spark, d):
     return rows.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-def _columns(tables: dict[str, str]) -> str:
-    return " union all ".join(f"select '{t}' as table_name, '{c}' as column_name, {i} as ordinal" for t, cs in tables.items() for i, c in enumerate(cs.split()))
+_COLUMNS = " union all ".join(f"select '{t}' as table_name, '{c}' as column_name, {i} as ordinal" for t, cs in PROFILED.items() for i, c in enumerate(cs.split()))
 
 
-_COLUMNS = _columns(PROFILED)
-
-
-@over_all_tables
 @query(f"""
 with c as ({_COLUMNS}), r as (select table_name, arg_min(column_name, ordinal) filter (where regexp_matches(column_name, '{rules.KEY_HINTS}')) as key, arg_min(column_name, ordinal) filter (where regexp_matches(column_name, '{rules.LABEL_HINTS}') and not regexp_matches(column_name, '{rules.KEY_HINTS}')) as label, count(*) as n, bool_or(regexp_matches(column_name, '{rules.TIME_HINTS}')) as timed from c group by 1)
 select table_name, coalesce(key, '') as key, coalesce(label, '') as label, n - case when key is null then 0 else 1 end - case when label is null then 0 else 1 end as n_features, concat_ws(',', case when key is null then 'NO_KEY' end, case when label is null then 'NO_LABEL' end, case when not timed then 'NO_TIME' end) as findings from r""")
-def feature_readiness(spark, d, tables=PROFILED):
-    rows = [(t, c, i) for t, cs in tables.items() for i, c in enumerate(cs.split())]
-    return rules.feature_readiness(spark.createDataFrame(rows, "table_name string, column_name string, ordinal int"))
+def feature_readiness(spark, d):
+    return rules.feature_readiness(profile.described(tables(spark, d)))
 
 
-@over_all_tables
 @query(f"""
-with t as (select table_name, max(row_count) as n, bool_or(regexp_matches(lower(column_name), '{rules.TIME_HINTS}')) as timed from ({PROFILE_SQL}) group by 1)
-select table_name, case when false then '' else 'clustering' end as problem, '' as target, 'needs_input' as status, 'NO_TARGET' || case when n < 100 then ',FEW_ROWS' else '' end as findings, 'centroid' as family from t""")
-def problem_choice(spark, d, tables=PROFILED):
-    return rules.problem(profiles(spark, d, tables)).withColumn("family", rules.family(F.col("problem")))
-
-
-# the shorter SQL names no targets, as its tables have none
-SQL["feature_readiness_whole"] = SQL["feature_readiness"].replace(_COLUMNS, _columns(ALL_PROFILED))
-SQL["problem_choice_whole"] = f"""
-with p as ({ALL_PROFILE_SQL}), t as (select table_name, max(row_count) as n, arg_min(column_name, ordinal) filter (where h) as target, arg_min(distinct_count, ordinal) filter (where h) as k, bool_or(timed) as timed
+with p as ({PROFILE_SQL}), t as (select table_name, max(row_count) as n, arg_min(column_name, ordinal) filter (where h) as target, arg_min(distinct_count, ordinal) filter (where h) as k, bool_or(timed) as timed
  from (select *, regexp_matches(lower(column_name), '{rules.LABEL_HINTS}') and not regexp_matches(lower(column_name), '{rules.KEY_HINTS}') as h, regexp_matches(lower(column_name), '{rules.TIME_HINTS}') as timed from p) group by 1),
 c as (select *, case when target is null then 'clustering' when k <= 20 then 'classification' when timed then 'forecasting' else 'regression' end as problem from t)
 select table_name, problem, coalesce(target, '') as target, case when target is not null and n >= 100 then 'ready' else 'needs_input' end as status, concat_ws(',', case when target is null then 'NO_TARGET' end, case when n < 100 then 'FEW_ROWS' end) as findings,
- case problem when 'clustering' then 'centroid' when 'forecasting' then 'time_series' else 'tree_ensemble' end as family from c"""
+ case problem when 'clustering' then 'centroid' when 'forecasting' then 'time_series' else 'tree_ensemble' end as family from c""")
+def problem_choice(spark, d):
+    return rules.problem(profiles(spark, d)).withColumn("family", rules.family(F.col("problem")))
 
 
-@over_all_tables
 @query(f"""
 with t as (select p.table_name, max(row_count) as n, max(keys) as k from ({PROFILE_SQL}) p join ({KEYS_SQL}) q on p.table_name = q.table_name group by 1),
 c as (select table_name as title, case when n >= 1000 then 'ready' when n >= 30 then 'needs_input' else 'blocked' end as readiness, cast(round(least(greatest(0.8 - 0.12 + case when n >= 1000 then 0.06 else 0 end + case when k <> '' then 0.04 else 0 end, 0.1), 0.86), 2) as double) as confidence from t)
 select title, readiness, confidence, row_number() over (order by case readiness when 'ready' then 0 when 'needs_input' then 1 else 2 end, confidence desc, title) as rank from c""")
-def candidate_ranking(spark, d, tables=PROFILED):
-    p = profiles(spark, d, tables)
+def candidate_ranking(spark, d):
+    p = profiles(spark, d)
     t = p.groupBy("table_name").agg(F.max("row_count").alias("n")).join(profile.candidate_keys(p), "table_name")
     c = t.select(F.col("table_name").alias("title"), F.when(F.col("n") >= 1000, "ready").when(F.col("n") >= 30, "needs_input").otherwise("blocked").alias("readiness"), rules.candidate_confidence(F.lit(0.8), F.col("n") >= 1000, F.col("keys") != "", F.lit(False)).alias("confidence"))
     return rules.ranked_candidates(c)
@@ -117,20 +99,12 @@ def go_no_go(spark, d):
     return b.select("o_custkey", "blockers", rules.go_no_go(F.col("blockers")).alias("decision"), rules.alias_gate(F.col("f") >= 2, F.col("big") > 0, F.lit(False)).alias("alias_state"))
 
 
-@query("""
-with r as (select p_brand, p_partkey as ordinal, p_name as "option", case when p_size < 25 then 'small' end as reason from part where p_partkey < 200)
-select p_brand, coalesce(arg_min("option", ordinal) filter (where reason is null), '') as chosen, coalesce(string_agg("option" || ':' || reason, ',' order by ordinal) filter (where reason is not null), '') as rejected from r group by 1""")
-def backend_choice(spark, d):
-    r = load(spark, d, "part").where("p_partkey < 200").select("p_brand", F.col("p_partkey").alias("ordinal"), F.col("p_name").alias("option"), F.when(F.col("p_size") < 25, "small").alias("reason"))
-    return rules.first_supported(r, "p_brand").select("p_brand", F.coalesce("chosen", F.lit("")).alias("chosen"), "rejected")
-
-
 @query("""
 with r as (select p_brand, p_partkey as ordinal, p_name as "option", case when p_size < 25 then 'small' end as reason from part),
 b as (select p_brand, ordinal // 1024 as block, count(*) as n_rejected, sha256(string_agg(ordinal || ':' || "option" || ':' || reason, ',' order by ordinal)) as rejected_sha256 from r where reason is not null group by all),
 c as (select p_brand, coalesce(arg_min("option", ordinal) filter (where reason is null), '') as chosen from r group by 1)
 select c.p_brand, chosen, block, n_rejected, rejected_sha256 from c left join b on b.p_brand = c.p_brand""")
-def backend_choice_whole(spark, d):
+def backend_choice(spark, d):
     """Every part's option: the chosen one of each brand, and its rejected ones counted and digested in blocks of 1024 keys."""
     r = load(spark, d, "part").select("p_brand", F.col("p_partkey").alias("ordinal"), F.col("p_name").alias("option"), F.when(F.col("p_size") < 25, "small").alias("reason"))
     chosen = r.groupBy("p_brand").agg(F.coalesce(F.min_by("option", F.when(F.col("reason").isNull(), F.col("ordinal"))), F.lit("")).alias("chosen"))
@@ -155,13 +129,6 @@ def model_attribution(spark, d):
     return e.groupBy("event_type", F.floor(F.col("ts_ms") / 86_400_000).cast("long").alias("day")).agg(F.count("*").alias("calls"), F.count_if(F.col("value") > 20).alias("failures"), F.round(F.coalesce(F.sum("value"), F.lit(0.0)), 2).alias("tokens"), F.round(F.coalesce(F.avg("value"), F.lit(0.0)), 4).alias("mean_tokens"))
 
 
-@query(" union all ".join(f"select '{t}' as table_name, true as present, count(*) as n from {t}" for t in ("region", "nation", "orders")) + " union all select 'absent', false, 0")
-def table_presence(spark, d):
-    rows = [load(spark, d, t).agg(F.lit(t).alias("table_name"), F.lit(True).alias("present"), F.count("*").alias("n")) for t in ("region", "nation", "orders")]
-    out = rows[0].unionByName(rows[1]).unionByName(rows[2])
-    return out.unionByName(spark.range(1).select(F.lit("absent").alias("table_name"), F.lit(False).alias("present"), F.lit(0).cast("long").alias("n")))
-
-
 @query("""
 select event_id, event_type, value from events where event_type = 'error' order by ts desc, event_id desc limit 40""")
 def live_trace_sample(spark, d):
@@ -179,11 +146,11 @@ def eval_records(spark, d):
 
 
 @query("""
-with b as (select substr(sha256(cast(doc_id as varchar)), 1, 2) as block, sha256(string_agg(substr(sha256(text), 1, 16), ',' order by doc_id)) as d from documents group by 1)
-select count(*) as n_blocks, sha256(string_agg(d, ',' order by block)) as signature from b""")
+with b as (select doc_id // 1000 as block, sha256(string_agg(substr(sha256(text), 1, 16), '' order by doc_id)) as d from documents group by 1)
+select count(*) as n_blocks, sha256(string_agg(d, '' order by block)) as signature from b""")
 def corpus_signature(spark, d):
     doc = load(spark, d, "documents").select("doc_id", F.substring(F.sha2("text", 256), 1, 16).alias("h"))
-    return claims.signature(doc, "doc_id", "h")
+    return claims.signature(doc, "doc_id", "h", 1000)
 
 
 @query("""

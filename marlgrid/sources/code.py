@@ -69,11 +69,19 @@ def paginated_peers(found: DataFrame) -> DataFrame:
     return m.join(twins, ["module", "class_name", "name"]).select("module", "class_name", "name", "peer")
 
 
+# Fixed value: how a docstring says that its method is deprecated.
+DEPRECATED = r"\.\.\s+deprecated\b|deprecated::|\b(?:DEPRECATED|Deprecated)\b"
+
+
 def deprecation_successors(found: DataFrame) -> DataFrame:
-    """(module, class_name, name, successor): deprecated methods whose docstring names another method of the class."""
-    patterns = (r"(?i)use\s+:meth:`~?(?:[\w.]*\.)?(\w+)`", r"(?i)use\s+`+(?:[\w.]*\.)?(\w+)(?:\(\))?`+\s+instead", r"(?i)replaced\s+by\s+`*(?:[\w.]*\.)?(\w+)", r":meth:`~?(?:[\w.]*\.)?(\w+)`")
+    """(module, class_name, name, successor): deprecated methods whose docstring names another method of the class.
+
+    The docstring must say that it is deprecated, in a sentence or by the directive; of the forms that name a successor the first that fits holds."""
+    name = r"([A-Za-z_][\w.]*)"
+    patterns = (rf"[Uu]se\s+``{name}``\s+instead", rf"[Rr]eplaced\s+by\s+``{name}``", rf"\.\.\s+deprecated::[^\n]*\n(?:[^\n]+\n)*?\s*[^\n]*?``{name}``", rf":meth:`~?{name}`")
     said = F.coalesce(*[F.nullif(F.regexp_extract("doc", p, 1), F.lit("")) for p in patterns])
-    old = found.where("kind = 'method' and doc rlike '(?i)deprecated'").select("module", "class_name", "name", said.alias("successor")).where("successor is not null")
+    said = F.substring_index(said, ".", -1)
+    old = found.where("kind = 'method'").where(F.col("doc").rlike(DEPRECATED)).select("module", "class_name", "name", said.alias("successor")).where("successor is not null")
     known = found.where("kind = 'method'").select("module", "class_name", F.col("name").alias("successor"))
     return old.join(known, ["module", "class_name", "successor"], "left_semi").select("module", "class_name", "name", "successor")
 

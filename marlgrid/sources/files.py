@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from marlgrid.functions.text import pointer_parts
+from marlgrid.operators.snapshot import file_system, versions
 
 
 def json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -49,9 +51,21 @@ def merge_current(current: DataFrame, new: DataFrame, key: str = "claim_id") ->
 
 
 def publish(df: DataFrame, path: str, snapshot_id: str) -> int:
-    """A read model of one snapshot; an error if it would be empty.  Returns its rows."""
-    df.where(F.col("snapshot_id") == snapshot_id).write.mode("overwrite").parquet(path)
-    n = df.sparkSession.read.parquet(path).count()
+    """A read model of one snapshot as a new folder under path, which becomes visible once it is whole; an error if it would be
+    empty, and then the one before stands.  Returns its rows.  read_model() reads the newest."""
+    spark, own = df.sparkSession, df.where(F.col("snapshot_id") == snapshot_id)
+    fs, P = file_system(spark, path)
+    fresh = f"{path}/next-{uuid.uuid4().hex}"
+    own.write.parquet(fresh)
+    n = spark.read.schema(own.schema).parquet(fresh).count()
     if not n:
+        fs.delete(P(fresh), True)
         raise ValueError(f"{snapshot_id} has no rows to publish")
+    before = versions(spark, path)
+    if not fs.rename(P(fresh), P(f"{path}/v{(before[-1] if before else 0) + 1}")):
+        raise RuntimeError(f"another writer has moved {path}")
     return n
+
+
+def read_model(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/v{versions(spark, path)[-1]}")

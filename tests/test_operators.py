@@ -78,7 +78,10 @@ def test_heading_chunks():
 
 def test_read_html():
     title, said, heads = html.read_html("<title>T  x</title><nav>no</nav><h1 id=a>Big <b>one</b></h1><p>a<script>x</script> b</p><div>c&amp;d</div>")
-    assert (title, said, heads) == ("T x", "Big one\n\na b\n\nc&d", [(1, "a", "Big one")])
+    assert (title, said, heads) == ("T  x", "Big one\n\na b\n\nc&d", [(1, "a", "Big one")])
+    assert html.read_html("x<br>y<br/>z<table><tr><td>1</td><td>2</td></tr></table>w<p>v")[1] == "x\ny\nz12wv"
+    assert html.read_html("<p>a</p>\n\n\n<li>b</li><svg><p>no</p></svg>c<nav/>d")[1:] == ("a\n\nb\n\ncd", [])
+    assert html.read_html(None) == (None, "", [])
 
 
 def test_urls(spark):
@@ -101,9 +104,7 @@ def test_walk(spark):
     assert got == {("b", "p", 1.0), ("c", "p", 0.5)}
 
 
-@pytest.mark.parametrize("size", [graph.LOCAL_SIZE, 0])
-def test_ppr_rounds(spark, monkeypatch, size):
-    monkeypatch.setattr(graph, "LOCAL_SIZE", size)
+def test_ppr_rounds(spark):
     rows = [("a", "p", "b"), ("a", "q", "b"), ("a", "p", "c"), ("c", "p", "a"), ("d", "p", "a")]
     p = spark.createDataFrame([("a", 0.7), ("x", 0.3)], "node string, mass double")
     got = {r.node: r.score for r in graph.ppr(edges(spark, rows), p, rounds=3, fixed=True).collect()}
@@ -318,12 +319,21 @@ def test_posts(spark):
 def test_contracts(spark):
     assert contracts.sql_findings("select 'drop' from t -- delete\n") == []
     assert contracts.sql_findings("Delete from t; truncate table x") == ["DELETE", "TRUNCATE"]
-    assert contracts.python_findings("import os.path\nfrom subprocess import run") == ["os", "subprocess"]
+    assert contracts.python_findings("import os.path, httpx\nfrom subprocess import run\nimport pickle as p, tempfile") == ["subprocess", "httpx", "pickle", "tempfile"]
     assert contracts.schema_findings(spark.range(1).schema, {"id": "bigint"}) == []
     assert contracts.schema_findings(spark.range(1).schema, {"id": "int"}) == ["id: BIGINT for INT"]
     assert contracts.schema_findings(spark.range(1).schema, {}) == []
     assert contracts.input_names(["a.b.t", "c.t", "u"]) == {"t": "a.b.t", "u": "u"}
-    assert contracts.run_transform(spark, lambda s, i: s.range(1), [], "x", {"id": "int"}).status == "blocked"
+    drift = contracts.run_transform(spark, lambda s, i: s.range(1), [], "x", {"id": "int"})
+    assert drift.status == "failed" and drift.observed == {"id": "BIGINT"} and drift.questions == ["mend id: BIGINT for INT"]
+    assert contracts.run_transform(spark, lambda s, i: s.range(1), ["no.such"], "x", {}).findings == ["missing input no.such"]
+    assert contracts.run_transform(spark, lambda s, i: s.range(1), [], "x", {}, "import pickle").findings == ["pickle"]
+    assert contracts.run_transform(spark, lambda s, i: 1 / 0, [], "x", {}).status == "failed"
+    spark.range(3).createOrReplaceTempView("three")
+    assert contracts.run_sql(spark, "drop table x", [], "x", {}).findings == ["DROP"]
+    assert contracts.run_sql(spark, " ", [], "x", {}).findings == ["empty"]
+    assert contracts.run_sql(spark, "select id from {three} where id > 0", ["three"], "contract_out", {"id": "bigint"}).rows == 2
+    spark.sql("drop table contract_out")
 
 
 def test_stream(spark, tmp_path):

@@ -37,7 +37,7 @@ def test_graph_queries_reach_all(spark, graph_tables):
     assert sides["documents:6"] == "workspace" and sides["pages:3"] == "capability"
     said = {r.node: (r.source, r.text) for r in text_graph.ask_context(spark, graph_tables).collect()}
     assert said["customer:4"] == ("neighbour", "nation nation_3 supplier 7") and "order:9" in said
-    walked = {r.node: r.depth for r in text_graph.bfs_two_hops_whole(spark, graph_tables).collect()}
+    walked = {r.node: r.depth for r in text_graph.bfs_two_hops(spark, graph_tables).collect()}
     assert walked == {"customer:4": 1, "customer:5": 1, "supplier:7": 1, "order:9": 2, "order:10": 2}
 
 
@@ -46,8 +46,8 @@ def test_profiles_cover_all_tables(spark):
 
     folder = "/root/testdata/sf0.001"
     held = {p.removesuffix(".parquet") for p in os.listdir(folder) if p.endswith(".parquet")}
-    assert set(core.ALL_PROFILED) == held
-    for t, columns in core.ALL_PROFILED.items():
+    assert set(core.PROFILED) == held
+    for t, columns in core.PROFILED.items():
         plain = [f.name for f in core.load(spark, folder, t).schema if not isinstance(f.dataType, core.profile.SKIPPED)]
         assert plain == columns.split()
 
@@ -56,7 +56,7 @@ def test_choices_and_sides_grow_with_the_table(spark, tmp_path):
     from marlgrid.plans import core, more
 
     write(spark, tmp_path, part=("p_partkey long, p_brand string, p_name string, p_size int", [(i, "B", f"n{i}", 10 if i < 2500 else 30) for i in range(1, 3001)]))
-    got = more.backend_choice_whole(spark, str(tmp_path)).collect()
+    got = more.backend_choice(spark, str(tmp_path)).collect()
     assert {r.chosen for r in got} == {"n2500"} and {r.block: r.n_rejected for r in got} == {0: 1023, 1: 1024, 2: 452}
     ids = spark.range(10_000).select(core.side("id").alias("s"))
     before, after = (ids.where(c).count() for c in ("s < 60", "s >= 40"))
