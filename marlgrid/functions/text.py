@@ -177,6 +177,27 @@ def code_blocks(text: Column | str) -> Column:
     return F.regexp_extract_all(col(text), F.lit(r"(?s)```[A-Za-z0-9_+-]*\n(.*?)```"), F.lit(1))
 
 
+def answer_parts(response: Column | str) -> Column:
+    """struct(answer, code): a `## Code` heading divides them, and an `## Explanation` heading goes; without one the fenced Python
+    blocks are the code, and the answer is what stands around them.  Blocks are trimmed and joined by an empty line."""
+    said = F.coalesce(col(response), F.lit(""))
+    trim = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    heading, fence = r"(?im)^##\s*Code\s*$", r"(?s)```(?:python|py)?\s*\n(.*?)```"
+    blocks = lambda c: F.array_join(F.transform(F.regexp_extract_all(c, F.lit(fence), F.lit(1)), trim), "\n\n")
+    parts = F.split(said, heading, 2)
+    own = F.element_at(parts, 2)
+    answer = trim(F.regexp_replace(trim(F.element_at(parts, 1)), r"(?i)^##\s*Explanation\s*\n*", ""))
+    headed = F.struct(answer.alias("answer"), F.when(trim(own).rlike(fence), blocks(own)).otherwise(trim(own)).alias("code"))
+    fenced = F.struct(trim(F.regexp_replace(said, fence, "")).alias("answer"), blocks(said).alias("code"))
+    plain = F.struct(said.alias("answer"), F.lit("").alias("code"))
+    return F.when(F.size(parts) > 1, headed).when(said.rlike(fence), fenced).otherwise(plain)
+
+
+def ordered_unique(values: Column | str) -> Column:
+    """The distinct values that are neither null nor blank, in order of first appearance."""
+    return F.array_distinct(F.filter(col(values), lambda v: F.coalesce(F.trim(v), F.lit("")) != ""))
+
+
 def without_code(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(col(text), r"(?s)```[A-Za-z0-9_+-]*\n.*?```", ""))
 

@@ -62,3 +62,8 @@ def as_of_version(versions: DataFrame, at_ms: int, key: str = "schema_version",
     live = versions.where(F.col(enacted) <= at_ms)
     newest = live.agg(F.max(key).alias(key))
     return live.join(F.broadcast(newest), key)
+
+
+def within_days(column: str, days: int, today: Column) -> Column:
+    """Whether a date or timestamp lies in the last days before `today`, as an interval comparison that reaches the scan."""
+    return (F.col(column) >= today - F.expr(f"INTERVAL {int(days)} DAYS")) & (F.col(column) <= today)

@@ -152,11 +152,28 @@ def first_supported(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min(F.when(F.col("reason").isNull(), F.struct("ordinal", "option")))["option"].alias("chosen"), F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("ordinal", "option", "reason")))), lambda r: F.concat(r["option"], F.lit(":"), r["reason"])), ",").alias("rejected"))
 
 
-def validated_steps(plans: DataFrame) -> DataFrame:
-    """plans (plan_id, steps array<struct<name, artifact>>): a finding for each step without an artifact or with a repeated name."""
-    each = plans.select("plan_id", F.posexplode("steps").alias("at", "s")).select("plan_id", "at", "s.name", "s.artifact")
-    again = F.row_number().over(Window.partitionBy("plan_id", "name").orderBy("at")) > 1
-    return each.withColumn("finding", F.when(F.coalesce(F.trim("artifact"), F.lit("")) == "", "missing_artifact").when(again, "repeated_step")).where("finding is not null").select("plan_id", "at", "name", "finding")
+def validated_steps(plans: DataFrame, allowed: DataFrame, deploy: Sequence[str] = ("endpoint_name", "model_full_name", "alias")) -> DataFrame:
+    """(plan_id, step_id, code) of plans (plan_id, strategy, steps array<struct<step_id, skill_id, artifact, inputs map<string,string>>>) against
+    the artifacts allowed (strategy, artifact): what blocks each step, and each plan; nothing for a plan that is valid.
+
+    A plan without steps, and one of a strategy that allows nothing, has a finding of its own (step_id null)."""
+    kinds = allowed.groupBy("strategy").agg(F.collect_set("artifact").alias("allowed"))
+    met = plans.join(kinds, "strategy", "left")
+    none = F.coalesce(F.size("steps"), F.lit(0)) <= 0
+    own = met.select("plan_id", F.lit(None).cast("string").alias("step_id"), F.when(none, "ARTIFACT_STEPS_MISSING").when(F.col("allowed").isNull(), "STRATEGY_REQUIRES_SKILL_BUILDER").alias("code")).where("code is not null")
+    each = met.select("plan_id", "allowed", F.explode("steps").alias("s")).select("plan_id", "allowed", "s.*")
+    blank = lambda c: F.coalesce(c, F.lit("")) == ""
+    inputs = F.coalesce(F.size("inputs"), F.lit(0)) > 0
+    lacking = [F.when((F.col("artifact") == "model_serving_endpoint") & (~inputs | blank(F.element_at("inputs", F.lit(d)))), f"DEPLOY_INPUT_MISSING:{d}") for d in deploy]
+    codes = F.array_compact(
+        F.array(
+            F.when(blank(F.col("skill_id")), "STEP_SKILL_ID_MISSING"),
+            F.when(~F.coalesce(F.array_contains("allowed", F.coalesce("artifact", F.lit(""))), F.lit(False)), "ARTIFACT_KIND_NOT_ALLOWED"),
+            F.when(~inputs, "STEP_INPUTS_MISSING"),
+            *lacking,
+        )
+    )
+    return own.unionByName(each.select("plan_id", "step_id", F.explode(codes).alias("code")))
 
 
 def feature_hash(*parts: Column) -> Column:
