@@ -183,11 +183,42 @@ def page_claims(spark, d) -> DataFrame:
     return p.select(F.concat(F.lit("pages:c"), "page_id").alias("claim_id"), "subject", F.lit("CONTENT").alias("predicate"), F.col("text").alias("value_json"), F.lit(None).cast("string").alias("metadata_json"), F.col("page_id").cast("long").alias("ordinal"))
 
 
-@query()
+def _search_sql(rounds: int) -> str:
+    """Lexical refs, walks from the best five, and personalised ranks in so many unrolled rounds."""
+    names = (("documents", "doc_id", "text"), ("nation", "n_nationkey", "n_name"), ("supplier", "s_suppkey", "s_name"), ("customer", "c_custkey", "c_name"), ("part", "p_partkey", "p_name"))
+    claims = " union all ".join(f"select '{t}:c' || {k} as claim_id, '{t}:' || {k} as subject, {v} as value, {k} * 8 + {i} as ordinal from {t}" for i, (t, k, v) in enumerate(names))
+    parts = [
+        f"cl as ({claims})",
+        "tk as (select *, list_distinct(regexp_extract_all(lower(subject || ' CONTENT' || coalesce(' ' || value, '')), '[a-z0-9_]+')) as t, ['nation', 'nation_3', 'content', 'supplier', '7'] as q from cl)",
+        "lx as materialized (select claim_id, subject, ordinal, len(list_intersect(t, q)) / (len(t) + len(q) - len(list_intersect(t, q))) as score from tk where len(list_intersect(t, q)) > 0 order by score desc, ordinal limit 50)",
+        "tp as (select subject as seed, row_number() over (order by score desc, ordinal) as seed_rank from lx order by score desc, ordinal limit 5)",
+        f"e as materialized (select src, dst, kind from ({edges_sql(WHOLE)}))",
+        "h1 as (select distinct seed, dst as node, kind, 1.0::double as score from tp join e on src = seed where dst <> seed)",
+        "h2 as (select seed, e.dst as node, e.kind, 0.5::double as score from h1 join e on e.src = h1.node where e.dst <> seed)",
+        "st as materialized (select seed_rank, w.node as subject, w.kind as predicate, w.score from (select * from h1 union all select * from h2) w join tp on tp.seed = w.seed)",
+        "bag as (select subject, 0.4 * score as m from lx union all select subject, 0.6 * score from st)",
+        "ms as materialized (select subject as node, sum(m) / (select sum(m) from bag) as mass from bag group by 1)",
+        "n as materialized (select node, coalesce(mass, 0) as mass from (select distinct node from (select src as node from e union all select dst from e union all select node from ms)) left join ms using (node))",
+        "c as (select count(*) as n from n)",
+        "o as materialized (select src, count(*) as k from e group by 1)",
+        "r0 as materialized (select node, mass, 1.0 / c.n as s from n, c)",
+    ]
+    for i in range(1, rounds + 1):
+        p = f"r{i - 1}"
+        parts.append(f"r{i} as materialized (select {p}.node, mass, 0.85 * (coalesce(g.s, 0) + (select coalesce(sum(x.s), 0) from {p} x anti join o on o.src = x.node) / c.n) + 0.15 * mass as s from {p} cross join c left join (select e.dst as node, sum({p}.s / o.k) as s from {p} join o on o.src = {p}.node join e on e.src = {p}.node group by 1) g on g.node = {p}.node)")
+    parts += [
+        f"a as (select claim_id as ref_id, lx.subject, 'CONTENT' as predicate, 0.4 * score + 0.6 * coalesce(s, 0) as score, 'lexical' as via from lx left join r{rounds} r on r.node = lx.subject)",
+        "oc as (select subject, predicate, arg_min(score, seed_rank) as score from st group by all)",
+        f"b as (select 'walk:' || predicate || ':' || subject as ref_id, subject, predicate, 0.6 * (score + coalesce(s, 0)) / 2 as score, 'structural' as via from oc left join r{rounds} r on r.node = oc.subject)",
+    ]
+    return f"with {', '.join(parts)} select ref_id, subject, predicate, round(score, 5) as score, via from (select * from a union all select * from b where ref_id not in (select ref_id from a)) order by (select 1), score desc limit 20".replace(" order by (select 1), score desc limit 20", " u order by u.score desc, ref_id limit 20")
+
+
+@query(_search_sql(70))
 def kg_search(spark, d):
     """Documents, and the nations, suppliers, customers and parts of the graph, by words, ranked with their neighbourhood over every kind of edge."""
     c = in_order(claims_of(spark, d, "documents", "doc_id", "text"), *named_claims(spark, d))
-    return retrieval.search("nation nation_3 content supplier 7", c, _edges(spark, d)).select("ref_id", "subject", "predicate", F.round("score", 6).alias("score"), "via")
+    return retrieval.search("nation nation_3 content supplier 7", c, _edges(spark, d)).select("ref_id", "subject", "predicate", F.round("score", 5).alias("score"), "via")
 
 
 @query()
@@ -210,7 +241,16 @@ def vector_topk(spark, d):
     return retrieval.vector_top_k(e, e.where("vec_id = 17").select("embedding")).select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"""
+with q as (select embedding as q from embeddings where vec_id = 17), v as (select vec_id, list_cosine_similarity(embedding::double[], q::double[]) as score from embeddings, q order by score desc, vec_id limit 8),
+h as (select 'nation:' || (vec_id % 25) as node, max(score) as score from v group by 1), h0 as (select node, 1.0::double as s from h order by score desc, node limit 5),
+e as (select src, dst, weight from ({edges_sql(WHOLE)})), b as (select * from e union all select dst, src, weight from e),
+h1 as (select b.dst as node, max(s * 0.85 * weight) as s from h0 join b on b.src = node group by 1), h2 as (select b.dst as node, max(s * 0.85 * weight) as s from h1 join b on b.src = node group by 1),
+h3 as (select b.dst as node, max(s * 0.85 * weight) as s from h2 join b on b.src = node group by 1), h4 as (select b.dst as node, max(s * 0.85 * weight) as s from h3 join b on b.src = node group by 1),
+w as (select node, max(s) as score from (select * from h1 union all select * from h2 union all select * from h3 union all select * from h4) where node not in (select node from h0) group by 1 order by score desc, node limit 15),
+u as (select node, score, 0 as tier, 'hit' as source from h union all select node, score, 1, 'neighbour' from w), f as (select *, row_number() over (partition by node order by tier, score desc) as n from u),
+t as (select 'nation:' || n_nationkey as node, n_name as text from nation union all select 'supplier:' || s_suppkey, s_name from supplier union all select 'customer:' || c_custkey, c_name from customer union all select 'part:' || p_partkey, p_name from part union all select 'region:' || r_regionkey, r_name from region)
+select f.node, round(score, 6) as score, source, text from f left join t on t.node = f.node where n = 1 order by tier, f.score desc, f.node limit 12""")
 def ask_context(spark, d):
     e = load(spark, d, "embeddings")
     hits = retrieval.vector_top_k(e, e.where("vec_id = 17").select("embedding"), 8).select(F.concat(F.lit("nation:"), F.col("vec_id") % 25).alias("node"), "score").groupBy("node").agg(F.max("score").alias("score"))
