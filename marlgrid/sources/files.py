@@ -25,10 +25,10 @@ def json_document(spark: SparkSession, path: str, schema: StructType | str) -> D
 
 
 def manifests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, skill_id, pointer, meta, ext) of skill manifests: the top-level `id` and `exemplar_for` lines of each file."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    """(path, skill_id, pointer, meta, ext) of skill manifests: the top-level `id` and `exemplar_of` lines of each file."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     line = lambda key: F.nullif(F.trim(F.regexp_extract("value", rf"(?m)^{key}:\s*[\"']?([^\"'\n]*)", 1)), F.lit(""))
-    out = whole.select("path", line("id").alias("skill_id"), line("exemplar_for").alias("pointer"))
+    out = whole.select("path", line("id").alias("skill_id"), line("exemplar_of").alias("pointer"))
     return out.withColumn("_p", pointer_parts("pointer")).select("path", "skill_id", "pointer", "_p.meta", "_p.ext")
 
 
