@@ -24,6 +24,7 @@ def usable(column: str):
 
 #: Queries and rows that meet in one task.
 QUERY_BLOCK, ROW_BLOCK = 1024, 16_384
+LONG = 1 << 63
 #: Segments at each resolution, coarse to fine.
 LEVELS = (1, 4, 16)
 
@@ -62,8 +63,8 @@ def block_top_k(qid: np.ndarray, q: np.ndarray, rid: np.ndarray, r: np.ndarray,
         def add(own, i=i):
             nonlocal best_id, best
             s = r[own] @ q[i]
-            best_id, best = np.concatenate([best_id, rid[own]]), np.concatenate([best, s])
-            top = np.lexsort([best_id, -best])[:k]
+            best_id, best = np.concatenate([best_id, rid[own]]), np.concatenate([best.astype(s.dtype), s])
+            top = np.lexsort([best_id, -best])[:k] if s.dtype != object else np.array(sorted(range(len(best)), key=lambda j: (-best[j], best_id[j]))[:k], int)
             best_id, best = best_id[top], best[top]
 
         seed, alive = alive[: 4 * k], alive[4 * k :]
@@ -89,10 +90,11 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id
 
     Ties go to the smaller id; fewer than k rows come back where there are fewer.  Rows without an id, with a null vector or
     with null or non-finite components take no part.  Of rows that share an id each counts as a candidate, and each query row
-    is answered; a query's own id is no candidate.  Vectors of another length than the query's take no part for it.
+    is answered; a query's own id is no candidate.  Vectors of another length than the query's take no part for it.  An empty table
+    gives no rows; extra columns are dropped, whatever their names.  Components and scores beyond the range of a long are taken as its ends.
 
     Rows and queries meet in a grid of blocks of bounded size (a stated query set against all rows); each block keeps k rows for
-    a query, which a ranked window, limited before its shuffle, merges.  All components must fit the exact range of 64-bit sums.
+    a query, which a ranked window, limited before its shuffle, merges.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -118,8 +120,11 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id
                 if not len(b):
                     continue
                 x, y = (np.array(t.column("v").combine_chunks().flatten(), np.int64).reshape(-1, dims) for t in (a, b))
+                if dims * float(np.abs(x.astype(float)).max(initial=0)) * float(np.abs(y.astype(float)).max(initial=0)) >= LONG:
+                    x, y = x.astype(object), y.astype(object)  # exact integers of any size
                 qid, number = (np.array(a.column(c), np.int64) for c in ("id", "row"))
                 at, got, score = block_top_k(qid, x, np.array(b.column("id"), np.int64), y, k)
+                score = [max(-LONG, min(LONG - 1, int(v))) for v in score]
                 for c, v in zip(out, (qid[at].tolist(), number[at].tolist(), got, score), strict=True):
                     c += v
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in out], ["query_id", "query_row", "vec_id", "score"])

@@ -43,6 +43,14 @@ def test_top_k_by_brute_force(spark):
     assert vectors.exact_top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_scores_beyond_a_long(spark):
+    big = [(0, [1e30, 1.0]), (1, [1e30, -2.0]), (2, [-1e30, 5.0]), (3, [3e9, 7.0]), (4, [2e9, 7.0]), (5, [1.0, 1.0])]
+    got = {(r.vec_id): r.score for r in vectors.exact_top_k(frame(spark, big), F.col("vec_id") == 0, 10).collect()}
+    whole = lambda v: [max(-vectors.LONG, min(vectors.LONG - 1, math.floor(1024 * float(np.float32(x))))) for x in v]
+    q = whole(big[0][1])
+    assert got == {i: max(-vectors.LONG, min(vectors.LONG - 1, sum(a * b for a, b in zip(q, whole(v))))) for i, v in big[1:]}
+
+
 def test_bound_holds():
     rng = np.random.default_rng(2)
     q, r = rng.integers(-900, 900, (20, 30)), rng.integers(-900, 900, (50, 30))
