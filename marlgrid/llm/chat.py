@@ -1,9 +1,11 @@
 """Chat formatting (operator 6): prefix-target expansion, in DataFrame functions only.
 
-Every assistant turn becomes an example of its own: all turns before it are context and only its text is trainable.  An
-example is stored as the segment that it adds to the example before it, with the length of what stands before; its full
-text is the conversation's segments up to its own (expanded()).  So the output stays in proportion to the input, however
-long a conversation is.  Turns after the last assistant turn form one example without a target.
+Every assistant turn becomes an example of its own, with all turns before it as context and its text alone trainable.
+Turns after the last assistant turn form one example without a target.
+
+The examples of a conversation share their beginnings, so all of them together grow with the square of its turns.  They are
+built one after another in a conversation's partition and flow on: only what reads them decides whether they are written.
+prefix_segments() is the compact form that they are built from, with each character once.
 """
 
 from __future__ import annotations
@@ -35,14 +37,8 @@ def _joined(parts: str, order: str) -> Column:
     return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, parts))), lambda x: x[parts]), "")
 
 
-def prefix_targets(conversations: DataFrame) -> DataFrame:
-    """conv_id, example (int from 0), segment, context_chars (of the segments before), loss_start, loss_end, n_turns, has_target.
-
-    loss_start and loss_end are code points in the example's full text and span the escaped reply alone (null without a
-    target).  Rows are ordered by turn, then role, then text, so ties and repeated rows have a defined order and all stay;
-    null turns come first; null roles and texts count as empty; rows with a null conv_id form one conversation; an empty
-    table gives no rows; extra columns are ignored.
-    """
+def prefix_segments(conversations: DataFrame) -> DataFrame:
+    """conv_id, example (int from 0), segment (what the example adds to the one before), context_chars, loss_start, loss_end, n_turns (of the segment), has_target."""
     rows = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     is_target = F.when(F.col("role") == TARGET, 1).otherwise(0)
@@ -55,20 +51,30 @@ def prefix_targets(conversations: DataFrame) -> DataFrame:
     return done.select("conv_id", "example", "segment", "context_chars", F.when(has, end - F.col("reply")).alias("loss_start"), F.when(has, end).alias("loss_end"), "n_turns", has.alias("has_target"))
 
 
-def expanded(examples: DataFrame) -> DataFrame:
-    """conv_id, example, text, loss_start, loss_end: each example with its whole context; its size grows with the square of a conversation's turns."""
-    so_far = Window.partitionBy("conv_id").orderBy("example").rowsBetween(Window.unboundedPreceding, 0)
-    return examples.select("conv_id", "example", F.array_join(F.collect_list("segment").over(so_far), "").alias("text"), "loss_start", "loss_end", "has_target")
+def prefix_targets(conversations: DataFrame) -> DataFrame:
+    """conv_id, example (int from 0), text (the whole context, then the target turn), loss_start, loss_end, n_turns (in text), has_target, is_last.
+
+    loss_start and loss_end are code points in text and span the escaped reply alone (null without a target); is_last marks a
+    conversation's last example, whose text is the whole conversation.  Rows are ordered by turn, then role, then text, so ties and
+    repeated rows have a defined order and all stay; null turns come first; null roles and texts count as empty; rows with a null
+    conv_id form one conversation; an empty table gives no rows; extra columns are ignored, whatever their names.  A task holds
+    one conversation's segments and one example's text at a time, however long they are.
+    """
+    own = Window.partitionBy("conv_id").orderBy("example")
+    so_far = own.rowsBetween(Window.unboundedPreceding, 0)
+    text = F.array_join(F.collect_list("segment").over(so_far), "")
+    return prefix_segments(conversations).select("conv_id", "example", text.alias("text"), "loss_start", "loss_end", F.sum("n_turns").over(so_far).alias("n_turns"), "has_target", F.lead("example").over(own).isNull().alias("is_last"))
 
 
 def read_back(examples: DataFrame) -> DataFrame:
     """Per conversation, from the examples alone: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_examples, expanded_chars.
 
-    formatted_chars are those of the formatted conversation, expanded_chars those of all full example texts together.
+    Each reply is cut out of its own example by the loss mask; the turns are read from the last example.  formatted_chars are those of the
+    formatted conversation, expanded_chars those of all examples with a target together.
     """
-    reply = F.when(F.col("has_target"), unescaped(F.expr("substring(segment, cast(loss_start - context_chars + 1 as int), cast(loss_end - loss_start as int))"))).otherwise("")
-    each = examples.withColumn("reply", reply)
-    whole = each.groupBy("conv_id").agg(_joined("segment", "example").alias("shown"), _joined("reply", "example").alias("loss"), F.count_if("has_target").alias("n_examples"), F.sum(F.when(F.col("has_target"), F.col("context_chars") + F.length("segment")).otherwise(0)).cast("bigint").alias("expanded_chars"))
+    reply = F.when(F.col("has_target"), unescaped(F.expr("substring(text, cast(loss_start + 1 as int), cast(loss_end - loss_start as int))"))).otherwise("")
+    each = examples.select("conv_id", "example", reply.alias("reply"), F.when(F.col("is_last"), F.col("text")).alias("shown"), F.when(F.col("has_target"), F.length("text")).otherwise(0).alias("chars"), "has_target")
+    whole = each.groupBy("conv_id").agg(F.max("shown").alias("shown"), _joined("reply", "example").alias("loss"), F.count_if("has_target").alias("n_examples"), F.sum("chars").cast("bigint").alias("expanded_chars"))
     shown = F.split("shown", CLOSE)
     turns = F.filter(shown, lambda t: t != "")
 

@@ -196,7 +196,7 @@ def test_chat_reads_back(spark):
     rng.shuffle(rows)
     examples = chat.prefix_targets(spark.createDataFrame(rows, CONV)).persist()
     got = {r.conv_id: r for r in chat.read_back(examples).collect()}
-    full = {(r.conv_id, r.example): r for r in chat.expanded(examples).collect()}
+    full = {(r.conv_id, r.example): r for r in examples.collect()}
     for c, v in talk.items():
         v = sorted((t, role, text or "") for t, role, text, _ in v)
         said = "".join(f"{role}\n{text}\n" for _, role, text in v)
@@ -207,12 +207,14 @@ def test_chat_reads_back(spark):
         assert got[c].n_examples == len(targets)
         for n, i in enumerate(targets):
             e = full[c, n]
-            assert e.text.count("### ") == i + 1 and e.has_target
+            assert e.text.count("### ") == e.n_turns == i + 1 and e.has_target
             reply = e.text[e.loss_start : e.loss_end]
             for code, plain in (("\\3", ":"), ("\\2", "<"), ("\\1", "#"), ("\\0", "\\")):
                 reply = reply.replace(code, plain)
             assert reply == v[i][2]
         assert got[c].formatted_chars == max(len(r.text) for (k, _), r in full.items() if k == c)
+        assert got[c].expanded_chars == sum(len(full[c, n].text) for n in range(len(targets)))
+        assert [r.is_last for (k, _), r in sorted(full.items()) if k == c].count(True) == 1
     assert chat.prefix_targets(spark.createDataFrame([], CONV)).count() == 0
 
 
