@@ -91,6 +91,12 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def with_least(rows: DataFrame, least: DataFrame, key: str) -> DataFrame:
+    """rows joined to their key's row of least, which is a table of its own: both sides are plain shuffles, so that adaptive
+    execution can split the rows of a hot key (it can't beside an aggregate on that key)."""
+    return rows.join(least, key)
+
+
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, component) for every node of the undirected edges (a, b); component is the smallest node that links reach.
 
@@ -103,11 +109,11 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
         # large star: every neighbour above a node is linked to the smallest node of its neighbourhood
         both = links.select(F.col("hi").alias("v"), F.col("lo").alias("w")).unionByName(links.select(F.col("lo").alias("v"), F.col("hi").alias("w")))
         least = table(both.groupBy("v").agg(F.least(F.min("w"), F.col("v")).alias("m")), name, tidy=False)
-        large = both.where("w > v").join(least, "v").select(F.col("m").alias("lo"), F.col("w").alias("hi")).where("lo < hi")
+        large = with_least(both.where("w > v"), least, "v").select(F.col("m").alias("lo"), F.col("w").alias("hi")).where("lo < hi")
         large = table(large.distinct(), name, tidy=False)
         # small star: the neighbours below a node, and the node, are linked to the smallest of them
         below = table(large.groupBy("hi").agg(F.min("lo").alias("m")), name, tidy=False)
-        small = large.join(below, "hi").select(F.col("m").alias("lo"), F.explode(F.array("hi", "lo")).alias("hi")).where("lo < hi")
+        small = with_least(large, below, "hi").select(F.col("m").alias("lo"), F.explode(F.array("hi", "lo")).alias("hi")).where("lo < hi")
         links = table(small.distinct(), name)
         # done once every node above has one neighbour below, which is nobody's node above
         bad = links.groupBy("hi").agg(F.count("*").alias("n")).where("n > 1").select("hi").unionByName(links.select("hi").join(links.select(F.col("lo").alias("hi")), "hi", "left_semi")).limit(1)

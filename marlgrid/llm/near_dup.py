@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlgrid.llm.common import connected_components, ship, table, text_or_empty
+from marlgrid.llm.common import connected_components, ship, table, text_or_empty, with_least
 
 U = np.uint64
 WORDS = 5
@@ -333,7 +333,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, repeats: int = 20,
     each = members.select(F.explode(F.array_distinct("buckets")).alias("bucket"), "node", "size")
     # what is joined to a bucket's rows is a table of its own, so that both sides are plain shuffles and a hot bucket's rows can be split
     leaders = table(each.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("bucket", "leader"), "leaders", tidy=False)
-    shared = table(each.join(leaders, "bucket"), "shared-buckets")
+    shared = table(with_least(each, leaders, "bucket"), "shared-buckets")
 
     wanted = table(shared.select(F.col("node").alias("doc")).distinct(), "wanted", tidy=False)
     sequences = table(named.join(wanted, "doc", "left_semi").mapInArrow(_sequences(), "doc long, kmers binary"), "sequences")
