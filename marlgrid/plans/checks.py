@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from marlgrid.functions import text
@@ -130,3 +132,62 @@ with u as (select page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*:/
 select page_id, coalesce(host in ('example.com', 'www.example.com') and len(parts) > 1 and parts[1] = 'en' and lower(parts[-1]) not in ('sitemap.xml', 'rss.xml', 'feed.xml', 'atom.xml', 'feed', 'rss') and not (len(parts) = 3 and parts[2] = 'category') and not (starts_with(bare, 'en/1/') or bare = 'en/1'), false) as post from u""")
 def blog_posts(spark, d):
     return load(spark, d, "pages").select("page_id", urls.is_post("url", "example.com", "en", ["en/1"]).alias("post"))
+
+
+@query(r"""
+with p as (select p_partkey, 'part:' || p_partkey as subject, p_brand as predicate, p_name || ' "' || p_type || '"' as value, case when p_size > 25 then 'o' || p_size else '' end as object_ref from part)
+select p_partkey, 'wkg:' || substr(sha256('{"object_ref":"' || object_ref || '","predicate":"' || predicate || '","subject":"' || subject || '","value_json":"' || replace(value, '"', '\"') || '"}'), 1, 24) as claim_id, subject || ' ' || predicate || ' ' || value || ' None' as claim_text from p""")
+def claim_ids(spark, d):
+    p = load(spark, d, "part")
+    value = F.concat("p_name", F.lit(' "'), "p_type", F.lit('"'))
+    subject = F.concat(F.lit("part:"), "p_partkey")
+    fields = {"subject": subject, "predicate": F.col("p_brand"), "value_json": value, "object_ref": F.when(F.col("p_size") > 25, F.concat(F.lit("o"), "p_size")).otherwise("")}
+    return p.select("p_partkey", text.claim_id(fields).alias("claim_id"), text.claim_text(subject, F.col("p_brand"), value, F.lit(None).cast("string"), "None").alias("claim_text"))
+
+
+@query("""
+select s_suppkey, case when s_suppkey % 2 = 0 then 'Supplier ' || s_name || ' exists.' else s_name || ' owes ' || s_nationkey || '.' end as card, regexp_replace(replace(lower('_' || replace(s_name, '#', '_X_') || '_'), '_', '-'), '^-+|-+$', '', 'g') as minted,
+ case s_suppkey % 5 when 0 then 'read' when 1 then 'write' when 2 then 'unclassified' else 'odd' || s_suppkey end as effect, sha256('m' || '|' || s_name || '|' || s_nationkey || '|') as feature_hash, concat_ws(',', case when s_suppkey % 3 = 0 then 'target' end, 'split') as missing from supplier""")
+def card_fields(spark, d):
+    """Cards, minted ids, spellings of effects, feature hashes and missing inputs of suppliers."""
+    s = load(spark, d, "supplier")
+    k = F.col("s_suppkey")
+    card = text.card(F.when(k % 2 == 0, "EXISTS").otherwise("OWES"), F.col("s_name"), F.col("s_nationkey").cast("string"), {"EXISTS": "Supplier {subject} exists.", "OWES": "{subject} owes {value}."})
+    minted = text.minted_id(F.concat(F.lit("_"), F.replace("s_name", F.lit("#"), F.lit("_X_")), F.lit("_")))
+    effect = text.normal_effect(F.when(k % 5 == 0, "Read-Only").when(k % 5 == 1, "mutating").when(k % 5 == 2, "TBD").otherwise(F.concat(F.lit("odd"), k)))
+    missing = rules.missing_inputs(("target", "key", "split"), {"target": F.when(k % 3 > 0, "t").otherwise(" "), "key": F.col("s_name")})
+    return s.select("s_suppkey", card.alias("card"), minted.alias("minted"), effect.alias("effect"), rules.feature_hash(F.lit("m"), F.col("s_name"), F.col("s_nationkey").cast("string"), F.lit(None).cast("string")).alias("feature_hash"), missing.alias("missing"))
+
+
+@query("""
+select o_orderkey as claim_id, o_orderstatus as value from orders where o_orderkey % 5 > 0 union all select o_orderkey, 'new' from orders where o_orderkey % 5 = 0""")
+def claim_merge(spark, d):
+    from marlgrid.sources.files import merge_current
+
+    o = load(spark, d, "orders").select(F.col("o_orderkey").alias("claim_id"), F.col("o_orderstatus").alias("value"))
+    return merge_current(o, o.where("claim_id % 5 = 0").withColumn("value", F.lit("new")))
+
+
+@query("""select doc_id, lang as snapshot_id from documents where lang = 'de'""")
+def active_snapshot(spark, d):
+    """Rows of the promoted snapshot: its pointer is written, then read by the filter."""
+    from marlgrid.operators import snapshot
+    from marlgrid.operators.staging import shared_folder
+
+    path = f"{shared_folder(spark)}/pointer-{uuid.uuid4().hex}"
+    gates = spark.createDataFrame([("de", g, True) for g in ("persist", "vector", "smoke")], "snapshot_id string, gate string, ok boolean")
+    snapshot.promote(spark, "de", gates, path, NOW_MS)
+    return snapshot.active_rows(load(spark, d, "documents").select("doc_id", F.col("lang").alias("snapshot_id")), path)
+
+
+@query("""
+with r as (select o_orderkey % 97 as name, o_custkey % 3 as version, o_orderkey, 'https://x/workspace/' || case when o_custkey % 2 = 0 then 'jobs_21' else 'jobs' end || '/' || o_orderkey as url, o_custkey % 2 = 0 as versioned from orders),
+k as (select *, row_number() over (partition by version, name order by versioned desc, url desc) as n from r)
+select version as api_version, name, url as source_url from k where n = 1""")
+def best_documents(spark, d):
+    from marlgrid.sources import openapi
+
+    o = load(spark, d, "orders")
+    url = F.concat(F.lit("https://x/workspace/"), F.when(F.col("o_custkey") % 2 == 0, "jobs_21").otherwise("jobs"), F.lit("/"), "o_orderkey")
+    ops = o.select((F.col("o_custkey") % 3).alias("api_version"), F.lit("GET").alias("method"), F.lit("/p").alias("path"), (F.col("o_orderkey") % 97).alias("name"), url.alias("source_url"))
+    return openapi.best_documents(ops, ("lakeflow",)).select("api_version", "name", "source_url")

@@ -58,10 +58,11 @@ def described(documents: DataFrame) -> DataFrame:
 
 
 def best_documents(operations: DataFrame, current_prefixes: tuple[str, ...] = ()) -> DataFrame:
-    """One operation for each method, path and name: versioned pages first, then current product names, then the larger url."""
+    """One operation for each API version (`api_version`, where operations have it), method, path and name: versioned pages first, then current product names, then the larger url."""
     service = F.lower(F.regexp_extract("source_url", r"/(?:workspace|account)/([^/]+)", 1))
     current = F.lit(0)
     for p in current_prefixes:
         current = F.greatest(current, service.startswith(p).cast("int"))
     ranked = operations.withColumn("_versioned", service.rlike(r"(^|_)\d+(_\d+)?$").cast("int")).withColumn("_current", current)
-    return latest_per_key(ranked, ["method", "path", "name"], [F.desc("_versioned"), F.desc("_current"), F.desc("source_url")]).drop("_versioned", "_current")
+    version = ["api_version"] if "api_version" in operations.columns else []
+    return latest_per_key(ranked, [*version, "method", "path", "name"], [F.desc("_versioned"), F.desc("_current"), F.desc("source_url")]).drop("_versioned", "_current")
