@@ -190,4 +190,4 @@ def best_documents(spark, d):
     o = load(spark, d, "orders")
     url = F.concat(F.lit("https://x/workspace/"), F.when(F.col("o_custkey") % 2 == 0, "jobs_21").otherwise("jobs"), F.lit("/"), "o_orderkey")
     ops = o.select((F.col("o_custkey") % 3).alias("api_version"), F.lit("GET").alias("method"), F.lit("/p").alias("path"), (F.col("o_orderkey") % 97).alias("name"), url.alias("source_url"))
-    return openapi.best_documents(ops, ("lakeflow",)).select("api_version", "name", "source_url")
+    return openapi.best_documents(ops, ("current",)).select("api_version", "name", "source_url")
