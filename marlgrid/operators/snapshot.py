@@ -38,6 +38,15 @@ def file_system(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
 
 
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Renames a folder in one step; an error if the target is there already, so that of two writers one fails."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs, P = file_system(spark, source)
+    a, b = fs.makeQualified(P(source)), fs.makeQualified(P(target))
+    no_options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(a.toUri(), conf).rename(a, b, no_options)
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
     fs, P = file_system(spark, path)
     if not fs.exists(P(path)):
@@ -55,9 +64,11 @@ def _swap(spark: SparkSession, path: str, row: DataFrame) -> None:
     old = versions(spark, path)
     fresh, name = f"{path}/next-{uuid.uuid4().hex}", f"{path}/v{(old[-1] if old else 0) + 1}"
     row.coalesce(1).write.parquet(fresh)
-    if fs.exists(P(name)) or not fs.rename(P(fresh), P(name)):
+    try:
+        move(spark, fresh, name)
+    except Exception:
         fs.delete(P(fresh), True)
-        raise RuntimeError(f"another writer has moved {path}")
+        raise
     for v in old[:-KEPT_POINTERS]:
         fs.delete(P(f"{path}/v{v}"), True)
 

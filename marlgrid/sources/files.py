@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from marlgrid.functions.text import pointer_parts
-from marlgrid.operators.snapshot import file_system, versions
+from marlgrid.operators.snapshot import file_system, move, versions
 
 
 def json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -62,8 +62,7 @@ def publish(df: DataFrame, path: str, snapshot_id: str) -> int:
         fs.delete(P(fresh), True)
         raise ValueError(f"{snapshot_id} has no rows to publish")
     before = versions(spark, path)
-    if not fs.rename(P(fresh), P(f"{path}/v{(before[-1] if before else 0) + 1}")):
-        raise RuntimeError(f"another writer has moved {path}")
+    move(spark, fresh, f"{path}/v{(before[-1] if before else 0) + 1}")
     return n
 
 

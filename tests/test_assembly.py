@@ -164,6 +164,8 @@ def test_pointer_versions(spark, tmp_path):
     # a writer that died before its rename leaves a folder that is no version
     spark.createDataFrame([("half", 1)], "snapshot_id string, promoted_at_ms long").write.parquet(f"{path}/next-dead")
     assert snapshot.pointer(spark, path) == "s2"
+    with pytest.raises(Exception, match="already exist"):
+        snapshot.move(spark, f"{path}/next-dead", f"{path}/v2")
     df = spark.createDataFrame([("s1", 1), ("s2", 2)], "snapshot_id string, v long")
     assert rows(snapshot.active_rows(df, path), "v") == [(2,)]
     for i in range(12):
