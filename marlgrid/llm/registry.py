@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlgrid.llm import bpe, chat, near_dup, packing, secret_scan, suffix_dedup, toxicity, url_filter, vectors
+from marlgrid.llm import bpe, chat, hard_negatives, mixing, near_dup, packing, secret_scan, suffix_dedup, toxicity, url_filter, vectors, whitening
 from marlgrid.llm.common import load, table
 
 
@@ -66,7 +66,22 @@ def op10_url_digest_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(load(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_segment_topk, op2_order_minhash, op3_multi_index_links, op4_concat_pack, op5_bucket_refine_dedup, op6_prefix_target_chat, op7_blob_ledger_secrets, op8_toxicity_chain, op9_bpe_roundtrip, op10_url_digest_filter)}
+def op11_range_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op12_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_digests(mixing.mix(load(spark, sf_dir, "documents")))
+
+
+def op13_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(load(spark, sf_dir, "embeddings"))
+
+
+_ALL = (op1_segment_topk, op2_order_minhash, op3_multi_index_links, op4_concat_pack, op5_bucket_refine_dedup, op6_prefix_target_chat, op7_blob_ledger_secrets, op8_toxicity_chain, op9_bpe_roundtrip, op10_url_digest_filter, op11_range_tree_negatives, op12_fair_queue_mix, op13_lanczos_whitening)
+QUERIES = {f.__name__: f for f in _ALL}
 
 SQL: dict[str, str] = {}
 
@@ -107,3 +122,25 @@ p as (select page_id, translate(regexp_extract(rest, '^[^/]*'), 'ABCDEFGHIJKLMNO
 r(v, h, w) as (values {_RULES}),
 f as (select page_id, h || w as rule, v, row_number() over (partition by page_id order by length(h || w) desc, length(h) desc) as n from p join r on (host = h or host like '%.' || h) and starts_with(path, w))
 select p.page_id, host, path, rule, coalesce(v, 'allow') as verdict from p left join f on f.page_id = p.page_id and n = 1"""
+
+SQL["op11_range_tree_negatives"] = """
+with v as (select vec_id, if(vec_id % 7 = 0, (label + 1) % 10, label) as label, list_transform(embedding, lambda x: cast(floor(256 * x::double) as bigint)) as w from embeddings
+ where vec_id is not null and label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, r.vec_id, r.label = a.label as same, cast(list_sum(list_transform(list_zip(a.w, r.w), lambda p: p[1] * p[2])) as bigint) as score from v a join v r on a.vec_id % 100 = 0 and len(a.w) = len(r.w)),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same and vec_id <> anchor_id qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+n as (select p.anchor_id, positive_id, positive_score, vec_id as negative_id, score as negative_score, row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id) as n
+ from p join s on s.anchor_id = p.anchor_id and not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score)
+select anchor_id, positive_id, cast(n as integer) as rank, negative_id, positive_score, negative_score from n where n <= 10"""
+
+SQL["op12_fair_queue_mix"] = r"""
+with d as (select row_number() over () as row, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, md5('mix-1:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) as key from documents),
+s as (select source, sum(size)::hugeint as source_size, row_number() over (order by source nulls last) as place from d group by source),
+w as (select *, (place - 1) % 3 + 1 as weight, 3 * source_size as cap, sum(source_size) over () as budget from s),
+f as (select *, coalesce(sum(cap) over (order by cap / weight, place rows between unbounded preceding and 1 preceding), 0) as full_cap, sum(weight) over (order by cap / weight, place rows between current row and unbounded following) as rest from w),
+l as (select (budget - full_cap) as part, rest from f where (budget - full_cap) * weight < cap * rest order by cap / weight, place limit 1),
+t as (select source, place, source_size, case when (budget - full_cap) * weight >= cap * f.rest then cap::double else l.part::double * weight::double / l.rest::double end as target,
+ case when (budget - full_cap) * weight >= cap * f.rest then cap else least(cap, (l.part * weight) // l.rest) end as quota from f left join l on true),
+q as (select d.*, t.place, t.source_size, t.target, t.quota, sum(size) over (partition by t.place order by key, row rows unbounded preceding) - size as start from d join t on d.source is not distinct from t.source),
+i as (select *, least(size, quota - (pass * source_size + start)) as words from q, range(3) r(pass)),
+m as (select *, sum(words) over (order by (pass * source_size + start + words)::double / target, place rows unbounded preceding) - words as at from i where words > 0)
+select q.doc_id, q.size, q.source_size::bigint as source_size, q.target, coalesce(sum(m.words), 0)::bigint as taken, min(m.at)::bigint as first_at from q left join m on m.row = q.row group by q.row, q.doc_id, q.size, q.source_size, q.target"""
