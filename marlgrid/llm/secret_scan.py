@@ -31,6 +31,8 @@ RULES = (
     Rule("access", r"(AKIA[A-Z0-9]+)", 1, 16, r"AKIA[A-Z0-9]{12}"),
     Rule("hex", r"([0-9a-f]+)", 1, 32, r"[0-9a-f]{32}"),
 )
+#: Characters of a piece of a text that is redacted.
+PIECE = 4096
 LEDGER = "blob binary, rule_version string, spans array<struct<start:bigint,kind_no:int,end:bigint,kind:string>>"
 
 
@@ -50,14 +52,14 @@ def _matches(rule: Rule, number: int) -> Column:
 
 
 def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> DataFrame:
-    """Ledger rows of (blob, content): spans in code points, end exclusive, by start and then kind; blobs without any have an empty array.
+    """Ledger rows of (blob, content), each blob once: spans in code points, end exclusive, by start and then kind; blobs without any have an empty array.
 
     A match's start is the running sum of the gaps and matches before it, so long texts with many matches stay linear.
     """
     empty = F.array().cast("array<struct<kind_no:int,at:int,gap:bigint,size:bigint,counts:boolean>>")
     found = blobs.select("blob", F.concat(*[F.coalesce(_matches(r, i), empty) for i, r in enumerate(rules)]).alias("found"))
     rows = found.select("blob", F.explode_outer("found").alias("m")).select("blob", "m.*")
-    order = Window.partitionBy("blob", "kind_no").orderBy("at")
+    order = Window.partitionBy("blob", "kind_no").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ended = rows.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(order))
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     span = F.when(F.col("counts"), F.struct((F.col("end") - F.col("size")).alias("start"), F.col("kind_no").alias("kind_no"), F.col("end").alias("end"), kinds[F.col("kind_no")].alias("kind")))
@@ -65,21 +67,19 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES, version: str = RULE_
 
 
 def unseen(docs: DataFrame, ledger: DataFrame | None, version: str = RULE_VERSION) -> DataFrame:
-    """(blob, content) once for each blob of docs that the ledger lacks at this rule version.
+    """(blob, content), exactly one row for each blob of docs that the ledger lacks at this rule version.
 
-    The text to scan is that of the smallest path; it is found by path and blob together, so copies don't meet in one task.
+    Copies are brought down to one content in each task before the shuffle, whatever their ids, so they don't meet in one task.
     """
-    every = addressed(docs)
-    first = every.groupBy("blob").agg(F.min("path").alias("path"))
+    every = addressed(docs).groupBy("blob").agg(F.first("content").alias("content"))
     if ledger is not None:
-        first = first.join(ledger.where(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
-    same = every["path"].eqNullSafe(F.col("first_path")) & (every["blob"] == F.col("first_blob"))
-    return every.join(first.select(F.col("path").alias("first_path"), F.col("blob").alias("first_blob")), same, "left_semi").select("blob", "content")
+        every = every.join(ledger.where(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
+    return every
 
 
 def scan_new(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> DataFrame:
-    """The rows that docs add to the ledger (append them to its table).  Rows repeated with one path and text are scanned twice at most and listed once."""
-    return scan(unseen(docs, ledger, version), rules, version).withColumn("spans", F.array_distinct("spans"))
+    """The rows that docs add to the ledger (append them to its table): one for each unseen blob, however often its text stands in docs."""
+    return scan(unseen(docs, ledger, version), rules, version)
 
 
 def joined_back(docs: DataFrame, entries: DataFrame, version: str = RULE_VERSION) -> DataFrame:
@@ -106,20 +106,31 @@ def redacted(docs: DataFrame, entries: DataFrame, rules: tuple[Rule, ...] = RULE
     """docs with every span's characters replaced by `[kind]` (overlapping spans by the first one's), n_chars brought up to date.
 
     The text between spans stays as it was.  Spans of a kind don't overlap each other; a span that starts inside an earlier
-    one is joined to it.
+    one is joined to it.  A text is cut into pieces of PIECE characters once, and what stands between two spans is taken from its own pieces, so
+    the work is in proportion to the text, however many spans it has.
     """
-    state = "struct<at:bigint,out:array<string>>"
-    found = joined_back(docs, entries, version)
-
-    def step(acc, s):
-        fresh = s["start"] >= acc["at"]
-        cut = F.col("text").substr((acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        put = F.concat(acc["out"], F.array(F.concat(cut, F.lit("["), s["kind"], F.lit("]"))))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, put).otherwise(acc["out"]).alias("out")).cast(state)
-
-    folded = F.aggregate("spans", F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out")).cast(state), step)
-    clean = F.when(F.size("spans") > 0, F.concat(F.array_join(folded["out"], ""), F.col("text").substr((folded["at"] + 1).cast("int"), F.length("text")))).otherwise(F.col("text"))
-    return found.withColumn("text", clean).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    order = Window.partitionBy("blob").orderBy("start", "kind_no")
+    each = entries.where((F.col("rule_version") == version) & (F.size("spans") > 0)).select("blob", F.explode("spans").alias("s")).select("blob", "s.*")
+    # where the text before a span begins; a span that starts before that is part of an earlier one
+    after = each.withColumn("begin", F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint")))
+    cut = F.when(F.col("start") >= F.col("begin"), F.struct("start", "begin", "kind"))
+    cuts = after.groupBy(F.col("blob").alias("cut_blob")).agg(F.sort_array(F.collect_list(cut)).alias("cuts"), F.max("end").alias("tail"))
+    keyed = docs.withColumn("blob", F.unhex(F.sha2(text_or_empty(), 256)))
+    found = keyed.join(cuts, F.col("blob") == F.col("cut_blob"), "left")
+
+    def clean(pieces: Column) -> Column:
+        def between(a: Column, b: Column) -> Column:
+            first = F.floor(a / PIECE)
+            own = F.slice(pieces, (first + 1).cast("int"), (F.floor((b - 1) / PIECE) - first + 1).cast("int"))
+            return F.when(b > a, F.array_join(own, "").substr((a - first * PIECE + 1).cast("int"), (b - a).cast("int"))).otherwise("")
+
+        said = F.transform("cuts", lambda c: F.concat(between(c["begin"], c["start"]), F.lit("["), c["kind"], F.lit("]")))
+        return F.concat(F.array_join(said, ""), between(F.col("tail"), F.length("text").cast("bigint")))
+
+    # bound once for all of a text's spans, as the variable of a lambda
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    text = F.when(F.col("cuts").isNotNull(), F.transform(F.array(pieces), clean)[0]).otherwise(F.col("text"))
+    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def secret_digests(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

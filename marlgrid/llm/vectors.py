@@ -146,12 +146,24 @@ CELL_BLOCK = 2048
 STEPS, STEP = 1024, 1 / 256
 
 
+#: Numbers in a table of distances at a time: 32 MB.
+TABLE = 1 << 22
+
+
+def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The number of the nearest row of c for each row of x, some rows at a time, so that memory doesn't grow with both."""
+    square, out, step = (c * c).sum(1), np.zeros(len(x), np.int64), max(1, TABLE // max(1, len(c)))
+    for at in range(0, len(x), step):
+        out[at : at + step] = np.argmin(square - 2 * (x[at : at + step] @ c.T), 1)
+    return out
+
+
 def centroids(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
-    """k-means; empty clusters keep their centre."""
+    """k-means; empty clusters keep their centre.  Besides x and the centres it holds TABLE numbers."""
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        own = np.argmin((c * c).sum(1) - 2 * (x @ c.T), 1)
+        own = nearest(x, c)
         n = np.bincount(own, minlength=len(c))
         total = np.zeros_like(c)
         np.add.at(total, own, x)
@@ -160,8 +172,10 @@ def centroids(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndar
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    """Rows of length 1; each row's result depends on that row alone."""
+    """Rows of length 1; each row's result depends on that row alone.  Rows are brought near 1 by a power of two first, which rounds nothing, so that
+    no square under- or overflows."""
     x = np.ascontiguousarray(x, float)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0.0))[1][:, None])
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -177,8 +191,11 @@ class Grid:
 
     def home(self, x: np.ndarray) -> np.ndarray:
         """The nearest cell of each vector."""
-        i, j = (d.argmin(1) for d in self._sides(x))
-        return i * self.width + j
+        out, step = np.zeros(len(x), np.int64), max(1, TABLE // max(len(c) for c in self.books))
+        for at in range(0, len(x), step):
+            i, j = (d.argmin(1) for d in self._sides(x[at : at + step]))
+            out[at : at + step] = i * self.width + j
+        return out
 
     def distance(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
         """Squared distances of vectors to cells, row by row; each depends on its row alone, so that every task agrees."""
@@ -265,10 +282,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, target: float = 0.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, and neither do rows without an id
     (their component_id is null, and they are kept).  Equal vectors are linked; rows that share an id are vectors of their
-    own.  Vectors of different lengths don't link.  An empty table gives an empty one; extra columns are dropped, whatever their names.
+    own.  Vectors of different lengths don't link.  Components of any size a double holds count, the smallest and the largest too.  An empty
+    table gives an empty one; extra columns are dropped, whatever their names.
 
     Equal vectors become one member with their number.  The codebooks are fitted on a sample, their number of cells grows with
-    the table.  Every member is indexed and visits all cells that are at most a margin farther than its nearest one.  The margin
+    the table: k = sqrt(members / 8) centroids a half, and 8 sampled vectors for each.  The driver holds that sample, the two codebooks and 32 MB (at
+    10^9 members of 64 components about 100 MB), a task a batch of vectors and 64 MB.  Every member is indexed and visits all cells that are at most a margin farther than its nearest one.  The margin
     is the smallest one at which `target` of the links are found: of those between `asked` sampled vectors and all members, each
     vector counted alike, and of pairs at the threshold itself.  Members and visitors of a cell meet in
     blocks of bounded size; a block returns a count for each member and a spanning forest, never its pairs.

@@ -178,6 +178,24 @@ def test_ledger_scans_only_unseen(spark):
     assert len(twice) == 2 and all(len(r.spans) == 1 for r in twice)
 
 
+TWO = "x password=abcdefgh12345 y token: 12345678abc then " + "0f" * 16 + " end"
+
+
+@pytest.mark.parametrize("ids", [[1, 1], [None, None], [None, 3, 3, None, 3, 4]])
+def test_repeated_rows_have_one_rows_spans(spark, ids):
+    docs = frame(spark, [TWO] * len(ids) + ["clean"], [*ids, 9]).repartition(3)
+    want = ",".join(f"{k}:{a}:{b}" for k, a, b in base_spans(TWO))
+    assert want.startswith("assign:2:24,assign:27:45,hex:51:")
+    assert secret_scan.unseen(docs, None).count() == 2
+    for ledger in (None, secret_scan.scan_new(docs.where("doc_id = 3"))):
+        rows = secret_scan.secret_digests(secret_scan.secrets(docs, ledger)).collect()
+        assert sorted(r.spans for r in rows) == ["", *[want] * len(ids)]
+        assert all(r.n_assign == 2 and r.n_hex == 1 for r in rows if r.spans)
+    out = secret_scan.redacted(docs, secret_scan.scan_new(docs)).collect()
+    assert sorted(r.text for r in out) == ["clean", *["x [assign] y [assign] then [hex] end"] * len(ids)]
+    assert all(r.n_chars == len(r.text) for r in out)
+
+
 def test_redaction(spark):
     text = "é password=hunter2hunter2 and " + "0a" * 16 + " end"
     out = secret_scan.redacted(frame(spark, [text, "clean", None]), secret_scan.scan_new(frame(spark, [text, "clean", None]))).collect()
@@ -185,6 +203,24 @@ def test_redaction(spark):
     assert out[0].__fields__ == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def redacted_truth(text):
+    out, at = "", 0
+    for kind, a, b in base_spans(text):
+        if a >= at:
+            out += text[at:a] + f"[{kind}]"
+        at = max(at, b)
+    return out + text[at:]
+
+
+def test_redaction_of_long_and_overlapping_spans(spark, monkeypatch):
+    texts = [*SECRETS, "secret=" + "ab" * 40 + " é🙂" * 50 + "token=" + "0f" * 20, ("🙂pad " * 30 + "token=abcdefgh12 ") * 400, "\n" * 5000 + TWO + "\n" * 5000]
+    for piece in (1, 7, 4096):
+        monkeypatch.setattr(secret_scan, "PIECE", piece)
+        docs = frame(spark, [*texts, *texts, None])
+        got = {r.doc_id: r.text for r in secret_scan.redacted(docs, secret_scan.scan_new(docs)).collect()}
+        assert got == {i: t if t is None else redacted_truth(t) for i, t in enumerate([*texts, *texts, None])}
+
+
 CONV = "conv_id long, turn long, role string, text string, example string"
 
 

@@ -1,6 +1,7 @@
 """Operators 1 and 3 against every pair."""
 
 import math
+import tracemalloc
 
 import numpy as np
 
@@ -90,6 +91,31 @@ def test_links_by_brute_force(spark):
     assert vectors.near_vectors(frame(spark, []), 0.95).count() == 0
 
 
+def test_tiny_and_huge_components(spark):
+    """Squares that under- or overflow a double: the cosine counts, and no vector loses its cell."""
+    rows = [(0, [1e-200, 1e-200]), (1, [1.0, 0.0]), (2, [1e200, 1e200]), (3, [2e200, 2e200]), (4, [5e-324, 0.0]), (5, [0.0, -1e308]), (6, [-1.7e308, 1.7e308]), (7, [1e-310, 1e-310]), (8, [1e300, 1e-300])]
+    df = spark.createDataFrame([(i, v) for i, v in rows], "vec_id long, embedding array<double>").repartition(3)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(df, 0.95).collect()}
+    assert got == {0: (3, 0), 2: (3, 0), 3: (3, 0), 7: (3, 0), 1: (2, 1), 4: (2, 1), 8: (2, 1), 5: (0, 5), 6: (0, 6)}
+
+
+def test_unit_rounds_nothing_more():
+    x = np.random.default_rng(8).normal(size=(200, 64)).astype(np.float32).astype(float)
+    assert (vectors.unit(x) == x / np.sqrt((x * x).sum(1))[:, None]).all()
+
+
+def test_memory_of_the_codebooks():
+    """At 8192 centroids (a table of 500 million distinct vectors) the fit holds its rows, its centres and a table of bounded size."""
+    x = np.random.default_rng(9).normal(size=(49_152, 8))
+    tracemalloc.start()
+    c = vectors.centroids(x, 8192, rounds=1)
+    grid = vectors.Grid(c, c)
+    home = grid.home(np.column_stack([x[:10_000], x[:10_000]]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6 and (home // 8192 == vectors.nearest(x[:10_000], c)).all()
+
+
 def test_recall_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(vectors, "CELL_BLOCK", 16)
     rows = clustered(4, 600)
