@@ -1,6 +1,6 @@
 """MinHash near-dedup (operator 2): order MinHash over five-word k-mers, verified by banded alignment.
 
-Sketch.  Words are runs of letters, digits and underscores, lower-cased; a k-mer is five words in a row, labelled with the
+Sketch.  Words are runs of letters, digits and underscores, lower-cased, and single letters in scripts that put no spaces between words; a k-mer is five words in a row, labelled with the
 number of times it stood before in the text.  In each of `repeats` independent orders the `picks` smallest labelled k-mers are
 taken and kept in text order, so a sketch agrees only where the same k-mers stand in the same order.  Texts that agree in a
 repeat share a bucket.
@@ -37,6 +37,8 @@ CHUNK_CHARS = 1 << 20
 #: Members of a bucket, and bytes of their k-mers, in one side of a block.
 BLOCK, BLOCK_BYTES = 1024, 8 << 20
 _NOT_WORD = re.compile(r"\W+")
+#: Letters of scripts that put no spaces between words (Thai to Tibetan, Burmese, Khmer, kana, Han and its extensions).
+_UNSPACED = re.compile("([\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])")
 _RNG = np.random.Generator(np.random.PCG64(777))
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=U) * U(2) + U(1)
 _BASE = int(_RNG.integers(1 << 60, 1 << 62)) | 1
@@ -53,8 +55,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def normal(text: str) -> str:
-    """The words, lower-cased, one space between them."""
-    return _NOT_WORD.sub(" ", text.lower()).strip()
+    """The words, lower-cased, one space between them; each letter of a script without spaces between words is a word."""
+    text = text.lower()
+    return _NOT_WORD.sub(" ", text if text.isascii() else _UNSPACED.sub(r" \1 ", text)).strip()
 
 
 def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

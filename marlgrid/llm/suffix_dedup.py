@@ -546,6 +546,8 @@ def _ranges_by_doc(part: tuple, table_: pa.Table) -> pa.Table:
 
 #: Bytes of text behind a part of the buckets; its packed members are about as large.
 PART_BYTES = 8 << 20
+#: Partitions of a shuffle at most; beyond that a partition holds several parts, which it sorts apart and works through one by one.
+PARTITIONS = 16_384
 #: Null ids stand below every other.
 NULL_DOC = -(1 << 63)
 
@@ -578,7 +580,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, q: int | None = None, id_
     salts = max(1, size // BATCH // fan_in)
 
     def grouped(df: DataFrame, *by: str):
-        return df.repartition(parts, *(by or ("part",))).groupBy(*(by or ("part",)))
+        return df.repartition(min(parts, PARTITIONS), *(by or ("part",))).groupBy(*(by or ("part",)))
 
     def reduced(df: DataFrame, again) -> DataFrame:
         return df if salts == 1 else grouped(df, "part", "salt").applyInArrow(again(length, parts), PARTS)

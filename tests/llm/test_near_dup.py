@@ -116,3 +116,19 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     linked = {x for e in edges if e[0] != e[1] for x in e}
     assert got == {x: find(x) for x in linked}
+
+
+def test_scripts_without_spaces(spark):
+    """One letter of 3000 changed in Chinese, Japanese and Thai texts; unrelated texts of the same letters stay apart."""
+    rng = random.Random(17)
+    rows, n = [], 0
+    for first, last in ((0x4E00, 0x9FA5), (0x3041, 0x3096), (0x0E01, 0x0E2E)):
+        letters = [chr(c) for c in range(first, last)]
+        for size in (12, 300, 3000):
+            text = "".join(rng.choices(letters, k=size))
+            at = size // 2
+            rows += [(n, text), (n + 1, text[:at] + rng.choice(letters) + text[at + 1 :] if size > 100 else text), (n + 2, "".join(rng.choices(letters, k=size)))]
+            n += 3
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame([(i, t, "x", "y") for i, t in rows], DOCS)).collect()}
+    assert got == {i: i - 1 if i % 3 == 1 else i for i, _ in rows}
+    assert near_dup.normal("Ein 東京 x　タกิ") == "ein 東 京 x タ ก"

@@ -83,3 +83,16 @@ def test_empty_table_and_null_ids(spark, tmp_path):
         got = pipeline.run(spark, path).collect()
         # rows without an id have no copies to be told by, so each stays and is packed
         assert len(got) == len(rows) and sum(r.length for r in got) == sum(r.doc_tokens for r in got)
+
+
+def test_secrets_of_repeated_rows_and_null_ids(spark, tmp_path):
+    """Rows with one id and text, and rows without an id, that hold secrets: each is cleaned, whatever stands beside it."""
+    text = "some words password=abcdefgh12345 more words token: 12345678abc then " + "0f" * 16 + " and then the end of it"
+    other = "quite another text with secret=zzzzzzzz9999 in it"
+    docs = [(1, text), (1, text), (None, text), (None, text), (2, other), (2, other), (3, "clean"), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    stage = dict(pipeline.STAGES)["secrets"]
+    got = stage(spark, df, str(tmp_path)).collect()
+    clean = "some words [assign] more words [assign] then [hex] and then the end of it"
+    assert sorted(str(r.text) for r in got) == sorted(["clean", "None", *[clean] * 4, *["quite another text with [assign] in it"] * 2])
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got)

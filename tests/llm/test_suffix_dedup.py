@@ -101,3 +101,11 @@ def test_many_batches_meet_in_groups(spark, monkeypatch):
     rows += [(None, line + str(i % 7)) for i in range(40)]
     check(spark, rows, 100, parts=5, fan_in=2, wide=3)
     check(spark, rows, 100, parts=5, wide=3)
+
+
+def test_more_parts_than_partitions(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 300)
+    monkeypatch.setattr(suffix_dedup, "PARTITIONS", 3)
+    rng = random.Random(12)
+    line = "a passage that is more than a hundred bytes long and stands in every third one of these documents, whole or in part"
+    check(spark, [(i, "".join(rng.choice("klmnop ") for _ in range(rng.randint(0, 300))) + (line if i % 3 else "")) for i in range(120)], 100)
