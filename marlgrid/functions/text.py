@@ -165,11 +165,16 @@ def iso_millis(text: Column | str) -> Column:
 
 def fixed_chunks(text: Column | str, size: int = 800, overlap: int = 80) -> Column:
     """array<struct<chunk_index, start, text>>: windows of `size` words, each `size - overlap` after the last, until the end is reached."""
-    w, stride = words(text), size - overlap
-    n = F.size(w)
-    count = F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), F.ceil((n - overlap) / stride))).cast("int")
-    starts = F.when(count == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), count - 1), lambda i: (i * stride).cast("int")))
-    return F.transform(starts, lambda s, i: F.struct(i.cast("long").alias("chunk_index"), s.cast("long").alias("start"), F.array_join(F.slice(w, s + 1, F.lit(size)), " ").alias("text")))
+    stride = size - overlap
+
+    def windows(w: Column) -> Column:
+        n = F.size(w)
+        count = F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), F.ceil((n - overlap) / stride))).cast("int")
+        starts = F.when(count == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), count - 1), lambda i: (i * stride).cast("int")))
+        return F.transform(starts, lambda s, i: F.struct(i.cast("long").alias("chunk_index"), s.cast("long").alias("start"), F.array_join(F.slice(w, s + 1, F.lit(size)), " ").alias("text")))
+
+    # the words are bound as a lambda's variable, so a text is split once and not for each chunk
+    return F.transform(F.array(words(text)), windows)[0]
 
 
 def code_blocks(text: Column | str) -> Column:

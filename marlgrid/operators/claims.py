@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,13 +69,31 @@ def signature(df: DataFrame, id_col: str, hash_col: str, spread: int = 1 << 16)
     return level.agg(F.lit(n_blocks).cast("long").alias("n_blocks"), F.coalesce(joined, F.sha2(F.lit(""), 256)).alias("signature"))
 
 
-def ordered_signature(df: DataFrame, id_col: str, hash_col: str, most: int = 1_000_000) -> DataFrame:
-    """(signature): the SHA-256 of all hashes one after another in id order.  A single stream by its definition, so for tables of
-    names and not of data: one of more than `most` rows is refused, and signature() takes it."""
+#: Hashes that travel as one string.
+JOINED = 4096
+
+
+def ordered_signature(df: DataFrame, id_col: str, hash_col: str) -> DataFrame:
+    """(signature): the SHA-256 of all hashes one after another in id order, hashes of equal ids by value; a null hash counts as empty.
+
+    One digest over all rows is a single stream by its definition.  Tasks sort ranges of ids and join each range's hashes into pieces of
+    JOINED rows; the driver feeds the pieces to the digest, a range at a time and in turn, so that it holds one range's hashes and never the
+    table's, whatever its size.  signature() is the digest that tasks can work out side by side.
+    """
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(hash_col, F.lit("")).alias("h"))
-    if len(rows.limit(most + 1).groupBy().count().where(F.col("count") > most).take(1)):
-        raise ValueError(f"more than {most} rows: use signature()")
-    return rows.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "h"))), lambda r: r["h"]), ""), 256).alias("signature"))
+
+    def joined(batches):
+        for batch in batches:
+            hashes = batch.column("h").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(["".join(hashes[at : at + JOINED]) for at in range(0, len(hashes), JOINED)])], ["piece"])
+
+    pieces = cut(rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h").mapInArrow(joined, "piece string").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
+    digest = hashlib.sha256()
+    # a range's pieces are read by its number; ranges and pieces are in order
+    for (part,) in sorted(tuple(r) for r in pieces.select("part").distinct().collect()):
+        for r in pieces.where(F.col("part") == part).orderBy("at").select("piece").toLocalIterator():
+            digest.update(r["piece"].encode())
+    return df.sparkSession.createDataFrame([(digest.hexdigest(),)], "signature string")
 
 
 def containment(rows: DataFrame) -> DataFrame:

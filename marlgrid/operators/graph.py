@@ -6,11 +6,11 @@ checkpoint folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from marlgrid.operators.relational import latest_per_key, symmetric
-from marlgrid.operators.staging import cut, numbered
+from marlgrid.operators.staging import bucketed, cut, numbered
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = 2) -> DataFrame:
@@ -65,48 +65,104 @@ def decayed_walk(edges: DataFrame, seeds: DataFrame, max_depth: int = 4, decay:
     return out if most is None else out.orderBy(F.desc("score"), "node").limit(most)
 
 
+#: Links of a node that stand together; a node with more is dealt over several parts.
+PART = 1 << 16
+
+
+def spread(scores: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, got): what nodes get from the scores (node, score, parts) along links (src, part, dst, share), which lie bucketed by src and part; a row a link.
+
+    Only scores move to the links, one row for each part of a node.
+    """
+    sent = scores.where("parts > 0").select("node", "score", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("piece"))
+    met = sent.join(links, (F.col("node") == F.col("src")) & (F.col("piece") == F.col("part")))
+    return met.select(F.col("dst").alias("node"), (F.col("score") * F.col("share")).alias("got"))
+
+
+def laid_out(edges: DataFrame, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(links, out): links (src, part, dst, share of src's weight), bucketed and sorted by src and part once for all rounds; out: (src, parts)."""
+    links = edges.select("src", "dst", (F.col("weight") if weighted else F.lit(1.0)).alias("w"))
+    # parallel edges are added up before any round
+    links = cut(links.groupBy("src", "dst").agg(F.sum("w").alias("w")))
+    # a table of its own, so that the links of a hub can be split when it is joined back
+    out = cut(links.groupBy("src").agg(F.sum("w").alias("total"), F.ceil(F.count("*") / PART).cast("int").alias("parts")))
+    parted = links.join(out, "src").select("src", F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int").alias("part"), "dst", (F.col("w") / F.col("total")).alias("share"))
+    return bucketed(parted, ["src", "part"]), out.select("src", "parts")
+
+
 def ppr(edges: DataFrame, personalization: DataFrame, alpha: float = 0.15, tolerance: float = 1e-6, rounds: int = 100, fixed: bool = False, weighted: bool = False) -> DataFrame:
     """(node, score): personalised PageRank by power iteration, as joins at every size.
 
     alpha is the teleport share; personalization (node, mass) sums to 1.  All nodes start at 1/N; parallel edges count
     separately, or by weight where `weighted`; the mass of nodes without outgoing edges goes to all nodes alike.  Stops when the
     scores move by less than tolerance in total, or after `rounds`; with `fixed` it runs them all without looking.
+
+    The links are laid out once; in each round they stay where they are.  One row for each node moves to them, and what a bucket
+    sends to a node is added up before it moves on.
     """
-    links = edges.select("src", "dst", (F.col("weight") if weighted else F.lit(1.0)).alias("w"))
-    # parallel edges are added up before any round
-    links = cut(links.groupBy("src", "dst").agg(F.sum("w").alias("w")))
-    # a table of its own, so that the links of a hub can be split when it is joined back
-    out = cut(links.groupBy("src").agg(F.sum("w").alias("total")))
-    links = cut(links.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")))
+    links, out = laid_out(edges, weighted)
     nodes = links.select(F.col("src").alias("node")).unionByName(links.select(F.col("dst").alias("node"))).unionByName(personalization.select("node")).distinct()
-    leads = out.select(F.col("src").alias("node"), F.lit(True).alias("leads"))
-    base = nodes.join(leads, "node", "left").join(personalization.groupBy("node").agg(F.sum("mass").alias("mass")), "node", "left").select("node", F.coalesce("leads", F.lit(False)).alias("leads"), F.coalesce("mass", F.lit(0.0)).alias("mass"))
-    base = cut(base)
-    n, ends = base.agg(F.count("*"), F.count_if(~F.col("leads"))).first()
+    base = nodes.join(out, F.col("node") == F.col("src"), "left").join(personalization.groupBy("node").agg(F.sum("mass").alias("mass")), "node", "left")
+    base = cut(base.select("node", F.coalesce("parts", F.lit(0)).alias("parts"), F.coalesce("mass", F.lit(0.0)).alias("mass")))
+    n, ends = base.agg(F.count("*"), F.count_if(F.col("parts") == 0)).first()
     if not n:
         return base.select("node", F.lit(0.0).alias("score"))
     scores, lost = base.withColumn("score", F.lit(1.0 / n)), ends / n
+    none = F.lit(None)
     for _ in range(rounds):
-        got = scores.join(links, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
-        moved = scores.join(got, F.col("node") == F.col("to"), "left")
-        score = (1 - alpha) * (F.coalesce("got", F.lit(0.0)) + lost / n) + alpha * F.col("mass")
-        after = cut(moved.select("node", "leads", "mass", score.alias("score"), F.col("score").alias("old")))
-        # two numbers come to the driver each round
-        delta, lost = after.agg(F.sum(F.abs(F.col("score") - F.col("old"))), F.coalesce(F.sum(F.when(~F.col("leads"), F.col("score"))), F.lit(0.0))).first()
-        scores = after.drop("old")
-        if delta < tolerance and not fixed:
+        # each node's own row and what it gets meet in one sum
+        got = spread(scores, links).select("node", "got", none.cast("int").alias("parts"), none.cast("double").alias("mass"), none.cast("double").alias("old"))
+        rows = scores.select("node", F.lit(0.0).alias("got"), "parts", "mass", F.col("score").alias("old")).unionByName(got)
+        summed = rows.groupBy("node").agg(F.sum("got").alias("got"), *[F.max(c).alias(c) for c in ("parts", "mass", "old")])
+        score = (1 - alpha) * (F.col("got") + lost / n) + alpha * F.col("mass")
+        # two numbers come to the driver each round, with the job that writes the scores
+        seen = Observation()
+        told = (F.sum(F.abs(F.col("score") - F.col("old"))).alias("delta"), F.coalesce(F.sum(F.when(F.col("parts") == 0, F.col("score"))), F.lit(0.0)).alias("lost"))
+        scores = cut(summed.select("node", "parts", "mass", score.alias("score"), "old").observe(seen, *told)).drop("old")
+        lost = seen.get["lost"]
+        if seen.get["delta"] < tolerance and not fixed:
             break
     return scores.select("node", "score")
 
 
+def contracted(edges: DataFrame) -> DataFrame | None:
+    """A smaller graph with a cycle if and only if edges (src, dst; distinct, no loops) has one; None where a cycle is certain.
+
+    Nodes that nothing leads to go, with their edges.  A node that one edge leads to is merged into that edge's source: each cycle through one
+    runs through the other.  Such nodes form trees under their sources; pointer doubling finds each one's root in as many steps as its
+    depth has binary digits.  If every node is led to, or a pointer never comes to a root, there is a cycle; so is a merged edge from a node to itself.
+    """
+    led = cut(edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"), F.min("src").alias("up")))
+    begins = cut(edges.join(led, F.col("src") == F.col("node"), "left_anti").select(F.col("src").alias("start")).distinct())
+    if not begins.take(1):
+        return None
+    roots = led.where("n = 1").select("node", "up")
+    steps = roots.count().bit_length() + 1
+    for step in range(steps + 1):
+        above = roots.select(F.col("node").alias("via"), F.col("up").alias("over"))
+        seen = Observation()
+        roots = cut(roots.join(above, F.col("up") == F.col("via"), "left").select("node", F.coalesce("over", "up").alias("up"), F.col("over").isNotNull().alias("moved")).observe(seen, F.count_if("moved").alias("moved"))).drop("moved")
+        if not seen.get["moved"]:
+            break
+    else:
+        return None
+    # edges into merged nodes go; the others start at their source's root
+    rest = edges.join(roots.select(F.col("node").alias("merged")), F.col("dst") == F.col("merged"), "left_anti")
+    moved = rest.join(roots, F.col("src") == F.col("node"), "left").select(F.coalesce("up", "src").alias("src"), "dst")
+    left = cut(moved.join(begins, F.col("src") == F.col("start"), "left_anti").distinct())
+    return None if left.where("src = dst").take(1) else left
+
+
 def has_cycle(edges: DataFrame) -> bool:
-    """Whether a directed graph has a cycle: nodes that nothing leads to are taken away until none are left or none go."""
-    left = edges.select("src", "dst").distinct()
-    while True:
-        inner = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"))
-        kept = inner.count()
-        if not kept:
-            return False
-        if kept == left.count():
-            return True
-        left = inner
+    """Whether a directed graph has a cycle; a loop is one, and edges with a null end count as none.
+
+    The graph and its reverse are contracted in turn, so chains and trees in either direction go in a logarithm of their depth.  A graph in which
+    many edges lead to and from every node loses one layer of sources and one of sinks each time.
+    """
+    left = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    if left.where("src = dst").take(1):
+        return True
+    while left is not None and left.take(1):
+        left = contracted(left)
+        left = left and left.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return left is None

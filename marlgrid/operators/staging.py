@@ -44,6 +44,24 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _drop(spark: SparkSession, name: str) -> None:
+    try:
+        spark.sql(f"drop table if exists {name}")
+    except Exception:  # the session has gone already, and a catalog of its own with it
+        pass
+
+
+def bucketed(df: DataFrame, keys: Sequence[str], buckets: int | None = None) -> DataFrame:
+    """df as a table dealt by a hash of the keys and sorted by them, in the shared folder: a join on the keys reads it in place, and only the
+    other side moves.  There are as many buckets as shuffle partitions, unless given."""
+    spark = df.sparkSession
+    n = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    name = f"marlgrid_{uuid.uuid4().hex}"
+    df.repartition(n, *keys).write.format("parquet").bucketBy(n, *keys).sortBy(*keys).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    atexit.register(_drop, spark, name)
+    return spark.read.table(name)
+
+
 def numbered(df: DataFrame, order: str | Sequence[str | Column], value: str | None = None) -> DataFrame:
     """df with `position` from 1 in order, and `running`, the sum of value up to it.
 

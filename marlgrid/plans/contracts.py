@@ -7,6 +7,7 @@ import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -14,13 +15,68 @@ from pyspark.sql.types import StructType
 FORBIDDEN_SQL = ("DELETE", "DROP", "TRUNCATE")
 FORBIDDEN_IMPORTS = ("subprocess", "socket", "urllib", "requests", "httpx", "pickle", "shutil", "tempfile")
 
-_QUIET = re.compile(r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.S)
+_QUIET = re.compile(r"'(?:[^'\\]|''|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.S)
+#: Statements that come to one of the forbidden ones, by the name of their plan.
+_PLANS = {"DeleteFromTable": "DELETE", "TruncateTable": "TRUNCATE", "TruncatePartition": "TRUNCATE"}
+
+
+def _plans(spark: SparkSession, text: str) -> list:
+    """All nodes of the parsed statement, those of common table expressions too; nothing is resolved or run."""
+    found, todo = [], [spark._jsparkSession.sessionState().sqlParser().parsePlan(text)]
+    while todo:
+        node = todo.pop()
+        found.append(node)
+        inner = node.innerChildren().iterator()
+        while inner.hasNext():
+            x = inner.next()
+            # a common table expression is a pair of its name and its plan
+            x = x._2() if x.getClass().getSimpleName().startswith("Tuple") else x
+            if hasattr(x, "innerChildren"):
+                todo.append(x)
+        below = node.children().iterator()
+        while below.hasNext():
+            todo.append(below.next())
+    return found
+
+
+def sql_findings(text: str, spark: SparkSession | None = None) -> list[str]:
+    """What the parsed statement does besides reading: DELETE, DROP, TRUNCATE, or another change by its plan's name (INSERT, UPDATE, MERGE, CREATE, ...); `syntax`
+    if one of its statements can't be parsed.  Names, literals and comments may hold any words."""
+    if not (text or "").strip():
+        return []
+    spark = spark or SparkSession.active()
+    found = set()
+    for statement in _statements(text):
+        try:
+            # an input's place, {name}, stands for a table
+            found |= _changes(spark, _plans(spark, re.sub(r"\{(\w+)\}", r"`\1`", statement)))
+        except ParseException:
+            found.add("syntax")
+    return [w for w in FORBIDDEN_SQL if w in found] + sorted(found - set(FORBIDDEN_SQL))
+
+
+def _statements(text: str) -> list[str]:
+    """The text cut at semicolons outside literals, quoted names and comments."""
+    bare, out, at = _QUIET.sub(lambda m: " " * len(m[0]), text), [], 0
+    for m in re.finditer(";|$", bare):
+        if bare[at : m.start()].strip():
+            out.append(text[at : m.start()])
+        at = m.end()
+    return out
 
 
-def sql_findings(text: str) -> list[str]:
-    """Forbidden statements; words inside literals, quoted names and comments don't count."""
-    bare = _QUIET.sub(" ", text or "").upper()
-    return [w for w in FORBIDDEN_SQL if re.search(rf"\b{w}\b", bare)]
+def _changes(spark: SparkSession, nodes: list) -> set[str]:
+    command = spark.sparkContext._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command", True, nodes[0].getClass().getClassLoader())
+    found = set()
+    for node in nodes:
+        kind = node.getClass().getSimpleName()
+        if kind in _PLANS or kind.startswith("Drop"):
+            found.add(_PLANS.get(kind, "DROP"))
+        elif "ExecuteImmediate" in kind:
+            found.add("EXECUTE")
+        elif command.isInstance(node) or kind in ("InsertIntoStatement", "CompoundBody", "InsertIntoDir"):
+            found.add(re.match("[A-Z][a-z]+", kind)[0].upper())
+    return found
 
 
 def python_findings(source: str) -> list[str]:
@@ -101,7 +157,7 @@ def run_transform(spark: SparkSession, transform: Callable[[SparkSession, dict[s
 def run_sql(spark: SparkSession, text: str, tables: list[str], target: str, expected: Mapping[str, str]) -> RunRecord:
     """Runs a SELECT over tables, each under its alias, and writes its result; blocked like run_transform, by the statements it holds."""
     inputs, missing = bound_inputs(spark, tables)
-    found = sql_findings(text) + ([] if (text or "").strip() else ["empty"]) + missing
+    found = sql_findings(text, spark) + ([] if (text or "").strip() else ["empty"]) + missing
     if found:
         return RunRecord("blocked", found)
     try:

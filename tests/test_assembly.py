@@ -252,8 +252,9 @@ def test_signatures(spark):
 
     df = spark.createDataFrame([(i, f"h{i}") for i in range(500)], "id long, h string")
     assert one(claims.ordered_signature(df, "id", "h")).signature == hashlib.sha256("".join(f"h{i}" for i in range(500)).encode()).hexdigest()
-    with pytest.raises(ValueError):
-        claims.ordered_signature(df, "id", "h", 499)
+    other = spark.createDataFrame([(3, "b"), (None, "x"), (1, None), (3, "a"), (2, "c")], "id long, h string")
+    assert one(claims.ordered_signature(other.repartition(4), "id", "h")).signature == hashlib.sha256(b"xcab").hexdigest()
+    assert one(claims.ordered_signature(df.limit(0), "id", "h")).signature == hashlib.sha256(b"").hexdigest()
     a, b = (one(claims.signature(df.repartition(n), "id", "h", 10)) for n in (1, 7))
     assert a == b and a.n_blocks == 50
     assert one(claims.signature(df.where("id != 77"), "id", "h", 10)).signature != a.signature
