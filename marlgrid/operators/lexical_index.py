@@ -65,11 +65,11 @@ def ranked(index: LexicalIndex, query: str, most: int | None = 50) -> DataFrame:
         met = postings.where(F.col("token").isin(order)).groupBy("ordinal").agg(F.count("*").alias("overlap"), F.first("size").alias("size"))
         return met.select("ordinal", score("overlap").alias("score"))
     floor, held, rare = 0.0, 0, []
-    for t in order:  # as many of the rarest tokens as surely have `most` claims
+    for t in order:  # as many of the rarest tokens as surely have `most` claims, and more up to a fourth of all postings: each raises the floor
+        if rare and held >= most * len(rare) and held + known[t] > sum(known.values()) / 4:
+            break
         rare.append(t)
         held += known[t]
-        if held >= most * len(rare):
-            break
     first = postings.where(F.col("token").isin(rare)).groupBy("ordinal").agg(F.count("*").alias("overlap"), F.first("size").alias("size"))
     best = first.select(score("overlap").alias("score")).orderBy(F.desc("score")).limit(most).collect()  # at most `most` numbers
     if len(best) == most:
