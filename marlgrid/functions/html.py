@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from functools import reduce
 from html import unescape
 from html.parser import HTMLParser
@@ -98,15 +99,18 @@ def heading_chunks(text: str, headings: list[tuple[int, str | None, str]], targe
         if hit is not None:
             places.append((hit, level, said))
             at = hit + len(own)
-    out, cursor = [], 0
+    out, cursor, passed = [], 0, 0
+    path: dict[int, str] = {}
     while cursor < len(all_words):
-        begin = max((s for s in starts if 0 <= cursor - s <= max(1, size // 10)), default=cursor) if out else cursor
+        behind = starts[bisect_right(starts, cursor) - 1]
+        begin = behind if out and cursor - behind <= max(1, size // 10) else cursor
         own = all_words[begin : begin + size]
-        path: dict[int, str] = {}
-        for place, level, said in places:
-            if place > begin:
-                break
+        if passed and places[passed - 1][0] > begin:  # an overlap of nearly a window can lead back over a heading
+            path, passed = {}, 0
+        while passed < len(places) and places[passed][0] <= begin:
+            _, level, said = places[passed]
             path = {k: v for k, v in path.items() if k < level} | {level: said}
+            passed += 1
         out.append((begin, " ".join(own), max(1, round(len(own) / 0.75)), [path[k] for k in sorted(path)]))
         if begin + size >= len(all_words):
             break

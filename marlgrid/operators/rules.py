@@ -152,6 +152,14 @@ def first_supported(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min(F.when(F.col("reason").isNull(), F.struct("ordinal", "option")))["option"].alias("chosen"), F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("ordinal", "option", "reason")))), lambda r: F.concat(r["option"], F.lit(":"), r["reason"])), ",").alias("rejected"))
 
 
+def rejected_blocks(rows: DataFrame, key: str, size: int = 1024) -> DataFrame:
+    """(key, block, n_rejected, rejected) of rows as above: the rejected options with their reasons, in blocks of `size` ordinals, so that no row holds
+    all of a key's."""
+    told = F.struct("ordinal", F.concat_ws(":", F.col("ordinal").cast("string"), "option", "reason").alias("said"))
+    own = rows.where("reason is not null").groupBy(key, F.floor(F.col("ordinal") / size).cast("long").alias("block"))
+    return own.agg(F.count("*").alias("n_rejected"), F.array_join(F.transform(F.sort_array(F.collect_list(told)), lambda x: x["said"]), ",").alias("rejected"))
+
+
 def validated_steps(plans: DataFrame, allowed: DataFrame, deploy: Sequence[str] = ("endpoint_name", "model_full_name", "alias")) -> DataFrame:
     """(plan_id, step_id, code) of plans (plan_id, strategy, steps array<struct<step_id, skill_id, artifact, inputs map<string,string>>>) against
     the artifacts allowed (strategy, artifact): what blocks each step, and each plan; nothing for a plan that is valid.

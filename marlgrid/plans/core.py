@@ -266,12 +266,15 @@ def deterministic_split(spark, d):
     return load(spark, d, "orders").select("o_orderkey", profile.validation_bucket("7", F.col("o_orderkey")).alias("split"))
 
 
-@query("""
-with m(metric, value, lowest) as (values ('rmse', 0.4::double, 0.5::double), ('rmse', 0.6, 0.5), ('accuracy', 0.4, 0.5), ('accuracy', 0.5, 0.5), ('false_positive_rate', 0.5, 0.5), ('false_positive_rate', 0.6, 0.5), ('loss', 0.6, 0.5))
-select metric, value, case when metric in ('rmse', 'mae', 'mape', 'log_loss', 'false_positive_rate') then value <= lowest else value >= lowest end as passed from m""")
+METRICS = ("rmse", "accuracy", "false_positive_rate", "loss", "mape", "f1")
+
+
+@query(f"""
+with m as (select o_orderkey, {list(METRICS)}[o_orderkey % 6 + 1] as metric, o_totalprice / 1000 as value from orders)
+select o_orderkey, metric, case when metric in ('rmse', 'mae', 'mape', 'log_loss', 'false_positive_rate') then value <= 150 else value >= 150 end as passed from m""")
 def metric_gate(spark, d):
-    m = spark.createDataFrame([("rmse", 0.4, 0.5), ("rmse", 0.6, 0.5), ("accuracy", 0.4, 0.5), ("accuracy", 0.5, 0.5), ("false_positive_rate", 0.5, 0.5), ("false_positive_rate", 0.6, 0.5), ("loss", 0.6, 0.5)], "metric string, value double, lowest double")
-    return m.select("metric", "value", profile.metric_passes(F.col("metric"), F.col("value"), F.col("lowest")).alias("passed"))
+    m = load(spark, d, "orders").select("o_orderkey", F.element_at(F.array(*[F.lit(n) for n in METRICS]), (F.col("o_orderkey") % 6 + 1).cast("int")).alias("metric"), (F.col("o_totalprice") / 1000).alias("value"))
+    return m.select("o_orderkey", "metric", profile.metric_passes(F.col("metric"), F.col("value"), F.lit(150.0)).alias("passed"))
 
 
 @query("""

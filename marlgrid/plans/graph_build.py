@@ -266,13 +266,13 @@ def readiness_summary(spark, d):
 
 
 @query("""
-with g as (select o_custkey as workflow, case o_orderstatus when 'F' then 'passed' when 'O' then 'observed' else 'failed' end as gate from orders where o_custkey % 3 > 0),
+with g as (select case when o_custkey % 3 > 0 then o_custkey else -1 end as workflow, case o_orderstatus when 'F' then 'passed' when 'O' then 'observed' else 'failed' end as gate from orders),
 b as (select workflow, case when count(*) filter (where gate = 'failed') > 0 then 'failed' else 'passed' end as run, count(*) as gates, count(*) filter (where gate = 'passed') as ok, count(*) filter (where gate = 'observed') as seen from g group by 1),
 c as (select c_custkey as workflow, case when c_acctbal > 0 then 5 else 0 end as records from customer)
 select coalesce(b.workflow, c.workflow) as workflow, case when run is null then case when records > 0 then 'not_scored' else 'warning' end when run = 'passed' and seen > 0 then 'warning' else run end as status, coalesce(ok, 0) as numerator, cast(coalesce(gates, records) as bigint) as denominator from b full join c on b.workflow = c.workflow""")
 def scorer_categories(spark, d):
     gate = F.when(F.col("o_orderstatus") == "F", "passed").when(F.col("o_orderstatus") == "O", "observed").otherwise("failed")
-    g = load(spark, d, "orders").where("o_custkey % 3 > 0").select(F.col("o_custkey").alias("workflow"), gate.alias("gate_status"))
+    g = load(spark, d, "orders").select(F.when(F.col("o_custkey") % 3 > 0, F.col("o_custkey")).otherwise(-1).alias("workflow"), gate.alias("gate_status"))
     run = g.groupBy("workflow").agg(F.when(F.count_if(F.col("gate_status") == "failed") > 0, "failed").otherwise("passed").alias("run_status"))
     return scorers.scorer_category(g.join(run, "workflow"), load(spark, d, "customer").select(F.col("c_custkey").alias("workflow"), F.when(F.col("c_acctbal") > 0, 5).otherwise(0).alias("n_records")))
 
@@ -283,34 +283,36 @@ select '{scorer}' as scorer, case when (select count(*) from n) > 0 then 0.0 els
 
 
 @query(_scorer_sql("""
-with o as (select doc_id, case when doc_id % 19 = 0 then null when doc_id % 17 = 0 then 'bad' else 'meta:' || lang || '-x/ext:' || source end as pointer from documents where doc_id % 23 > 0), g as (select doc_id, 'meta:' || lang || '-x/ext:' || case when doc_id % 29 = 0 then 'other' else source end as expected from documents where doc_id % 31 > 0),
+with o as (select doc_id, case when doc_id % 19 = 0 or doc_id % 23 = 0 then null when doc_id % 17 = 0 then 'bad' else 'meta:' || lang || '-x/ext:' || source end as pointer from documents), g as (select case when doc_id % 31 = 0 then -1 - doc_id else doc_id end as doc_id, 'meta:' || lang || '-x/ext:' || case when doc_id % 29 = 0 then 'other' else source end as expected from documents),
 b as (select coalesce(o.doc_id, g.doc_id) as doc_id, pointer, expected from (select * from o where pointer is not null) o full join g on o.doc_id = g.doc_id),
 viol as (select case when expected is null then case when pointer = 'bad' then 'malformed_extra' else 'unexpected_skill' end when pointer is null then 'missing_pointer' when pointer <> expected then 'pointer_drift' when pointer not like 'meta:en%' then 'not_in_graph' end as kind, cast(doc_id as varchar) as subject from b where expected is null or pointer is null or pointer <> expected or pointer not like 'meta:en%')""", "exemplar_linkage", "SKILL_MISSING_EXEMPLAR"))
 def scorer_linkage(spark, d):
     doc = load(spark, d, "documents")
     name = F.concat(F.lit("meta:"), "lang", F.lit("-x/ext:"), "source")
-    o = doc.where("doc_id % 23 > 0").select(F.col("doc_id").alias("skill_id"), F.when(F.col("doc_id") % 19 == 0, None).when(F.col("doc_id") % 17 == 0, "bad").otherwise(name).alias("pointer"))
-    g = doc.where("doc_id % 31 > 0").select(F.col("doc_id").alias("skill_id"), F.when(F.col("doc_id") % 29 == 0, F.concat(F.lit("meta:"), "lang", F.lit("-x/ext:other"))).otherwise(name).alias("pointer"))
+    i = F.col("doc_id")
+    o = doc.select(i.alias("skill_id"), F.when((i % 19 == 0) | (i % 23 == 0), None).when(F.col("doc_id") % 17 == 0, "bad").otherwise(name).alias("pointer"))
+    g = doc.select(F.when(i % 31 == 0, -1 - i).otherwise(i).alias("skill_id"), F.when(F.col("doc_id") % 29 == 0, F.concat(F.lit("meta:"), "lang", F.lit("-x/ext:other"))).otherwise(name).alias("pointer"))
     there = doc.where("lang = 'en'").select(name.alias("extension_id")).distinct().unionByName(spark.createDataFrame([("meta:en-x/ext:other",)], "extension_id string"))
     return scorers.exemplar_linkage(o, g, there)
 
 
 @query(_scorer_sql("""
-with o as (select o_custkey as task, list_sort(list_distinct(list(left(o_orderpriority, 1)))) as before from orders where o_orderstatus <> 'P' group by 1), g as (select o_custkey as task, list_sort(list_distinct(list(left(o_orderpriority, 1)))) as before from orders where o_custkey % 13 > 0 group by 1),
+with o as (select o_custkey::varchar as task, list_sort(list_distinct(list(case when o_orderstatus = 'P' then 'later' else left(o_orderpriority, 1) end))) as before from orders group by 1), g as (select case when o_custkey % 13 > 0 then o_custkey::varchar else 'x' || o_custkey end as task, list_sort(list_distinct(list(left(o_orderpriority, 1)))) as before from orders group by 1),
 viol as (select case when o.task is null then 'missing_task' when g.task is null then 'extra_task' else 'depends_on' end as kind, cast(coalesce(o.task, g.task) as varchar) as subject from o full join g on o.task = g.task where o.task is null or g.task is null or o.before <> g.before)""", "dag_match", "PROMOTION_FAILED"))
 def scorer_dag(spark, d):
-    o = load(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("task"), F.substring("o_orderpriority", 1, 1).alias("b"), "o_orderstatus", "o_custkey")
-    by = lambda rows: rows.groupBy("task").agg(F.collect_list("b").alias("depends_on"))
-    return scorers.dag_match(by(o.where("o_orderstatus != 'P'")), by(o.where("o_custkey % 13 > 0")))
+    o = load(spark, d, "orders")
+    task, first = F.col("o_custkey").cast("string"), F.substring("o_orderpriority", 1, 1)
+    by = lambda name, before: o.groupBy(name.alias("task")).agg(F.collect_set(before).alias("depends_on"))
+    return scorers.dag_match(by(task, F.when(F.col("o_orderstatus") == "P", "later").otherwise(first)), by(F.when(F.col("o_custkey") % 13 > 0, task).otherwise(F.concat(F.lit("x"), task)), first))
 
 
 @query("""
-with s as (select doc_id as skill_id, 'e' || (doc_id % 97) as pointer from documents), p as (select 'e' || (event_id % 90) as e, case when user_id % 2 = 0 then 'hand' when event_type = 'click' then 'sdk' else 'hand' end as kind from events where event_id % 90 < 80),
+with s as (select doc_id as skill_id, 'e' || (doc_id % 97) as pointer from documents), p as (select case when event_id % 90 < 80 then 'e' || (event_id % 90) else 'spare' end as e, case when user_id % 2 = 0 then 'hand' when event_type = 'click' then 'sdk' else 'hand' end as kind from events),
 k as (select e, string_agg(distinct kind, ',' order by kind) as kinds, bool_or(kind <> 'hand') as sourced from p group by 1)
 select skill_id, pointer, coalesce(kinds, '') as source_kinds, case when sourced then 'source_grounded' when pointer in ('e81', 'e82') then 'pending_stub' when kinds is not null then 'hand_authored_only' else 'missing_provenance' end as status from s left join k on e = pointer""")
 def skill_grounding(spark, d):
     s = load(spark, d, "documents").select(F.col("doc_id").alias("skill_id"), F.concat(F.lit("e"), F.col("doc_id") % 97).alias("pointer"))
-    p = load(spark, d, "events").where("event_id % 90 < 80").select(F.concat(F.lit("e"), F.col("event_id") % 90).alias("entity_id"), F.when(F.col("user_id") % 2 == 0, "hand").when(F.col("event_type") == "click", "sdk").otherwise("hand").alias("source_kind"))
+    p = load(spark, d, "events").select(F.when(F.col("event_id") % 90 < 80, F.concat(F.lit("e"), F.col("event_id") % 90)).otherwise("spare").alias("entity_id"), F.when(F.col("user_id") % 2 == 0, "hand").when(F.col("event_type") == "click", "sdk").otherwise("hand").alias("source_kind"))
     return scorers.grounding(s, p, spark.createDataFrame([("e81",), ("e82",)], "extension_id string"))
 
 

@@ -107,9 +107,8 @@ select c.p_brand, chosen, block, n_rejected, rejected_sha256 from c left join b
 def backend_choice(spark, d):
     """Every part's option: the chosen one of each brand, and its rejected ones counted and digested in blocks of 1024 keys."""
     r = load(spark, d, "part").select("p_brand", F.col("p_partkey").alias("ordinal"), F.col("p_name").alias("option"), F.when(F.col("p_size") < 25, "small").alias("reason"))
-    chosen = r.groupBy("p_brand").agg(F.coalesce(F.min_by("option", F.when(F.col("reason").isNull(), F.col("ordinal"))), F.lit("")).alias("chosen"))
-    told = F.struct("ordinal", F.concat_ws(":", F.col("ordinal").cast("string"), "option", "reason").alias("said"))
-    blocks = r.where("reason is not null").groupBy("p_brand", F.floor(F.col("ordinal") / 1024).cast("long").alias("block")).agg(F.count("*").alias("n_rejected"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(told)), lambda x: x["said"]), ","), 256).alias("rejected_sha256"))
+    chosen = rules.first_supported(r, "p_brand").select("p_brand", F.coalesce("chosen", F.lit("")).alias("chosen"))
+    blocks = rules.rejected_blocks(r, "p_brand", 1024).withColumn("rejected_sha256", F.sha2("rejected", 256)).drop("rejected")
     return chosen.join(blocks, "p_brand", "left")
 
 

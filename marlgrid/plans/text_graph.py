@@ -57,15 +57,17 @@ def jaccard_topk(spark, d):
     return s.select("doc_id", F.round(text.jaccard(F.col("t"), F.col("q")), 6).alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(50)
 
 
-@query("""
-with n(name) as (values ('get_or_create'), ('import_'), ('list'), ('frobnicate_x'), ('Delete_all'), ('assess_source'), ('compare_results'), ('Application'), ('transpile__x'), ('parse_'), ('')),
-v as (select name, lower(split_part(case when name like '%\\_' escape '\\' and name not like '%\\_\\_' escape '\\' then left(name, length(name) - 1) else name end, '_', 1)) as v, lower(split_part(name, '_', 1)) as p from n)
-select name, case when v in ('get', 'list') then 'read' when v in ('import', 'delete') then 'write' else 'unclassified' end as effect,
- case p when 'assess' then 'assessment' when 'compare' then 'validation' when 'transpile' then 'transpile' when 'parse' then 'analysis' else 'unknown' end as phase from v""")
+#: Names that parts are given, with what their leading verbs say.
+NAMES = (("get_or_create", "read", "unknown"), ("import_", "write", "unknown"), ("list_{k}", "read", "unknown"), ("frobnicate_{k}", "unclassified", "unknown"), ("Delete_all_{k}", "write", "unknown"), ("assess_source", "unclassified", "assessment"), ("compare_{k}", "unclassified", "validation"), ("Application{k}", "unclassified", "unknown"), ("transpile__{k}", "unclassified", "transpile"), ("parse_", "unclassified", "analysis"), ("", "unclassified", "unknown"))
+
+
+@query("with n(i, form, effect, phase) as (values " + ", ".join(f"({i}, '{f}', '{e}', '{p}')" for i, (f, e, p) in enumerate(NAMES)) + """)
+select p_partkey, replace(form, '{k}', p_partkey::varchar) as name, effect, phase from part join n on i = p_partkey % 11""")
 def verb_classes(spark, d):
-    names = ["get_or_create", "import_", "list", "frobnicate_x", "Delete_all", "assess_source", "compare_results", "Application", "transpile__x", "parse_", ""]
-    n = spark.createDataFrame([(x,) for x in names], "name string")
-    return n.select("name", text.effect_class("name").alias("effect"), text.phase("name").alias("phase"))
+    k = F.col("p_partkey")
+    form = F.element_at(F.array(*[F.lit(f) for f, _, _ in NAMES]), (k % len(NAMES) + 1).cast("int"))
+    n = load(spark, d, "part").select("p_partkey", F.replace(form, F.lit("{k}"), k.cast("string")).alias("name"))
+    return n.select("p_partkey", "name", text.effect_class("name").alias("effect"), text.phase("name").alias("phase"))
 
 
 URL_SQL = """
@@ -85,11 +87,16 @@ def url_routing(spark, d):
 
 
 @query("""
-with t(s) as (values ('2024-02-29'), ('2024-02-30'), ('2023-01-02T03:04:05Z'), ('2023-01-02 03:04+05:00'), ('2023-01-02T03:04:05.678-0800'), ('nonsense'), (' 1999-12-31 '), ('2023-01-02T25:00'))
-select s, cast(case trim(s) when '2024-02-29' then 1709164800000 when '2023-01-02T03:04:05Z' then 1672628645000 when '2023-01-02 03:04+05:00' then 1672628640000 when '2023-01-02T03:04:05.678-0800' then 1672628645000 when '1999-12-31' then 946598400000 else -1 end as bigint) as ms from t""")
+with o as (select o_orderkey, o_orderkey % 8 as k, epoch_us(date_trunc('day', o_orderdate)) // 1000 as day from orders)
+select o_orderkey, cast(case k when 0 then day when 1 then day + 11045000 when 2 then day + 11040000 when 3 then day + 11045000 when 4 then day else -1 end as bigint) as ms from o""")
 def iso_dates(spark, d):
-    t = spark.createDataFrame([(x,) for x in ("2024-02-29", "2024-02-30", "2023-01-02T03:04:05Z", "2023-01-02 03:04+05:00", "2023-01-02T03:04:05.678-0800", "nonsense", " 1999-12-31 ", "2023-01-02T25:00")], "s string")
-    return t.select("s", F.coalesce(text.iso_millis("s"), F.lit(-1)).alias("ms"))
+    """Each order's day in one of eight forms, three of which are no moment."""
+    day, k = F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderkey") % 8
+    forms = F.when(k == 0, day)
+    for i, end in enumerate(("T03:04:05Z", " 03:04+05:00", "T03:04:05.678-0800")):
+        forms = forms.when(k == i + 1, F.concat(day, F.lit(end)))
+    forms = forms.when(k == 4, F.concat(F.lit(" "), day, F.lit(" "))).when(k == 5, F.concat(F.substring(day, 1, 4), F.lit("-02-30"))).when(k == 6, F.concat(day, F.lit("T25:00"))).otherwise("nonsense")
+    return load(spark, d, "orders").select("o_orderkey", F.coalesce(text.iso_millis(forms), F.lit(-1)).alias("ms"))
 
 
 @query()
@@ -103,6 +110,32 @@ def heading_chunks(spark, d):
     return html.page_chunks(html.parsed_pages(load(spark, d, "pages")), target_tokens=200, overlap_tokens=20)
 
 
+MADE = "<html><head><title> T{k} </title><style>no</style></head><body><nav>no</nav><h1 id='a'>Top {k}</h1><p>{a}</p><script>no()</script><h2>Sub  {k}</h2><p>{b} &amp; {n}</p><footer>no</footer></body></html>"
+_RANGE = "array_to_string(list_transform(range({0}, {1}), lambda i: 'w' || i), ' ')"
+
+
+def made_pages(spark, d) -> DataFrame:
+    """A page of known words for each customer."""
+    said = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    html_ = F.replace(F.lit(MADE.replace("{a}", said(1, 71)).replace("{b}", said(71, 151))), F.lit("{k}"), F.col("c_custkey").cast("string"))
+    return load(spark, d, "customer").select(F.col("c_custkey").alias("page_id"), F.replace(html_, F.lit("{n}"), F.col("c_mktsegment")).alias("html"))
+
+
+@query(f"""
+select c_custkey as page_id, 'T' || c_custkey as title, 'Top ' || c_custkey || chr(10) || chr(10) || {_RANGE.format(1, 71)} || chr(10) || chr(10) || 'Sub ' || c_custkey || chr(10) || chr(10) || {_RANGE.format(71, 151)} || ' & ' || c_mktsegment as text, 2::bigint as n_headings, null::varchar as error from customer""")
+def made_html_text(spark, d):
+    p = html.parsed_pages(made_pages(spark, d))
+    return p.select("page_id", "title", "text", F.size("headings").cast("long").alias("n_headings"), "error")
+
+
+@query(f"""
+with w as (select c_custkey as k, list_concat(list_concat(['Top', c_custkey::varchar], list_transform(range(1, 71), lambda i: 'w' || i)), list_concat(['Sub', c_custkey::varchar], list_concat(list_transform(range(71, 151), lambda i: 'w' || i), ['&', c_mktsegment]))) as w from customer)
+select k as page_id, i as chunk_index, i * 60 as starts_at_word, case i when 2 then 48 else 100 end::bigint as token_count, 'Top ' || k || case i when 2 then '|Sub  ' || k else '' end as headings_path, array_to_string(w[i * 60 + 1 : i * 60 + 75], ' ') as chunk_text from w, range(3) r(i)""")
+def made_heading_chunks(spark, d):
+    c = html.page_chunks(html.parsed_pages(made_pages(spark, d)), target_tokens=100, overlap_tokens=20)
+    return c.withColumn("headings_path", F.array_join("headings_path", "|"))
+
+
 @query()
 def docs_index(spark, d):
     """Skill-bearing pages, parsed and chunked, with counts by section."""
@@ -230,6 +263,28 @@ def dual_substrate(spark, d):
     return retrieval.dual_search("nation nation_3 content supplier", a, b, _edges(spark, d)).select("subject", "substrate", F.round("score", 6).alias("score"))
 
 
+def _dual_sql(rounds: int) -> str:
+    """Two substrates' lexical refs with their weights, ranked together; the walks and ranks are those of the search."""
+    names = (("nation", "n_nationkey", "n_name"), ("supplier", "s_suppkey", "s_name"), ("customer", "c_custkey", "c_name"), ("part", "p_partkey", "p_name"))
+    side = lambda first: " union all ".join(f"select '{t}:' || {k} as subject, {v} as value, {k} * 8 + {i} as ordinal from {t}" for i, (t, k, v) in enumerate((first, *names)))
+    one = lambda first, name, weight: f"select * from (select subject, ordinal, len(list_intersect(t, q)) / (len(t) + len(q) - len(list_intersect(t, q))) * {weight} as score, '{name}' as substrate, len(list_intersect(t, q)) / (len(t) + len(q) - len(list_intersect(t, q))) as plain from (select *, list_distinct(regexp_extract_all(lower(subject || ' CONTENT' || coalesce(' ' || value, '')), '[a-z0-9_]+')) as t, ['nation', 'nation_3', 'content', 'supplier'] as q from ({side(first)})) where len(list_intersect(t, q)) > 0 order by plain desc, ordinal limit 50)"
+    whole = _search_sql(rounds)
+    after = whole.index("tp as (")
+    end = whole.index(", a as (select claim_id as ref_id")
+    lx = f"lx as materialized (select * from ({one(('documents', 'doc_id', 'text'), 'workspace', '1.0')}) union all select * from ({one(('benchmark', 'item_id', 'text'), 'capability', '(case when ordinal % 2 = 0 then 0.95 else 0.85 end)')}))"
+    return f"""with {lx}, {whole[after:end]}, bt as (select subject, max(score) filter (where substrate = 'workspace') as w, max(score) filter (where substrate = 'capability') as c from lx group by 1)
+select subject, case when w is null then 'capability' when c is null or w >= c then 'workspace' else 'capability' end as substrate, round(0.4 * greatest(w, c) + 0.6 * coalesce(s, 0), 6) as score from bt left join r{rounds} r on r.node = bt.subject order by 0.4 * greatest(w, c) + 0.6 * coalesce(s, 0) desc, subject limit 20"""
+
+
+@query(_dual_sql(70))
+def dual_substrate_tables(spark, d):
+    """Documents against benchmark items, both with the names of the graph."""
+    names = named_claims(spark, d)
+    a = in_order(claims_of(spark, d, "documents", "doc_id", "text"), *names)
+    b = in_order(claims_of(spark, d, "benchmark", "item_id", "text"), *names).withColumn("authority_weight", F.when(F.col("ordinal") % 2 == 0, 0.95))
+    return retrieval.dual_search("nation nation_3 content supplier", a, b, _edges(spark, d)).select("subject", "substrate", F.round("score", 6).alias("score"))
+
+
 COSINE_SQL = """
 with q as (select embedding as q from embeddings where vec_id = 17)
 select vec_id, round(list_cosine_similarity(embedding::double[], q::double[]), 6) as score from embeddings, q order by list_cosine_similarity(embedding::double[], q::double[]) desc, vec_id limit 20"""
