@@ -99,14 +99,13 @@ def heading_chunks(text: str, headings: list[tuple[int, str | None, str]], targe
         if hit is not None:
             places.append((hit, level, said))
             at = hit + len(own)
-    out, cursor, passed = [], 0, 0
+    out, cursor, passed, begin = [], 0, 0, -1
     path: dict[int, str] = {}
     while cursor < len(all_words):
         behind = starts[bisect_right(starts, cursor) - 1]
-        begin = behind if out and cursor - behind <= max(1, size // 10) else cursor
+        # a window never begins where the last one did, however large the overlap
+        begin = behind if out and cursor - behind <= max(1, size // 10) and behind > begin else cursor
         own = all_words[begin : begin + size]
-        if passed and places[passed - 1][0] > begin:  # an overlap of nearly a window can lead back over a heading
-            path, passed = {}, 0
         while passed < len(places) and places[passed][0] <= begin:
             _, level, said = places[passed]
             path = {k: v for k, v in path.items() if k < level} | {level: said}

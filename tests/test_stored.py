@@ -273,6 +273,17 @@ def test_chunks_grow_with_the_text(spark, tmp_path):
     assert took[160_000] < 3 * took[80_000]
 
 
+def test_windows_go_on_with_any_overlap():
+    """An overlap of nearly a window: each window begins after the last, and the last one reaches the end."""
+    from marlgrid.functions.html import heading_chunks
+
+    text_ = "\n\n".join(" ".join(f"w{i}" for i in range(a, a + 3)) for a in range(0, 60, 3))
+    for target, overlap in ((40, 39), (20, 19), (2, 1), (30, 5)):
+        got = heading_chunks(text_, [(1, None, "w30")], target, overlap)
+        begins = [c[0] for c in got]
+        assert begins == sorted(set(begins)) and got[-1][1].endswith("w59") and all((c[3] == ["w30"]) == (c[0] >= 30) for c in got)
+
+
 def test_a_signature_of_many_rows(spark):
     n = 1_200_000
     df = spark.range(n).select("id", F.col("id").cast("string").alias("h"))
