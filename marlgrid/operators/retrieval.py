@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from marlgrid.functions.text import claim_text, jaccard, token_set
 from marlgrid.operators.claims import mentions
 from marlgrid.operators.graph import bfs, decayed_walk, ppr
+from marlgrid.operators.staging import cut, numbered
 
 
 @dataclass(frozen=True)
@@ -124,17 +125,24 @@ def lookup(chunks: DataFrame, found: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def top_label(vectors: DataFrame, queries: DataFrame, label: str, most: int = 100, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, top_id): for each of a fixed list of queries (query_id, q) the label of the nearest other vector by cosine, ties to the smaller id.
+    """(query_id, top_id): for each query (query_id, q) the label of the nearest other vector by cosine, ties to the smaller id.
 
-    The list is refused above `most` queries, so it can stand in the plan of one scan; each query keeps one row a task."""
-    asked = queries.limit(most + 1).collect()
-    if len(asked) > most:
-        raise ValueError(f"more than {most} queries")
-    if not asked:
+    Up to `most` queries stand in the plan of one scan.  A longer list is dealt into blocks of that many, each of which meets all vectors; each query keeps one
+    row a task."""
+    asked = queries.select("query_id", F.transform("q", lambda x: x.cast("double")).alias("q"))
+    few = asked.limit(most + 1).collect()
+    if not few:
         return queries.select("query_id", F.lit(None).cast("string").alias("top_id"))
-    each = F.explode(F.array(*[F.struct(F.lit(r["query_id"]).alias("query_id"), F.array(*[F.lit(float(x)) for x in r["q"]]).alias("q")) for r in asked])).alias("a")
-    met = vectors.select(id_col, label, vector_col, each).where(F.col(id_col) != F.col("a.query_id"))
-    scored = met.select(F.col("a.query_id").alias("query_id"), F.struct(cosine(F.col(vector_col), F.col("a.q")).alias("s"), (-F.col(id_col)).alias("v"), F.col(label).alias("label")).alias("r"))
+    rows = vectors.select(id_col, label, vector_col)
+    if len(few) <= most:
+        own = F.array(*[F.struct(F.lit(r["query_id"]).alias("query_id"), F.array(*[F.lit(x) for x in r["q"]]).alias("q")) for r in few])
+        met = rows.withColumn("a", F.explode(own))
+    else:
+        blocks = numbered(asked, "query_id").groupBy(F.floor((F.col("position") - 1) / most).cast("int").alias("block")).agg(F.collect_list(F.struct("query_id", "q")).alias("own"))
+        blocks = cut(blocks)
+        each = F.explode(F.sequence(F.lit(0), F.lit(blocks.count() - 1))).alias("block")
+        met = rows.select("*", each).join(blocks, "block").drop("block").withColumn("a", F.explode("own")).drop("own")
+    scored = met.where(F.col(id_col) != F.col("a.query_id")).select(F.col("a.query_id").alias("query_id"), F.struct(cosine(F.col(vector_col), F.col("a.q")).alias("s"), (-F.col(id_col)).alias("v"), F.col(label).alias("label")).alias("r"))
     return scored.groupBy("query_id").agg(F.max("r")["label"].alias("top_id"))
 
 

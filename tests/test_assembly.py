@@ -287,8 +287,12 @@ def test_neighbours_out_of_hits(spark):
     hits = spark.createDataFrame([("meta:a/ext:x", "meta:a", "self", 1.0), ("e1", "meta:b", "", 0.9), ("e1", "meta:b", "again", 0.8), ("meta:a/ext:y", "meta:a", "t" * 99, 0.1), (None, "m", "x", 0.5)], "entity_id string, meta_skill_id string, chunk_text string, score double")
     got = {r.entity_id: (r.label, r.relation, r.hop) for r in retrieval.similar_neighbours(hits, "meta:a/ext:x", near=0).collect()}
     assert got == {"e1": (None, "mentions", 2), "meta:a/ext:y": ("t" * 60, "sibling", 1)}
-    with pytest.raises(ValueError):
-        retrieval.top_label(spark.createDataFrame([(1, [1.0], "l")], "vec_id long, embedding array<double>, label string"), spark.createDataFrame([(i, [1.0]) for i in range(5)], "query_id long, q array<double>"), "label", most=4)
+    # more queries than one scan takes: the same answers in blocks
+    v = spark.createDataFrame([(i, [float(i % 7) + 0.1, float(i % 5) - 2.0], f"l{i % 11}") for i in range(60)], "vec_id long, embedding array<double>, label string")
+    q = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    told = rows(retrieval.top_label(v, q, "label"), "query_id", "top_id")
+    assert len(told) == 60 and rows(retrieval.top_label(v, q, "label", most=7), "query_id", "top_id") == told
+    assert retrieval.top_label(v, q.limit(0), "label").count() == 0
 
 
 def test_runtime_metrics_without_events(spark):
