@@ -42,6 +42,23 @@ def test_held_out_accuracy(spark):
     assert said[5].extra == [1]
 
 
+def test_fit_in_two_passes_is_the_fit_on_all_features(spark):
+    """Counts and bits give the chain that all feature numbers give; very long labelled texts, repeated ids with other texts, null texts."""
+    rng = random.Random(22)
+    docs, labels = planted(rng, 400)
+    docs += [(9000, "neutral words " * 150_000 + "vile", "x", None), (9001, None, "x", None)] + [(9002, t, "x", None) for t in ("zz vile", "aa text", "aa text")] * 3
+    labels += [(9000, 1, 1), (9001, 0, 0), (9002, 1, 0), (9002, 1, 1), (None, 1, 1)]
+    df = spark.createDataFrame(docs, DOCS).repartition(4)
+    chain = toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), toxicity.label_categories())
+    own = {i: (t or "") for i, t, *_ in docs} | {9002: "aa text"}
+    y = {i: [1 - q, int(t == 1 and q == 0), t] for i, q, t in labels if i is not None} | {9002: [0, 0, 1]}
+    ids = sorted(y)
+    present = [p for part in toxicity._present([own[i] for i in ids]) for p in part]
+    want = toxicity.train(present, np.array([y[i] for i in ids]), tuple(toxicity.label_categories()))
+    assert chain.n_columns == want.n_columns and (chain.columns == want.columns).all() and chain.thresholds == want.thresholds
+    assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(chain.weights, want.weights))
+
+
 def test_no_labels_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a b", "x", None)], DOCS)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
