@@ -39,7 +39,8 @@ def file_system(spark: SparkSession, path: str):
 
 
 def move(spark: SparkSession, source: str, target: str) -> None:
-    """Renames a folder in one step; an error if the target is there already, so that of two writers one fails."""
+    """Renames a folder in one step; an error if the target is there already, so that of two writers one fails.  That holds on HDFS and local disks; an
+    object store has no such rename, so pointers, manifests and read models belong on a file system that has one."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     fs, P = file_system(spark, source)
     a, b = fs.makeQualified(P(source)), fs.makeQualified(P(target))

@@ -132,7 +132,8 @@ def bound_inputs(spark: SparkSession, tables: list[str]) -> tuple[dict[str, Data
     return ({} if missing else {alias: spark.table(t) for alias, t in names.items()}), missing
 
 
-def _written(spark: SparkSession, df: DataFrame, target: str, expected: Mapping[str, str]) -> RunRecord:
+def write_table(spark: SparkSession, df: DataFrame, target: str, expected: Mapping[str, str]) -> RunRecord:
+    """df in place of the target table, schema and all; nothing is written where its schema isn't the expected one."""
     seen = {f.name: f.dataType.simpleString().upper() for f in df.schema}
     if found := schema_findings(df.schema, expected):
         return RunRecord("failed", found, None, seen)
@@ -151,7 +152,7 @@ def run_transform(spark: SparkSession, transform: Callable[[SparkSession, dict[s
         df = transform(spark, inputs)
     except Exception as e:  # a transform's own failure is its record
         return RunRecord("failed", [f"{type(e).__name__}: {str(e)[:200]}"])
-    return _written(spark, df, target, expected)
+    return write_table(spark, df, target, expected)
 
 
 def run_sql(spark: SparkSession, text: str, tables: list[str], target: str, expected: Mapping[str, str]) -> RunRecord:
@@ -164,4 +165,4 @@ def run_sql(spark: SparkSession, text: str, tables: list[str], target: str, expe
         df = spark.sql(text, **inputs) if inputs else spark.sql(text)
     except Exception as e:
         return RunRecord("failed", [f"{type(e).__name__}: {str(e)[:200]}"])
-    return _written(spark, df, target, expected)
+    return write_table(spark, df, target, expected)

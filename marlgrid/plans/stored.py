@@ -234,7 +234,7 @@ def file_sources(spark, d):
     out.append(spark.read.schema(region.schema).parquet(f"{root}/appended").select(F.lit("appended").alias("source"), F.lit(False).alias("bad")))
     target = f"marlgrid_{uuid.uuid4().hex[:8]}"
     for _ in range(2):
-        contracts._written(spark, region, target, {})
+        contracts.write_table(spark, region, target, {})
     spark.table(target).write.parquet(f"{root}/overwritten")
     spark.sql(f"drop table {target}")
     out.append(spark.read.schema(region.schema).parquet(f"{root}/overwritten").select(F.lit("overwritten").alias("source"), F.lit(False).alias("bad")))
