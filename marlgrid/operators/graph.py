@@ -24,8 +24,9 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = 2) -> DataFrame:
     for depth in range(1, max_depth + 1):
         met = frontier.join(edges, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node"), "predicate", "rank", "ordinal")
         new = latest_per_key(met.join(seen, ["seed", "node"], "left_anti"), ["seed", "node"], [F.asc("rank"), F.asc("ordinal")])
-        # the order in which nodes were reached is the order in which they are left
-        new = cut(numbered(new, ["rank", "ordinal", "seed", "node"]).withColumn("rank", F.col("position").cast("long")).drop("position"))
+        if depth < max_depth:  # the order in which nodes were reached is the order in which they are left
+            new = numbered(new, ["rank", "ordinal", "seed", "node"]).withColumn("rank", F.col("position").cast("long")).drop("position")
+        new = cut(new)
         hop = new.select("seed", "node", F.lit(depth).cast("long").alias("depth"), "predicate", F.lit(1.0 / depth).alias("score"))
         found = hop if found is None else found.unionByName(hop)
         seen = seen.unionByName(new.select("seed", "node"))
