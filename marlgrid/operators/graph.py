@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from marlgrid.operators.relational import latest_per_key, symmetric
-from marlgrid.operators.staging import bucketed, cut, numbered
+from marlgrid.operators.staging import bucketed, cut, in_bucket_order, numbered
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = 2) -> DataFrame:
@@ -73,10 +73,10 @@ PART = 1 << 16
 def spread(scores: DataFrame, links: DataFrame) -> DataFrame:
     """(node, got): what nodes get from the scores (node, score, parts) along links (src, part, dst, share), which lie bucketed by src and part; a row a link.
 
-    Only scores move to the links, one row for each part of a node.
+    Only scores move to the links, one row for each part of a node, and are merged with them in their order (see in_bucket_order()).
     """
     sent = scores.where("parts > 0").select("node", "score", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("piece"))
-    met = sent.join(links, (F.col("node") == F.col("src")) & (F.col("piece") == F.col("part")))
+    met = sent.hint("merge").join(links, (F.col("node") == F.col("src")) & (F.col("piece") == F.col("part")))
     return met.select(F.col("dst").alias("node"), (F.col("score") * F.col("share")).alias("got"))
 
 
@@ -119,7 +119,8 @@ def ppr(edges: DataFrame, personalization: DataFrame, alpha: float = 0.15, toler
         # two numbers come to the driver each round, with the job that writes the scores
         seen = Observation()
         told = (F.sum(F.abs(F.col("score") - F.col("old"))).alias("delta"), F.coalesce(F.sum(F.when(F.col("parts") == 0, F.col("score"))), F.lit(0.0)).alias("lost"))
-        scores = cut(summed.select("node", "parts", "mass", score.alias("score"), "old").observe(seen, *told)).drop("old")
+        with in_bucket_order(edges.sparkSession):
+            scores = cut(summed.select("node", "parts", "mass", score.alias("score"), "old").observe(seen, *told)).drop("old")
         lost = seen.get["lost"]
         if seen.get["delta"] < tolerance and not fixed:
             break

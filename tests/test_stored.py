@@ -188,21 +188,17 @@ def nodes(plan):
 
 
 def test_no_exchange_over_edges(spark):
-    """The links lie bucketed: between their scan and the join there is no exchange, in any round."""
+    """The links lie bucketed and sorted: between their scan and the join there is neither an exchange nor a sort, in any round."""
     edges = spark.range(3000).select(F.concat(F.lit("n"), F.col("id") % 97).alias("src"), F.concat(F.lit("n"), F.col("id") % 89).alias("dst"))
     links, out = graph.laid_out(edges)
     scores = parts_of = out.select(F.col("src").alias("node"), F.lit(0.01).alias("score"), "parts")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
+    with graph.in_bucket_order(spark):
         plan = graph.spread(scores, links)._jdf.queryExecution().executedPlan()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
     join = next(n for n in nodes(plan) if "Join" in n.nodeName())
     sides = [join.children().apply(i) for i in (0, 1)]
     with_links = [s for s in sides if any("Bucketed: true" in n.toString().split("\n")[0] for n in nodes(s))]
-    assert len(with_links) == 1 and not any("Exchange" in n.nodeName() for n in nodes(with_links[0]))
+    assert len(with_links) == 1 and not any("Exchange" in n.nodeName() or n.nodeName() == "Sort" for n in nodes(with_links[0]))
     assert parts_of.count() == 97
 
 
