@@ -2,13 +2,14 @@
 
 The categories are predicted in order; each model sees the text's features and the probabilities of the categories before it.
 It is trained with out-of-fold predictions of those, so that what it sees in training is as good as what it sees later.
-A text's features are whether a word, or a word's first 4, 5 or 6 bytes, occurs in it, over the whole text; a bounded number
-of them is chosen by their association with a category.
+A text's features are whether a word, or a word's first 4, 5 or 6 bytes, occurs in it, over the whole text; all of them whose
+association with a category is beyond chance are used, and those that occur in the same texts count as one.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,10 @@ PREFIXES = (4, 5, 6)
 CHUNK_CHARS = 1 << 20
 #: At most so many labelled documents, those with the smallest hash of their id, train the chain.
 TRAIN_ROWS = 12_000
-#: At most so many features for a category.
-FEATURES = 128
+#: The chance that any feature at all is chosen for a category that it has nothing to do with.
+LEVEL = 0.01
+#: Features in fewer texts are too rare for the normal approximation of the test.
+LEAST_TEXTS = 5
 FOLDS = 5
 _RNG = np.random.Generator(np.random.PCG64(4242))
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=U) * U(2) + U(1)
@@ -70,21 +73,22 @@ def _chunks(texts: list[str]):
         at = stop
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 15) -> np.ndarray:
-    """Weights, the constant first, by penalised Newton steps; without a positive label the probability is next to 0."""
+def logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray | None = None, ridge: float = 1.0, rounds: int = 15) -> np.ndarray:
+    """Weights, the constant first, by penalised Newton steps from `start`; without a positive label the probability is next to 0."""
     if not y.sum():
         return np.concatenate([[-30.0], np.zeros(x.shape[1])])
     x = np.concatenate([np.ones((len(x), 1), x.dtype), x], 1)
-    w = np.zeros(x.shape[1])
+    w = np.zeros(x.shape[1]) if start is None else start.copy()
     penalty = np.full(len(w), ridge)
     penalty[0] = 1e-2
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) + penalty * w
+        # both products in x's own type: a wider one would copy x
+        p = 1 / (1 + np.exp(-np.clip((x @ w.astype(x.dtype)).astype(float), -30, 30)))
+        gradient = (x.T @ (p - y).astype(x.dtype)).astype(float) + penalty * w
         curve = ((x * (p * (1 - p)).astype(x.dtype)[:, None]).T @ x).astype(float) + np.diag(penalty)
         step = np.linalg.solve(curve, gradient)
         w -= step
-        if np.abs(step).max() < 1e-4:
+        if np.abs(step).max() < 1e-3:
             break
     return w
 
@@ -133,11 +137,14 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return THRESHOLDS[int(np.argmax(f1))]
 
 
-def picked(total: np.ndarray, yes: list[np.ndarray], positives: list[int], n: int, most: int) -> np.ndarray:
-    """Feature numbers whose occurrence differs most between a category's two kinds of text, `most` for each category.
+def picked(total: np.ndarray, yes: list[np.ndarray], positives: list[int], n: int, level: float = LEVEL) -> np.ndarray:
+    """Numbers of all features whose occurrence differs between a category's two kinds of text by more than chance.
 
-    total: in how many of n texts each feature occurs; yes: in how many of a category's positive ones, of which there are `positives`."""
-    chosen: list[int] = []
+    total: in how many of n texts each feature occurs; yes: in how many of a category's positive ones, of which there are `positives`.
+    The bound on a feature's test is that of all tests together (Bonferroni's), so it moves with the number of features alone."""
+    tested = total >= LEAST_TEXTS
+    bound = -NormalDist().inv_cdf(level / 2 / max(1, int(tested.sum())))
+    chosen = np.zeros(len(total), bool)
     for own, n_yes in zip(yes, positives, strict=True):
         if not n_yes or n_yes == n:
             continue
@@ -145,10 +152,19 @@ def picked(total: np.ndarray, yes: list[np.ndarray], positives: list[int], n: in
         p, q = (own + 0.5) / (n_yes + 1), (no + 0.5) / (n_no + 1)
         pooled = total / n
         score = np.abs(p - q) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-6) * (1 / n_yes + 1 / n_no))
-        score[total < 5] = 0
-        best = np.argsort(-score, kind="stable")[:most]
-        chosen += best[score[best] > 3].tolist()
-    return np.array(sorted(set(chosen)), np.int64)
+        chosen |= tested & (score > bound)
+    return np.flatnonzero(chosen)
+
+
+def merged(x: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """x (texts x features, 0 or 1) with one column for features that occur in the same texts, and `columns` of the features to match.
+
+    A word and its only prefixes are such features; in other texts any of them stands for the one column."""
+    if not x.shape[1]:
+        return x, columns
+    _, first, place = np.unique(np.packbits(x.astype(bool), 0).T, axis=0, return_index=True, return_inverse=True)
+    place = place.reshape(-1).astype(np.int32)
+    return x[:, first], np.where(columns >= 0, place[columns], np.int32(-1))
 
 
 def counted(present: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
@@ -168,10 +184,10 @@ def chosen_columns(found: np.ndarray) -> np.ndarray:
     return columns
 
 
-def train(present: list[np.ndarray], labels: np.ndarray, categories: tuple[str, ...], most: int = FEATURES, folds: int = FOLDS) -> Chain:
+def train(present: list[np.ndarray], labels: np.ndarray, categories: tuple[str, ...], level: float = LEVEL, folds: int = FOLDS) -> Chain:
     """present: each text's feature numbers, without repeats; labels: 0 or 1 for each text (row) and category (column)."""
     counts = counted(present, labels)
-    columns = chosen_columns(picked(counts[:, 0], list(counts[:, 1:].T), labels.sum(0).tolist(), len(present), most))
+    columns = chosen_columns(picked(counts[:, 0], list(counts[:, 1:].T), labels.sum(0).tolist(), len(present), level))
     x = np.zeros((len(present), int((columns >= 0).sum())), np.float32)
     for i, p in enumerate(present):
         c = columns[p]
@@ -180,17 +196,19 @@ def train(present: list[np.ndarray], labels: np.ndarray, categories: tuple[str,
 
 
 def linked(x: np.ndarray, labels: np.ndarray, categories: tuple[str, ...], columns: np.ndarray, folds: int = FOLDS) -> Chain:
-    """The chain over a matrix of texts by chosen features: each link is trained on the probabilities that models of other folds gave for those before."""
+    """The chain over a matrix of texts by chosen features: each link is trained on the probabilities that models of other folds gave for those before.
+    A fold's model starts at the weights of all rows, from where it needs fewer steps to its own."""
+    x, columns = merged(x, columns)
     fold = np.arange(len(x)) % folds
     weights, thresholds, earlier = [], [], np.zeros((len(x), 0), np.float32)
     for y in labels.T.astype(float):
         seen = np.concatenate([x, earlier], 1)
         unseen = np.zeros(len(x))
+        weights.append(logistic(seen, y))
         for f in range(folds):
             rest, own = fold != f, fold == f
             if own.any() and rest.any():
-                unseen[own] = _probability(logistic(seen[rest], y[rest]), seen[own])
-        weights.append(logistic(seen, y))
+                unseen[own] = _probability(logistic(seen[rest], y[rest], weights[-1]), seen[own])
         thresholds.append(best_threshold(unseen, y))
         earlier = np.concatenate([earlier, unseen[:, None].astype(np.float32)], 1)
     return Chain(categories, columns, x.shape[1], weights, thresholds)
@@ -205,14 +223,15 @@ def _present(texts: list[str]):
         yield [key[a:b] & ((1 << BITS) - 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: dict, max_rows: int = TRAIN_ROWS, most: int = FEATURES) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, categories: dict, max_rows: int = TRAIN_ROWS, level: float = LEVEL) -> Chain:
     """categories: name -> boolean Column of labels, in the chain's order.
 
     At most max_rows labelled documents are used.  Labels with nulls and documents without a label are left out; of repeated rows the largest label and
     the smallest text count, so that an id that many rows share is one text before anything else.
 
     Two passes over those texts, whole and of any length: one counts in how many each of the 2**BITS features occurs, the other gives each text's
-    chosen features as bits.  The driver holds 2**BITS numbers for each category and max_rows * most bits, a task as many numbers and one batch of texts.
+    chosen features as bits.  The driver holds 2**BITS numbers for each category and a matrix of max_rows by the features that differ beyond chance
+    (`level`), a task as many numbers and one batch of texts.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -243,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict, max_rows: int = TR
     totals = np.zeros((1 << BITS, 1 + len(ys)), np.int64)
     totals[np.asarray(sums.column("f"))] = np.stack([np.asarray(sums.column(c)) for c in ("n", *ys)], 1)
     told = rows.agg(F.count("*"), *[F.coalesce(F.sum(y), F.lit(0)) for y in ys]).first()
-    columns = chosen_columns(picked(totals[:, 0], list(totals[:, 1:].T), list(told[1:]), told[0], most))
+    columns = chosen_columns(picked(totals[:, 0], list(totals[:, 1:].T), list(told[1:]), told[0], level))
     width = int((columns >= 0).sum())
 
     def bits(batches):

@@ -71,10 +71,34 @@ def test_later_links_see_out_of_fold_probabilities():
     rng = np.random.default_rng(3)
     present = [np.unique(rng.integers(0, 50, 20)) for _ in range(400)]
     y = np.array([[3 in p, (3 in p) and (4 in p)] for p in present], int)
-    chain = toxicity.train(present, y, ("a", "b"), most=30)
+    chain = toxicity.train(present, y, ("a", "b"))
     assert [len(w) for w in chain.weights] == [chain.n_columns + 1, chain.n_columns + 2]
 
 
+def test_every_feature_beyond_chance_is_chosen_and_no_other():
+    """300 features that mark a category are all taken, whatever their number; among 20,000 that don't, none or next to none."""
+    rng = np.random.default_rng(8)
+    n, y = 4000, np.arange(4000) % 5 == 0
+    marks = rng.random((n, 300)) < np.where(y, 0.2, 0.05)[:, None]
+    noise = rng.random((n, 20_000)) < 0.02
+    x = np.concatenate([marks, noise], 1)
+    got = toxicity.picked(x.sum(0), [x[y].sum(0)], [int(y.sum())], n)
+    assert set(range(300)) <= set(got.tolist()) and len(got) <= 302
+    assert not len(toxicity.picked(x.sum(0), [x[:0].sum(0)], [0], n))
+
+
+def test_features_of_the_same_texts_are_one_column():
+    rng = np.random.default_rng(9)
+    own = (rng.random((100, 5)) < 0.4).astype(np.float32)
+    x = np.concatenate([own, own[:, 2:4], own[:, 2:3]], 1)
+    columns = np.full(20, -1, np.int32)
+    columns[[1, 3, 5, 7, 9, 11, 13, 15]] = np.arange(8)
+    less, to = toxicity.merged(x, columns)
+    assert less.shape == (100, 5) and (to >= 0).sum() == 8 and (to[[0, 2, 19]] == -1).all()
+    assert all((less[:, to[f]] == x[:, columns[f]]).all() for f in range(20) if columns[f] >= 0)
+    assert to[5] == to[11] == to[15] and to[7] == to[13]
+
+
 def test_scores_by_brute_force(spark):
     """Every probability of the chain against sets of words and prefixes, and sums over them, in plain Python."""
     import math
