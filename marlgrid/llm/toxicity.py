@@ -30,6 +30,8 @@ LEVEL = 0.01
 #: Features in fewer texts are too rare for the normal approximation of the test.
 LEAST_TEXTS = 5
 FOLDS = 5
+#: Rows of the training matrix that are weighed at a time.
+BLOCK = 1024
 _RNG = np.random.Generator(np.random.PCG64(4242))
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=U) * U(2) + U(1)
 _BASE = int(_RNG.integers(1 << 60, 1 << 62)) | 1
@@ -73,19 +75,26 @@ def _chunks(texts: list[str]):
         at = stop
 
 
-def logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray | None = None, ridge: float = 1.0, rounds: int = 15) -> np.ndarray:
-    """Weights, the constant first, by penalised Newton steps from `start`; without a positive label the probability is next to 0."""
-    if not y.sum():
-        return np.concatenate([[-30.0], np.zeros(x.shape[1])])
-    x = np.concatenate([np.ones((len(x), 1), x.dtype), x], 1)
+def logistic(x: np.ndarray, y: np.ndarray, use: np.ndarray, start: np.ndarray | None = None, ridge: float = 1.0, rounds: int = 15) -> np.ndarray:
+    """Weights of x's columns, of which the first is constant, by penalised Newton steps from `start` over the rows that `use` marks.
+
+    Without a positive label the probability is next to 0.  x is read as it is, in blocks of rows, and never copied."""
     w = np.zeros(x.shape[1]) if start is None else start.copy()
+    if not y[use].sum():
+        w[:] = 0
+        w[0] = -30
+        return w
     penalty = np.full(len(w), ridge)
     penalty[0] = 1e-2
     for _ in range(rounds):
-        # both products in x's own type: a wider one would copy x
+        # all products in x's own type: a wider one would copy x
         p = 1 / (1 + np.exp(-np.clip((x @ w.astype(x.dtype)).astype(float), -30, 30)))
-        gradient = (x.T @ (p - y).astype(x.dtype)).astype(float) + penalty * w
-        curve = ((x * (p * (1 - p)).astype(x.dtype)[:, None]).T @ x).astype(float) + np.diag(penalty)
+        gradient = (x.T @ np.where(use, p - y, 0).astype(x.dtype)).astype(float) + penalty * w
+        spread = np.where(use, p * (1 - p), 0).astype(x.dtype)[:, None]
+        curve = np.diag(penalty)
+        for at in range(0, len(x), BLOCK):
+            part = x[at : at + BLOCK]
+            curve += (part * spread[at : at + BLOCK]).T @ part
         step = np.linalg.solve(curve, gradient)
         w -= step
         if np.abs(step).max() < 1e-3:
@@ -188,7 +197,7 @@ def train(present: list[np.ndarray], labels: np.ndarray, categories: tuple[str,
     """present: each text's feature numbers, without repeats; labels: 0 or 1 for each text (row) and category (column)."""
     counts = counted(present, labels)
     columns = chosen_columns(picked(counts[:, 0], list(counts[:, 1:].T), labels.sum(0).tolist(), len(present), level))
-    x = np.zeros((len(present), int((columns >= 0).sum())), np.float32)
+    x = np.zeros((len(present), int((columns >= 0).sum())), np.uint8)
     for i, p in enumerate(present):
         c = columns[p]
         x[i, c[c >= 0]] = 1
@@ -196,22 +205,27 @@ def train(present: list[np.ndarray], labels: np.ndarray, categories: tuple[str,
 
 
 def linked(x: np.ndarray, labels: np.ndarray, categories: tuple[str, ...], columns: np.ndarray, folds: int = FOLDS) -> Chain:
-    """The chain over a matrix of texts by chosen features: each link is trained on the probabilities that models of other folds gave for those before.
-    A fold's model starts at the weights of all rows, from where it needs fewer steps to its own."""
+    """The chain over a matrix of texts by chosen features (0 or 1 in a byte each): each link is trained on the probabilities that models of other
+    folds gave for those before.  A fold's model starts at the weights of all rows, from where it needs fewer steps to its own."""
     x, columns = merged(x, columns)
-    fold = np.arange(len(x)) % folds
-    weights, thresholds, earlier = [], [], np.zeros((len(x), 0), np.float32)
-    for y in labels.T.astype(float):
-        seen = np.concatenate([x, earlier], 1)
-        unseen = np.zeros(len(x))
-        weights.append(logistic(seen, y))
+    n, width = x.shape
+    # constant, features, earlier links: one matrix for all fits, of which each reads the columns that it may see
+    seen = np.ones((n, 1 + width + labels.shape[1]), np.float32)
+    seen[:, 1 : 1 + width] = x
+    fold, whole = np.arange(n) % folds, np.ones(n, bool)
+    weights, thresholds = [], []
+    for k, y in enumerate(labels.T.astype(float)):
+        own = seen[:, : 1 + width + k]
+        weights.append(logistic(own, y, whole))
+        unseen = np.zeros(n)
         for f in range(folds):
-            rest, own = fold != f, fold == f
-            if own.any() and rest.any():
-                unseen[own] = _probability(logistic(seen[rest], y[rest], weights[-1]), seen[own])
+            left = fold == f
+            if left.any() and not left.all():
+                w = logistic(own, y, ~left, weights[-1])
+                unseen[left] = 1 / (1 + np.exp(-np.clip(own[left] @ w, -30, 30)))
         thresholds.append(best_threshold(unseen, y))
-        earlier = np.concatenate([earlier, unseen[:, None].astype(np.float32)], 1)
-    return Chain(categories, columns, x.shape[1], weights, thresholds)
+        seen[:, 1 + width + k] = unseen
+    return Chain(categories, columns, width, weights, thresholds)
 
 
 def _present(texts: list[str]):
@@ -277,8 +291,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict, max_rows: int = TR
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(out, pa.binary()), *(batch.column(y) for y in ys)], ["doc", "found", *ys])
 
     got = rows.mapInArrow(bits, "doc long, found binary, " + ", ".join(f"{y} int" for y in ys)).toPandas().sort_values("doc")
-    x = np.unpackbits(np.array([np.frombuffer(b, np.uint8) for b in got["found"]], np.uint8).reshape(len(got), -(-width // 8)), axis=1, count=width) if len(got) else np.zeros((0, width))
-    return linked(x.astype(np.float32), got[ys].to_numpy(), tuple(categories), columns)
+    x = np.unpackbits(np.array([np.frombuffer(b, np.uint8) for b in got["found"]], np.uint8).reshape(len(got), -(-width // 8)), axis=1, count=width) if len(got) else np.zeros((0, width), np.uint8)
+    return linked(x, got[ys].to_numpy(), tuple(categories), columns)
 
 
 def scored(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
