@@ -30,8 +30,8 @@ LEVEL = 0.01
 #: Features in fewer texts are too rare for the normal approximation of the test.
 LEAST_TEXTS = 5
 FOLDS = 5
-#: Rows of the training matrix that are weighed at a time.
-BLOCK = 1024
+#: Steps of conjugate gradients within a Newton step, at most.
+CG_STEPS = 50
 _RNG = np.random.Generator(np.random.PCG64(4242))
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=U) * U(2) + U(1)
 _BASE = int(_RNG.integers(1 << 60, 1 << 62)) | 1
@@ -78,7 +78,8 @@ def _chunks(texts: list[str]):
 def logistic(x: np.ndarray, y: np.ndarray, use: np.ndarray, start: np.ndarray | None = None, ridge: float = 1.0, rounds: int = 15) -> np.ndarray:
     """Weights of x's columns, of which the first is constant, by penalised Newton steps from `start` over the rows that `use` marks.
 
-    Without a positive label the probability is next to 0.  x is read as it is, in blocks of rows, and never copied."""
+    Without a positive label the probability is next to 0.  Each step is solved by conjugate gradients, which read x as it is: neither a copy
+    of it nor a matrix of columns by columns is made."""
     w = np.zeros(x.shape[1]) if start is None else start.copy()
     if not y[use].sum():
         w[:] = 0
@@ -86,18 +87,35 @@ def logistic(x: np.ndarray, y: np.ndarray, use: np.ndarray, start: np.ndarray |
         return w
     penalty = np.full(len(w), ridge)
     penalty[0] = 1e-2
+
+    # products in x's own type: a wider one would copy x
+    def over(v: np.ndarray) -> np.ndarray:
+        return (x @ v.astype(x.dtype)).astype(float)
+
+    def back(u: np.ndarray) -> np.ndarray:
+        return (x.T @ u.astype(x.dtype)).astype(float)
+
     for _ in range(rounds):
-        # all products in x's own type: a wider one would copy x
-        p = 1 / (1 + np.exp(-np.clip((x @ w.astype(x.dtype)).astype(float), -30, 30)))
-        gradient = (x.T @ np.where(use, p - y, 0).astype(x.dtype)).astype(float) + penalty * w
-        spread = np.where(use, p * (1 - p), 0).astype(x.dtype)[:, None]
-        curve = np.diag(penalty)
-        for at in range(0, len(x), BLOCK):
-            part = x[at : at + BLOCK]
-            curve += (part * spread[at : at + BLOCK]).T @ part
-        step = np.linalg.solve(curve, gradient)
+        p = 1 / (1 + np.exp(-np.clip(over(w), -30, 30)))
+        gradient = back(np.where(use, p - y, 0)) + penalty * w
+        spread = np.where(use, p * (1 - p), 0)
+        scale = back(spread) + penalty  # the curve's diagonal, as x holds zeros and ones but for probabilities
+        step, left = np.zeros(len(w)), gradient.copy()
+        toward = left / scale
+        size = left @ toward
+        enough = 1e-4 * size
+        for _ in range(CG_STEPS):
+            if size <= enough or not size:
+                break
+            bent = back(spread * over(toward)) + penalty * toward
+            by = size / (toward @ bent)
+            step += by * toward
+            left -= by * bent
+            ready = left / scale
+            size, before = left @ ready, size
+            toward = ready + size / before * toward
         w -= step
-        if np.abs(step).max() < 1e-3:
+        if np.abs(step).max() < 1e-2:
             break
     return w
 
