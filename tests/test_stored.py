@@ -365,3 +365,22 @@ def test_catalog_source(spark, tmp_path):
     assert got == sorted(want, key=repr)
     assert rows(read().where("kind = 'schema'"), "catalog", "schema") == [("main", "default"), ("main", "information_schema"), ("other", "s")]
     assert read(catalogs="none").count() == 0
+
+
+def test_catalog_beside_what_cannot_be_listed(spark, tmp_path, monkeypatch):
+    """Named catalogs and schemas are found though the folders above can't be listed, and tables are found in a store that Python can't open."""
+    from marlgrid.plans import stored
+
+    (tmp_path / "main/default").mkdir(parents=True)
+    spark.sql("select 1 as a").write.parquet(str(tmp_path / "main/default/region.parquet"))
+
+    def barred(self, path):
+        raise PermissionError(path)
+
+    monkeypatch.setattr(catalog.FolderCatalog, "_folders", barred)
+    reader = catalog.CatalogReader({"source": str(tmp_path), "catalogs": "main,none", "schemas": "default,none"})
+    assert [(p.catalog, p.schema) for p in reader.partitions()] == [("main", "default")]
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.catalogtest.link./in", f"file://{tmp_path}/main/default")
+    for folder in ("viewfs://catalogtest/in", f"{tmp_path}/main/default/"):
+        assert rows(stored.catalog_scan(spark, folder), "table", "column_name", "type") == [("region", "a", "int")]
