@@ -60,9 +60,12 @@ def search(query: str, claims: DataFrame, edges: DataFrame, k: int = 20, s: Sear
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    found = lexical(query, claims, s.seed_ceiling)
-    structural = structural_seeds(found, edges, s)
+    # each is used several times: the claims are read once, and of all ranks those asked for are kept
+    found = cut(lexical(query, claims, s.seed_ceiling))
+    structural = cut(structural_seeds(found, edges, s))
+    asked = found.select("subject").unionByName(structural.select("subject")).distinct()
     rank = ppr(edges, personalization(found, structural, s), s.alpha, s.tolerance, s.rounds).withColumnRenamed("score", "rank")
+    rank = cut(rank.join(asked, F.col("node") == F.col("subject"), "left_semi"))
     a = found.join(rank, F.col("subject") == F.col("node"), "left").select(F.col("claim_id").alias("ref_id"), "subject", "predicate", (s.w_doc * F.col("score") + (1 - s.w_doc) * F.coalesce("rank", F.lit(0.0))).alias("score"), F.lit("lexical").alias("via"))
     once = structural.groupBy("subject", "predicate").agg(F.min_by("score", "seed_rank").alias("score"))
     b = once.join(rank, F.col("subject") == F.col("node"), "left").select(F.concat_ws(":", F.lit("walk"), "predicate", "subject").alias("ref_id"), "subject", "predicate", (s.w_struct * (F.col("score") + F.coalesce("rank", F.lit(0.0))) / 2).alias("score"), F.lit("structural").alias("via"))
@@ -77,8 +80,8 @@ def dual_search(query: str, workspace: DataFrame, capability: DataFrame, edges:
     for name, claims, weight in (("workspace", workspace, F.lit(1.0)), ("capability", capability, F.coalesce(numeric(capability, "authority_weight"), F.lit(0.85)))):
         found = lexical(query, claims, s.seed_ceiling)
         sides.append(found.select("claim_id", "subject", "predicate", "ordinal", (F.col("score") * weight).alias("score"), F.lit(name).alias("substrate")))
-    both = sides[0].unionByName(sides[1])
-    structural = structural_seeds(both, edges, s)
+    both = cut(sides[0].unionByName(sides[1]))
+    structural = cut(structural_seeds(both, edges, s))
     rank = ppr(edges, personalization(both, structural, s), s.alpha, s.tolerance, s.rounds).withColumnRenamed("score", "rank")
     best = both.groupBy("subject").agg(F.max(F.when(F.col("substrate") == "workspace", F.col("score"))).alias("w"), F.max(F.when(F.col("substrate") == "capability", F.col("score"))).alias("c"))
     owned = best.select("subject", F.when(F.col("w").isNull(), "capability").when(F.col("c").isNull() | (F.col("w") >= F.col("c")), "workspace").otherwise("capability").alias("substrate"), F.greatest("w", "c").alias("lexical"))

@@ -217,6 +217,45 @@ def test_ranks_by_plain_power_iteration(spark, monkeypatch, part):
     assert {r.node: pytest.approx(r.score, abs=1e-12) for r in got.collect()} == s
 
 
+@pytest.mark.parametrize("looped, layers", [(False, 8), (True, 2)])
+def test_rounds_move_only_nodes_with_links(spark, monkeypatch, looped, layers):
+    """A tree of few steps and many leaves, with and without a loop: the plain iteration's scores after any rounds, from few tables, none of which but the last step's holds a leaf."""
+    monkeypatch.setattr(graph, "LAYERS", layers)
+    e = [("root", f"a{i}") for i in range(3)] + [(f"a{i}", f"b{i}{j}") for i in range(3) for j in range(4)] + [(f"b{i}{j}", f"leaf{i}{j}{k}") for i in range(3) for j in range(4) for k in range(6)]
+    e += [("a1", "root"), ("b00", "a2"), ("b00", "b01"), ("b00", "a0")] if looped else []
+    names = sorted({n for p in e for n in p} | {"alone"})
+    out, mass = {n: [d for s, d in e if s == n] for n in names}, {"root": 0.5, "b01": 0.3, "alone": 0.2}
+    made, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: made.append(cut(df)) or made[-1])
+    df, p = spark.createDataFrame(e, "src string, dst string"), spark.createDataFrame(list(mass.items()), "node string, mass double")
+    s = {n: 1 / len(names) for n in names}
+    for t in range(1, 101):
+        lost = sum(s[n] for n in names if not out[n])
+        new = {n: 0.85 * (sum(s[m] * out[m].count(n) / len(out[m]) for m in names if out[m]) + lost / len(names)) + 0.15 * mass.get(n, 0) for n in names}
+        moved, s = sum(abs(new[n] - s[n]) for n in names), new
+        if t in (1, 4):
+            assert {r.node: pytest.approx(r.score, abs=1e-12) for r in graph.ppr(df, p, rounds=t, fixed=True).collect()} == s
+        if moved < 1e-2:
+            break
+    made.clear()
+    assert {r.node: pytest.approx(r.score, abs=1e-2) for r in graph.ppr(df, p, tolerance=1e-2).collect()} == s
+    if not looped:
+        assert len(made) <= 11
+    assert not any("node" in m.columns and m.where("node like 'leaf%'").count() for m in made)
+
+
+def test_a_search_reads_its_claims_once(spark):
+    from marlgrid.operators import retrieval
+
+    read = spark.sparkContext.accumulator(0)
+    said = F.udf(lambda v: read.add(1) or v, "string").asNondeterministic()
+    claims = spark.createDataFrame([(str(i), f"n{i}", "CONTENT", f"w{i % 5}", None, i) for i in range(20)], "claim_id string, subject string, predicate string, value_json string, metadata_json string, ordinal long").withColumn("value_json", said("value_json"))
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}", "p", i) for i in range(30)], "src string, dst string, predicate string, ordinal long")
+    assert retrieval.search("w1", claims, edges).count() > 4 and read.value <= 40
+    read.value = 0
+    assert retrieval.dual_search("w1", claims, claims, edges).count() == 4 and read.value <= 80
+
+
 def test_cycles(spark, monkeypatch):
     def cyclic(e):
         left = set(e)
