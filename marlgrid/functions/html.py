@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 from html import unescape
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # Elements whose content is left out, and those whose end begins a new paragraph.
 SKIPPED = frozenset("script style nav header footer aside noscript svg".split())
@@ -117,21 +120,47 @@ def heading_chunks(text: str, headings: list[tuple[int, str | None, str]], targe
     return out
 
 
-def parsed_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, title, text, headings array<struct<level, anchor, said>>) for each page; a page that can't be parsed has `error` set."""
+#: Characters of the rows that leave a Python worker at once, pages that are unpacked at once, and bytes of a batch that comes to one.
+OUT_CHARS, AT_ONCE, BATCH_BYTES = 1 << 20, 16, 4 << 20
 
-    def run(frames):
-        for f in frames:
-            rows = []
-            for key, raw in zip(f["id"], f["html"], strict=True):
-                try:
-                    title, text, heads = read_html(raw)
-                    rows.append((key, title, text, [{"level": a, "anchor": b, "said": c} for a, b, c in heads], None))
-                except Exception as e:  # one page's failure must not end the corpus
-                    rows.append((key, None, None, [], str(e)[:200]))
-            yield pd.DataFrame(rows, columns=["id", "title", "text", "headings", "error"])
 
-    return pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).mapInPandas(run, "id long, title string, text string, headings array<struct<level:int,anchor:string,said:string>>, error string").withColumnRenamed("id", id_col)
+def in_small_batches(rows: DataFrame, run: Callable[[dict], Iterable[dict]], schema: str) -> DataFrame:
+    """run() over each row as a dict, which yields rows of the schema; a worker holds a few MB (or one row and what comes of it), however many or large the rows are."""
+    conf = rows.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20)).rstrip("bB")) > BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def each(batches):
+        out, held = [], 0
+        for b in batches:
+            for at in range(0, b.num_rows, AT_ONCE):
+                for row in b.slice(at, AT_ONCE).to_pylist():
+                    for made in run(row):
+                        out.append(made)
+                        held += 100 + sum(len(v) for v in made.values() if isinstance(v, str))
+                        if held > OUT_CHARS:
+                            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                            out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    return rows.mapInArrow(each, schema)
+
+
+def parsed_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: Sequence[str] = ()) -> DataFrame:
+    """(id, title, text, headings array<struct<level, anchor, said>>, error) for each page, and the columns to keep; a page that can't be parsed has `error` set."""
+
+    def run(row):
+        try:
+            title, text, heads = read_html(row.pop("html"))
+            yield row | {"title": title, "text": text, "headings": [{"level": a, "anchor": b, "said": c} for a, b, c in heads], "error": None}
+        except Exception as e:  # one page's failure must not end the corpus
+            yield row | {"title": None, "text": None, "headings": [], "error": str(e)[:200]}
+
+    kept = "".join(f", `{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), *keep, F.col(html_col).alias("html"))
+    return in_small_batches(rows, run, f"id long{kept}, title string, text string, headings array<struct<level:int,anchor:string,said:string>>, error string").withColumnRenamed("id", id_col)
 
 
 def corpus_counts(pages: DataFrame, parsed: DataFrame, id_col: str = "page_id") -> DataFrame:
@@ -151,13 +180,10 @@ def merged_counts(*parts: DataFrame) -> DataFrame:
 def page_chunks(parsed: DataFrame, id_col: str = "page_id", target_tokens: int = 1500, overlap_tokens: int = 150) -> DataFrame:
     """(id, chunk_index, starts_at_word, token_count, headings_path, chunk_text) of parsed pages."""
 
-    def run(frames):
-        for f in frames:
-            rows = []
-            for key, text, heads in zip(f["id"], f["text"], f["headings"], strict=True):
-                heads = [(h["level"], h["anchor"], h["said"]) for h in (heads if heads is not None else [])]
-                for i, (begin, said, tokens, path) in enumerate(heading_chunks(text or "", heads, target_tokens, overlap_tokens)):
-                    rows.append((key, i, begin, tokens, path, said))
-            yield pd.DataFrame(rows, columns=["id", "chunk_index", "starts_at_word", "token_count", "headings_path", "chunk_text"])
+    def run(row):
+        heads = [(h["level"], h["anchor"], h["said"]) for h in row["headings"] or ()]
+        for i, (begin, said, tokens, path) in enumerate(heading_chunks(row["text"] or "", heads, target_tokens, overlap_tokens)):
+            yield {"id": row["id"], "chunk_index": i, "starts_at_word": begin, "token_count": tokens, "headings_path": path, "chunk_text": said}
 
-    return parsed.select(F.col(id_col).alias("id"), "text", "headings").mapInPandas(run, "id long, chunk_index long, starts_at_word long, token_count long, headings_path array<string>, chunk_text string").withColumnRenamed("id", id_col)
+    rows = parsed.select(F.col(id_col).cast("long").alias("id"), "text", "headings")
+    return in_small_batches(rows, run, "id long, chunk_index long, starts_at_word long, token_count long, headings_path array<string>, chunk_text string").withColumnRenamed("id", id_col)

@@ -45,6 +45,11 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df's rows over all tasks: a well compressed table is one small file, which one task would read and then work on alone."""
+    return df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def _drop(spark: SparkSession, name: str) -> None:
     try:
         spark.sql(f"drop table if exists {name}")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marlgrid.functions import html, text
 from marlgrid.operators import graph, retrieval, snapshot
+from marlgrid.operators.staging import dealt
 from marlgrid.plans.core import SQL
 from marlgrid.plans.core import query as _query
 from marlgrid.sources import urls
@@ -118,7 +119,7 @@ def made_pages(spark, d) -> DataFrame:
     """A page of known words for each customer."""
     said = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
     html_ = F.replace(F.lit(MADE.replace("{a}", said(1, 71)).replace("{b}", said(71, 151))), F.lit("{k}"), F.col("c_custkey").cast("string"))
-    return load(spark, d, "customer").select(F.col("c_custkey").alias("page_id"), F.replace(html_, F.lit("{n}"), F.col("c_mktsegment")).alias("html"))
+    return dealt(load(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_custkey").select(F.col("c_custkey").alias("page_id"), F.replace(html_, F.lit("{n}"), F.col("c_mktsegment")).alias("html"))
 
 
 @query(f"""

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from marlgrid.plans import text_graph
 
@@ -61,3 +62,43 @@ def test_choices_and_sides_grow_with_the_table(spark, tmp_path):
     ids = spark.range(10_000).select(core.side("id").alias("s"))
     before, after = (ids.where(c).count() for c in ("s < 60", "s >= 40"))
     assert 5700 < before < 6300 and 5700 < after < 6300
+
+
+def test_small_files_are_worked_on_by_all_tasks(spark):
+    """Rows from one small file are dealt before they are parsed or hashed."""
+    from marlgrid.plans import checks, sources_check
+
+    folder = "/root/testdata/sf0.001"
+    for df in (text_graph.made_html_text(spark, folder), text_graph.made_heading_chunks(spark, folder), checks.claim_ids(spark, folder), sources_check.modules(spark, folder)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Repartition" in plan and df.rdd.getNumPartitions() == 4
+
+
+def test_pages_are_parsed_in_small_batches(spark):
+    """What a worker holds is bounded by bytes, and not by a number of pages; whatever is kept beside a page comes along."""
+    import pyarrow as pa
+
+    from marlgrid.functions import html
+
+    page = "<h1>Top</h1><p>" + "word " * 40_000 + "</p>"
+    pages = spark.range(0, 60, 1, 1).select(F.col("id").alias("page_id"), F.lit(page).alias("html"), F.concat(F.lit("u"), "id").alias("url"))
+    parsed = html.parsed_pages(pages, keep=("url",))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pylist([{"rows": b.num_rows, "bytes": b.nbytes}])
+
+    for df in (parsed.select("page_id", "text"), html.page_chunks(parsed)):
+        seen = df.mapInArrow(sizes, "rows long, bytes long").collect()
+        assert len(seen) > 1 and max(r.bytes for r in seen) < 6 << 20
+    assert {(r.page_id, r.url, r.n) for r in parsed.select("page_id", "url", F.length("text").alias("n")).collect()} == {(i, f"u{i}", 5 + 40_000 * 5 - 1) for i in range(60)}
+
+
+def test_posts_are_parsed_once(spark):
+    from marlgrid.sources import blog
+
+    pages = spark.range(3).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.lit("<title>T</title><p>x y</p>").alias("html"))
+    posts, chunks = blog.posts(pages)
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (posts, chunks)]
+    assert "Join" not in plans[0] and plans[0].count("MapInArrow") == 0 and plans[1].count("MapInArrow") == 1
+    assert posts.count() == chunks.count() == 3
