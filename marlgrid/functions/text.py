@@ -71,12 +71,14 @@ def claim_text(subject: Column, predicate: Column, value_json: Column, metadata_
 
 def _json_string(c: Column) -> Column:
     """A JSON string literal in ASCII: other characters as escapes of their UTF-16 units, as standard encoders write them."""
-    for plain, code in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
-        c = F.replace(c, F.lit(plain), F.lit(code))
+    for raw, code in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
+        c = F.replace(c, F.lit(raw), F.lit(code))
+    # only a text with others is taken apart
+    plain = c.rlike(r"\A[\x20-\x7e]*\z")
     units = F.hex(F.encode(c, "UTF-16BE"))
     each = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(units) / 4 - 1).cast("int")), lambda i: F.substring(units, i * 4 + 1, F.lit(4)))
     ascii_ = F.transform(each, lambda u: F.when((u >= "0020") & (u < "007F"), F.chr(F.conv(u, 16, 10).cast("long"))).otherwise(F.concat(F.lit("\\u"), F.lower(u))))
-    return F.when(c.isNotNull(), F.concat(F.lit('"'), F.when(F.length(c) > 0, F.array_join(ascii_, "")).otherwise(""), F.lit('"')))
+    return F.when(c.isNotNull(), F.concat(F.lit('"'), F.when(plain, c).otherwise(F.array_join(ascii_, "")), F.lit('"')))
 
 
 def claim_id(fields: Mapping[str, Column]) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from marlgrid.functions import text
 from marlgrid.operators import evaluate, rules
 from marlgrid.operators.relational import optional, within_days
+from marlgrid.operators.staging import dealt
 from marlgrid.plans.core import MS, NOW_MS, query
 from marlgrid.sources import urls
 from marlgrid.sources.tables import events, load
@@ -138,7 +139,7 @@ def blog_posts(spark, d):
 with p as (select p_partkey, 'part:' || p_partkey as subject, p_brand as predicate, p_name || ' "' || p_type || '"' as value, case when p_size > 25 then 'o' || p_size else '' end as object_ref from part)
 select p_partkey, 'wkg:' || substr(sha256('{"object_ref":"' || object_ref || '","predicate":"' || predicate || '","subject":"' || subject || '","value_json":"' || replace(value, '"', '\"') || '"}'), 1, 24) as claim_id, subject || ' ' || predicate || ' ' || value || ' None' as claim_text from p""")
 def claim_ids(spark, d):
-    p = load(spark, d, "part")
+    p = dealt(load(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size"), "p_partkey")
     value = F.concat("p_name", F.lit(' "'), "p_type", F.lit('"'))
     subject = F.concat(F.lit("part:"), "p_partkey")
     fields = {"subject": subject, "predicate": F.col("p_brand"), "value_json": value, "object_ref": F.when(F.col("p_size") > 25, F.concat(F.lit("o"), "p_size")).otherwise("")}
