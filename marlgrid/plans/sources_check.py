@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marlgrid.operators.staging import dealt
 from marlgrid.plans.core import query
 from marlgrid.sources import blog, code, openapi
 from marlgrid.sources.tables import load
@@ -37,7 +38,7 @@ def modules(spark, d):
     """Every seventh file can't be parsed."""
     k = F.col("s_suppkey").cast("string")
     source = F.when(F.col("s_suppkey") % 7 == 6, F.lit("def (")).otherwise(F.replace(F.lit(MODULE), F.lit("{k}"), k))
-    return load(spark, d, "supplier").select(F.concat(F.lit("m"), k).alias("module"), source.alias("source"))
+    return dealt(load(spark, d, "supplier").select("s_suppkey"), "s_suppkey").select(F.concat(F.lit("m"), k).alias("module"), source.alias("source"))
 
 
 @query("""
@@ -85,7 +86,7 @@ def api_descriptions(spark, d):
 select o_orderkey as page_id, case when o_orderkey % 4 = 0 then null else epoch_us(date_trunc('day', o_orderdate)) // 1000 + case o_orderkey % 4 when 1 then 0 else 3600000 end end as published_at_ms, case when o_orderkey % 3 = 0 then '' when o_orderkey % 3 = 1 then 'A ' || o_custkey else 'B,A ' || o_custkey end as authors, 'T' || o_orderkey as title, 1::bigint as n_chunks from orders""")
 def post_facts(spark, d):
     """The pages of a made-up blog, one for each order: dates, authors, titles, chunks."""
-    o = load(spark, d, "orders")
+    o = dealt(load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_orderkey")
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     k = F.col("o_orderkey")
     date = F.when(k % 4 == 0, "").when(k % 4 == 1, F.concat(F.lit('<meta content="'), day, F.lit('" property="article:published_time">'))).otherwise(F.concat(F.lit('<time datetime="'), day, F.lit('T01:00:00+05:00">x</time>')))

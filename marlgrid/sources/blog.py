@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlgrid.functions.html import page_chunks, parsed_pages
 from marlgrid.functions.text import col, content_hash, iso_millis
+from marlgrid.operators.staging import cut
 
 
 def _meta(attribute: str, value: str) -> tuple[str, str]:
@@ -17,7 +18,9 @@ def _meta(attribute: str, value: str) -> tuple[str, str]:
 def published_ms(html: Column | str) -> Column:
     """The first of the known marks that holds a date."""
     marks = [*_meta("property", "article:published_time"), *_meta("name", "article:published_time"), r'(?i)<time[^>]*datetime\s*=\s*"([^"]+)"']
-    return F.coalesce(*[iso_millis(F.nullif(F.regexp_extract(col(html), p, 1), F.lit(""))) for p in marks])
+    # each mark is looked for once: a date's many parts are taken from what was found, as a lambda's variable
+    said = F.filter(F.array(*[F.regexp_extract(col(html), p, 1) for p in marks]), lambda m: m != "")
+    return F.get(F.filter(F.transform(said, iso_millis), lambda ms: ms.isNotNull()), F.lit(0))
 
 
 def authors(html: Column | str) -> Column:
@@ -28,6 +31,7 @@ def authors(html: Column | str) -> Column:
 
 def posts(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(posts, chunks) of pages (page_id, url, html)."""
-    parsed = parsed_pages(pages)
-    about = pages.select("page_id", "url", published_ms("html").alias("published_at_ms"), authors("html").alias("authors"))
-    return about.join(parsed.select("page_id", "title", content_hash("title", "text").alias("content_hash"), "error"), "page_id"), page_chunks(parsed)
+    told = pages.where("page_id is not null").withColumns({"published_at_ms": published_ms("html"), "authors": authors("html")})
+    # parsed once, for the posts and for the chunks
+    parsed = cut(parsed_pages(told, keep=("url", "published_at_ms", "authors")))
+    return parsed.select("page_id", "url", "published_at_ms", "authors", "title", content_hash("title", "text").alias("content_hash"), "error"), page_chunks(parsed)
