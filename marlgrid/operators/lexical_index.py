@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlgrid.functions.text import claim_text, token_set
+from marlgrid.operators.staging import cut
 
 
 @dataclass(frozen=True)
@@ -33,7 +34,8 @@ def build_index(claims: DataFrame, folder: str, null_word: str | None = None) ->
     claims.repartitionByRange("ordinal").sortWithinPartitions("ordinal").write.parquet(f"{folder}/claims")
     text = claim_text(F.col("subject"), F.col("predicate"), F.col("value_json"), F.col("metadata_json"), null_word)
     sets = spark.read.parquet(f"{folder}/claims").select("ordinal", token_set(text).alias("t"))
-    postings = sets.select(F.explode("t").alias("token"), "ordinal", F.size("t").alias("size"))
+    # written first: the ranges are drawn from a sample, for which the texts would be taken apart once more
+    postings = cut(sets.select(F.explode("t").alias("token"), "ordinal", F.size("t").alias("size")))
     # a token that many claims hold is dealt over several ranges, by ordinal
     postings.repartitionByRange("token", "ordinal").sortWithinPartitions("token", "size", "ordinal").write.parquet(f"{folder}/postings")
     counted = spark.read.parquet(f"{folder}/postings").groupBy("token").agg(F.count("*").alias("n"))
