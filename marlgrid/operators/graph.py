@@ -243,6 +243,8 @@ def has_cycle(edges: DataFrame) -> bool:
     left = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     if left.where("src = dst").take(1):
         return True
+    # edges into nodes that nothing leaves go first: the leaves of wide trees need no pointers
+    left = cut(left.join(left.select(F.col("src").alias("leaves")).distinct(), F.col("dst") == F.col("leaves"), "left_semi"))
     while left is not None and left.take(1):
         left = contracted(left)
         left = left and left.select(F.col("dst").alias("src"), F.col("src").alias("dst"))

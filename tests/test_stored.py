@@ -289,6 +289,22 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     assert graph.has_cycle(chain.unionByName(spark.createDataFrame([(n, 3)], "src long, dst long"))) and len(steps) <= 40
 
 
+def test_leaves_need_no_pointers(spark, monkeypatch, tmp_path):
+    """A wide tree is settled by its few inner edges; an index takes its texts apart once."""
+    from marlgrid.operators import lexical_index
+
+    held, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: held.append(cut(df)) or held[-1])
+    tree = spark.range(1, 1000).select(F.floor(F.col("id") / 100).alias("src"), F.col("id").alias("dst")).where("src != dst")
+    assert not graph.has_cycle(tree)
+    assert max(t.count() for t in held[1:]) < 20
+    kept, own = [], lexical_index.cut
+    monkeypatch.setattr(lexical_index, "cut", lambda df: kept.append(own(df)) or kept[-1])
+    claims = spark.createDataFrame([("a", "CONTENT", "x y", None, 1), ("b", "CONTENT", "y z", None, 2)], "subject string, predicate string, value_json string, metadata_json string, ordinal long")
+    index = lexical_index.build_index(claims, str(tmp_path / "index"))
+    assert len(kept) == 1 and kept[0].count() == index.table("postings").count() == 8
+
+
 # --- texts, signatures, statements ------------------------------------------------------------------------------------
 
 
